@@ -1,5 +1,5 @@
 """name -> DuckDB SQL."""
 
-from oracle import headers, items
+from oracle import headers, items, tables
 
-ORACLES = {**items.SQL, **headers.SQL}
+ORACLES = {**items.SQL, **headers.SQL, **tables.SQL}

@@ -142,7 +142,7 @@ def sheet_count(c: Column) -> Column:
 
 
 def sheet_status(c: Column) -> Column:
-    token = T.strip(T.compact(c), "[.:;,]")
+    token = T.strip(T.compact(c), ".:;,")
     return F.when(token.isin(*rules.STATUS_REPLACE), "replace").when(token.isin(*rules.STATUS_NEW), "new")
 
 
@@ -209,7 +209,7 @@ def item_key(section: Column, position: Column, designation: Column, name: Colum
     pos, des = (F.nullif(T.strip(c), F.lit("")) for c in (position, designation))
     nm = F.lower(T.strip(F.coalesce(name, F.lit(""))))
     anchor = F.when(sec == "документация", F.coalesce(des, nm)).otherwise(F.coalesce(pos, des, nm))
-    return T.strip(F.concat_ws("|", sec, anchor), "[|]")
+    return T.strip(F.concat_ws("|", sec, anchor), "|")
 
 
 def element_key(positions: Column) -> Column:
@@ -229,7 +229,7 @@ def clean_field(c: Column) -> Column:
     text = T.norm_cell(c)
     for tail in FIELD_TAILS:
         text = F.regexp_replace(text, "(?iu)" + tail, "")
-    return F.nullif(T.strip(T.squeeze(text), r"[ .;,:\-/]"), F.lit(""))
+    return F.nullif(T.strip(T.squeeze(text), " .;,:-/"), F.lit(""))
 
 
 # ---- fixed value: a designation broken off into the name -------------------------------------
@@ -244,7 +244,7 @@ def rejoin_designation(designation: Column, name: Column) -> tuple[Column, Colum
 
 
 def clean_item_name(c: Column) -> Column:
-    text = T.strip(T.squeeze(F.coalesce(c, F.lit(""))), "[ .;:\"'«»]")
+    text = T.strip(T.squeeze(F.coalesce(c, F.lit(""))), " .;:\"'«»")
     text = F.regexp_replace(text, "(?<=[A-Za-zА-Яа-я0-9])-\\s+(?=[A-Za-zА-Яа-я0-9])", "-")
     for pattern, value in ((r"\s*/\s*", "/"), (r"\s+\)", ")"), (r"\(\s+", "("), (r"\s+,", ",")):
         text = F.regexp_replace(text, pattern, value)
@@ -348,53 +348,67 @@ def table_key(name: Column) -> Column:
 
 
 def clean_identity(c: Column) -> Column:
-    return T.strip(T.norm_cell(c), r"[ |/;:]")
+    return T.strip(T.norm_cell(c), " |/;:")
 
 
 def clean_subject(c: Column) -> Column:
-    return T.strip(T.squeeze(F.coalesce(c, F.lit(""))), r"[ \"«»|/;:]")
+    return T.strip(T.squeeze(F.coalesce(c, F.lit(""))), " \"«»|/;:")
 
 
-def is_header_like(c: Column, names: Column, exact=rules.HEADER_WORDS_EXACT) -> Column:
-    """Empty, a known header word, or one of the column names."""
-    key = T.compact(clean_identity(c))
-    own = F.exists(names, lambda n: T.compact(n) == key)
-    return (key == "") | key.isin(*exact) | own
+def header_words(names: Column) -> Column:
+    """Compact column names, worked out once per row and not once per cell."""
+    return F.transform(names, T.compact)
 
 
-def is_bad_subject(c: Column, names: Column) -> Column:
-    key = T.compact(clean_subject(c))
-    own = F.exists(names, lambda n: T.compact(n) == key)
-    return (key == "") | key.isin(*rules.BAD_SUBJECTS_EXACT) | own
+def _is_known(key: Column, exact, words: Column | None) -> Column:
+    def known(k: Column) -> Column:
+        hit = (k == "") | k.isin(*exact)
+        return hit if words is None else hit | F.array_contains(words, k)
 
+    return T.let(key, known)
+
+
+def is_header_like(c: Column, words: Column | None = None) -> Column:
+    """Empty, a known header word, or one of the column names (given as header_words)."""
+    return _is_known(T.strip(T.compact(T.typographic(c)), "|/;:"), rules.HEADER_WORDS_EXACT, words)
+
+
+def is_bad_subject(c: Column, words: Column | None = None) -> Column:
+    return _is_known(T.compact(clean_subject(c)), rules.BAD_SUBJECTS_EXACT, words)
 
-def is_repeated_header(cells: Column, names: Column) -> Column:
-    filled = F.filter(F.transform(cells, T.norm_cell), lambda c: c != "")
-    hits = F.size(F.filter(filled, lambda c: is_header_like(c, names)))
-    joined = T.lower_plain(F.array_join(filled, " "))
-    wires = (F.contains(joined, F.lit("провод")) & F.contains(joined, F.lit("соединител"))
-             & T.contains_any(joined, ("длина", "кол")))
-    half = F.greatest(F.lit(2), F.floor(F.size(filled) / 2))
-    return (F.size(filled) == 0) | (hits >= half) | wires
+
+def is_repeated_header(cells: Column, words: Column) -> Column:
+    """Of normalised cells: a row that repeats the head, or is empty."""
+    def wires(joined: Column) -> Column:
+        return (F.contains(joined, F.lit("провод")) & F.contains(joined, F.lit("соединител"))
+                & T.contains_any(joined, ("длина", "кол")))
+
+    def judge(filled: Column) -> Column:
+        hits = F.size(F.filter(filled, lambda c: is_header_like(c, words)))
+        return ((F.size(filled) == 0) | (hits >= F.greatest(F.lit(2), F.floor(F.size(filled) / 2)))
+                | T.let(T.lower_plain(F.array_join(filled, " ")), wires))
+
+    return T.let(F.filter(cells, lambda c: c != ""), judge)
 
 
 def key_column(names: Column) -> Column:
     """0-based index of the column that names a row: best marker group first, then leftmost; else null."""
-    canon = F.transform(names, lambda n: canon_header(n))
-    usable = F.transform(canon, lambda n: F.when(T.contains_any(n, rules.KEY_COLUMN_EXCLUDED), "").otherwise(n))
-    picks = []
-    for markers in rules.KEY_COLUMN_MARKERS:
-        hit = F.array_position(F.transform(usable, lambda n, m=markers: T.contains_any(n, m)), F.lit(True))
-        picks.append(F.nullif(hit, F.lit(0).cast("long")))
-    return (F.coalesce(*picks) - 1).cast("int")
+    def usable(n: Column) -> Column:
+        return F.when(T.contains_any(n, rules.KEY_COLUMN_EXCLUDED), "").otherwise(n)
+
+    def place(canon: Column, markers) -> Column:
+        hit = F.array_position(F.transform(canon, lambda n: T.contains_any(n, markers)), F.lit(True))
+        return F.nullif(hit, F.lit(0).cast("long"))
+
+    canon = F.transform(F.transform(names, canon_header), usable)
+    return (T.let(canon, lambda c: F.coalesce(*[place(c, m) for m in rules.KEY_COLUMN_MARKERS])) - 1).cast("int")
 
 
-def row_key(cells: Column, names: Column, key_col: Column) -> Column:
-    """Cleaned value of the key column, else the first two telling cells; '' if the row has none."""
-    own = T.norm_cell(F.get(cells, key_col))
-    filled = F.filter(F.transform(cells, T.norm_cell), lambda c: (c != "") & ~is_header_like(c, F.array().cast("array<string>")))
-    fallback = F.array_join(F.slice(filled, 1, 2), " | ")
-    return clean_identity(F.when(key_col.isNotNull() & ~is_header_like(own, names), own).otherwise(fallback))
+def row_key(cells: Column, words: Column, key_col: Column) -> Column:
+    """Of normalised cells: the key column's value, else the first two telling cells; '' if none."""
+    own = F.get(cells, key_col)
+    telling = F.array_join(F.slice(F.filter(cells, lambda c: ~is_header_like(c)), 1, 2), " | ")
+    return T.strip(F.when(~is_header_like(own, words), own).otherwise(telling), " |/;:")
 
 
 def connector_of(c: Column) -> Column:
@@ -441,11 +455,10 @@ def is_marking_column(c: Column) -> Column:
     return F.contains(T.lower_plain(c), F.lit("маркиров"))
 
 
-def table_subject(row_key_col: Column, names: Column, key_cell: Column) -> Column:
+def table_subject(row_key_col: Column, words: Column, key_cell: Column) -> Column:
     """What a table change is about: the row key, else the key cell; '' if neither tells."""
-    key, other = clean_subject(row_key_col), clean_subject(key_cell)
-    return (F.when(~is_bad_subject(row_key_col, names), T.strip(F.get(F.split(key, r"\|"), F.lit(0))))
-            .when(~is_bad_subject(key_cell, names), other).otherwise(""))
+    return (F.when(~is_bad_subject(row_key_col, words), T.strip(F.substring_index(clean_subject(row_key_col), "|", 1)))
+            .when(~is_bad_subject(key_cell, words), clean_subject(key_cell)).otherwise(""))
 
 
 def looks_like_header_row(values: Column) -> Column:
@@ -461,5 +474,5 @@ def looks_like_header_row(values: Column) -> Column:
 
 
 def marking_row_key(c: Column) -> Column:
-    text = T.strip(T.squeeze(F.coalesce(c, F.lit(""))), r"[ .;:\-]")
+    text = T.strip(T.squeeze(F.coalesce(c, F.lit(""))), " .;:-")
     return F.when(T.contains_any(T.lower_plain(text), ("маркировка", "обозначение", "код")), "").otherwise(text)

@@ -7,32 +7,49 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from revdiff import rules
 
 # Unicode white space, spelt out so that Java, RE2 and Python agree on it
 WS = (r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                             0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LETTER = "A-Za-zА-Яа-яЁё"
 WORD = LETTER + "0-9_"
 
 
-def strip(c: Column, chars: str = WS) -> Column:
-    return F.regexp_replace(c, f"^{chars}+|{chars}+$", "")
+# ---- fixed values: typographic variants and what they are read as ---------------------------
+TYPOGRAPHIC = ("\uFFF3\u2013\u2014\u00AB\u00BB\u200B", "---\"\"")
+
+
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value worked out once, also inside lambdas, where Spark shares nothing."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def strip(c: Column, chars: str = WS_CHARS) -> Column:
+    return F.btrim(c, F.lit(chars))
+
+
+def _one_space(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, "  +", " "))
 
 
 def squeeze(c: Column) -> Column:
     """Every white-space run becomes one space; ends trimmed."""
-    return F.trim(F.regexp_replace(c, WS + "+", " "))
+    return _one_space(F.translate(c, WS_CHARS, " " * len(WS_CHARS)))
 
 
 def typographic(c: Column) -> Column:
-    """One dash, one quote, plain spaces; zero-width spaces dropped."""
-    return F.translate(c, "\uFFF3\u2013\u2014\u00AB\u00BB\u00A0\u200B", '---"" ')
+    """One dash, one quote; zero-width spaces dropped."""
+    return F.translate(c, *TYPOGRAPHIC)
 
 
 def norm_cell(c: Column) -> Column:
-    return squeeze(typographic(F.coalesce(c, F.lit(""))))
+    wanted = TYPOGRAPHIC[1] + " " * len(WS_CHARS)
+    return _one_space(F.translate(F.coalesce(c, F.lit("")), TYPOGRAPHIC[0][:5] + WS_CHARS + TYPOGRAPHIC[0][5], wanted))
 
 
 def norm_or_null(c: Column) -> Column:
@@ -72,14 +89,15 @@ def fold_lookalikes(c: Column, table: tuple[str, str] = rules.LOOKALIKE_COMPARE)
 
 def compare_key(c: Column) -> Column:
     """Null-safe key under which two texts count as equal."""
-    plain = fold_lookalikes(F.translate(typographic(F.coalesce(c, F.lit(""))), "\u2212", "-"))
-    dashed = F.regexp_replace(plain, f"{WS}*-{WS}*", "-")
-    return F.lower(squeeze(dashed))
+    found = TYPOGRAPHIC[0][:5] + "\u2212" + rules.LOOKALIKE_COMPARE[0] + WS_CHARS + TYPOGRAPHIC[0][5]
+    wanted = TYPOGRAPHIC[1] + "-" + rules.LOOKALIKE_COMPARE[1] + " " * len(WS_CHARS)
+    plain = F.translate(F.coalesce(c, F.lit("")), found, wanted)
+    return F.lower(_one_space(F.regexp_replace(plain, " *- *", "-")))
 
 
 def compact(c: Column) -> Column:
     """Lower case without any white space, ё read as е."""
-    return F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е"), WS + "+", "")
+    return F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё" + WS_CHARS, "е")
 
 
 def lower_plain(c: Column) -> Column:
@@ -119,7 +137,7 @@ def space_last_unit(c: Column) -> Column:
 def split_positions(c: Column) -> Column:
     """Comma list of position designations as an array, first spelling of each kept."""
     plain = F.translate(norm_or_null(c), "\u2013\u2014\u2212", "---")
-    parts = F.transform(F.split(plain, f"{WS}*,{WS}*"), lambda p: strip(p, "[ ;]"))
+    parts = F.transform(F.split(plain, f"{WS}*,{WS}*"), lambda p: strip(p, " ;"))
     return F.filter(F.array_distinct(parts), lambda p: p != "")
 
 
@@ -208,12 +226,12 @@ def _repair(text: str | None) -> str | None:
     return re.sub(r" ?\n ?", "\n", re.sub(r"[ \t]+", " ", best)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_encoding(texts: pd.Series) -> pd.Series:
     return texts.map(_repair)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(old: pd.Series, new: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity; order matters, so (old, new)."""
     from difflib import SequenceMatcher

@@ -232,3 +232,64 @@ def secret_maps(spark: SparkSession, path: str) -> DataFrame:
         F.lit("api_key"), F.concat("event_type", F.col("event_id").cast("string")),
         F.lit("model"), F.col("event_type"),
         F.lit("nested.token"), F.col("user_id").cast("string")).alias("config"))
+
+
+# ---- table differences -----------------------------------------------------------------------
+
+WIRE_NAMES = ["Провод", "Обозначение провода", "Длина, мм", "От соединителя", "Код"]
+POSITION_NAMES = ["Поз.", "Обозначение провода", "Длина", "От соединителя"]
+
+
+def table_differences(spark: SparkSession, path: str) -> DataFrame:
+    """Differences of wire, marking and code tables, forty orders to a document."""
+    d = items(spark, path, 1)
+    sel = (F.col("doc_id") + F.col("ord")) % 8
+    wire = F.lpad("quantity", 3, "0")
+    doc = F.floor(F.col("doc_id") / 40).cast("long")
+
+    def pick(*values):
+        return F.element_at(F.array(*values), (sel + 1).cast("int"))
+
+    return d.select(
+        doc.alias("doc_id"), ((F.col("doc_id") % 40) * 1000 + F.col("ord")).cast("int").alias("ord"),
+        F.when(doc % 3 == 0, F.lit("Таблица присоединений")).otherwise(
+            F.concat(F.lit("Таблица "), (1 + F.col("position") % 2).cast("string"))).alias("table_name"),
+        F.when(sel == 0, F.array(*map(F.lit, POSITION_NAMES))).otherwise(F.array(*map(F.lit, WIRE_NAMES))).alias("names"),
+        pick(*map(F.lit, ["Поз.", "Провод", "Длина, мм", "Провод"]), F.concat(F.lit("Маркировка / ХР"), (1 + F.col("position") % 3).cast("string")),
+             *map(F.lit, ["Код", "Код", "От соединителя"])).alias("col_name"),
+        pick(*[F.lit(i) for i in (1, 1, 3, 1, 4, 5, 5, 4)]).alias("col_index"),
+        pick(F.col("position").cast("string"), wire, wire, wire, F.col("designation"), F.col("designation"),
+             F.concat("designation", F.lit(" | x")), F.lit("б/н")).alias("row_key"),
+        F.col("designation").alias("key_cell"),
+        pick(*map(F.lit, ["row_added", "row_removed", "modified", "row_added", "modified", "row_added", "row_removed", "added"])).alias("status"),
+        F.col("quantity").alias("v1_val"), F.col("note").alias("v2_val"), F.lit(10).alias("table_data_rows"),
+        F.array("designation", "name", "quantity").alias("values"))
+
+
+def numeric_subjects(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct part numbers per forty orders, some with a letter."""
+    lines = table(spark, path, "lineitem")
+    n = F.col("l_partkey") % 300
+    text = F.lpad(n.cast("string"), 3, "0")
+    return lines.select(F.floor(F.col("l_orderkey") / 40).cast("long").alias("doc_id"),
+                        F.when(n % 17 == 0, F.concat(text, F.lit("A"))).otherwise(text).alias("subject")).distinct()
+
+
+def document_tables(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
+    """Eight tables to a document, some of them pieces of a numbered one."""
+    t = items(spark, path, 1, with_ord=False).select(F.col("doc_id").alias("table_id")).distinct()
+    k = F.col("table_id")
+    doc = F.floor(k / 8).cast("long")
+    number = (1 + doc % 3).cast("string")
+    name = (F.when(k % 4 == 0, F.concat(F.lit("Таблица "), number)).when(k % 4 == 1, F.concat(F.lit("Продолжение таблицы "), number))
+            .when(k % 4 == 2, F.concat(F.lit("Таблица "), (4 + doc % 3).cast("string"))).otherwise(F.lit("Прочее")))
+    x0, y0 = (k % 3) * 10.0, (k % 5) * 20.0
+    names = F.when(k % 5 == 1, F.concat(column_names(), F.array(F.lit("")))).otherwise(column_names())
+    base = t.select(doc.alias("doc_id"), "table_id", (1 + k % 8).cast("int").alias("page_num"), x0.alias("x0"), y0.alias("y0"),
+                    (x0 + 100 + k % 7).alias("x1"), (y0 + 30).alias("y1"), name.alias("name"), names.alias("names"), F.lit(1).alias("header_rows"))
+    if version == 1:
+        return base
+    return base.filter("table_id % 11 <> 0").withColumns({
+        "page_num": F.when(k % 7 == 0, F.col("page_num") + 1).otherwise(F.col("page_num")),
+        "names": F.when(k % 6 == 0, F.slice("names", 1, 3)).otherwise(F.col("names")),
+    })
