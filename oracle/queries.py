@@ -1,5 +1,5 @@
 """name -> DuckDB SQL."""
 
-from oracle import headers, items, tables
+from oracle import headers, items, pages, tables
 
-ORACLES = {**items.SQL, **headers.SQL, **tables.SQL}
+ORACLES = {**items.SQL, **headers.SQL, **tables.SQL, **pages.SQL}
