@@ -1,5 +1,5 @@
 """name -> DuckDB SQL."""
 
-from oracle import headers, items, pages, tables
+from oracle import headers, items, notices, pages, tables, texts
 
-ORACLES = {**items.SQL, **headers.SQL, **tables.SQL, **pages.SQL}
+ORACLES = {**items.SQL, **headers.SQL, **tables.SQL, **pages.SQL, **texts.SQL, **notices.SQL}

@@ -168,27 +168,31 @@ def first_matching(c: Column, table) -> Column:
 
 
 def summarize(c: Column, table=rules.REQUIREMENT_TOPICS) -> Column:
-    clean = F.regexp_replace(squeeze(c), r"\.+$", "")
-    low = F.lower(clean)
-    short = (F.char_length(clean) <= 90) & ~contains_any(low, rules.TOPIC_TEXT_STOPS)
+    def of(clean: Column) -> Column:
+        def judge(low: Column) -> Column:
+            short = (F.char_length(clean) <= 90) & ~contains_any(low, rules.TOPIC_TEXT_STOPS)
+            return F.coalesce(first_matching(low, table), F.when(short, clean), F.lit(rules.TOPIC_DEFAULT))
+
+        return let(F.lower(clean), judge)
+
     return (F.when(F.coalesce(c, F.lit("")) == "", F.lit(rules.TOPIC_EMPTY))
-            .otherwise(F.coalesce(first_matching(low, table),
-                                  F.when(short, clean), F.lit(rules.TOPIC_DEFAULT))))
+            .otherwise(let(F.regexp_replace(squeeze(c), r"\.+$", ""), of)))
 
 
 def is_good_topic(c: Column) -> Column:
-    low = F.lower(squeeze(F.coalesce(c, F.lit(""))))
-    return ((low != "") & ~contains_any(low, ("...", "…")) & (F.char_length(low) <= 90)
-            & ~starts_with_any(low, rules.TOPIC_BAD_STARTS) & ~contains_any(low, rules.TOPIC_BAD_PARTS))
+    def judge(low: Column) -> Column:
+        return ((low != "") & ~contains_any(low, ("...", "…")) & (F.char_length(low) <= 90)
+                & ~starts_with_any(low, rules.TOPIC_BAD_STARTS) & ~contains_any(low, rules.TOPIC_BAD_PARTS))
+
+    return let(F.lower(squeeze(F.coalesce(c, F.lit("")))), judge)
 
 
 def topic_of(*texts: Column, table=rules.REQUIREMENT_TOPICS) -> Column:
     """Topic of the first text that yields a usable one."""
-    picks = []
-    for text in texts:
-        topic = summarize(text, table)
-        picks.append(F.when(is_good_topic(topic), lower_first(strip_period(topic))))
-    return F.coalesce(*picks, F.lit(rules.TOPIC_DEFAULT))
+    def pick(text: Column) -> Column:
+        return let(summarize(text, table), lambda t: F.when(is_good_topic(t), lower_first(strip_period(t))))
+
+    return F.coalesce(*map(pick, texts), F.lit(rules.TOPIC_DEFAULT))
 
 
 def about(c: Column) -> Column:
