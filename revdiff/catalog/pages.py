@@ -8,20 +8,23 @@ from revdiff.functions import boxes as B
 from revdiff.operators import geometry as G
 from revdiff.staging import stage
 
-W, H = F.lit(S.PAGE_W), F.lit(S.PAGE_H)
 PAGE = ["doc_id", "page_num"]
 
 
+def page():
+    return F.lit(S.PAGE_W), F.lit(S.PAGE_H)
+
+
 @query("f06_overlap_share")
 def f06(spark, path):
     d = S.line_boxes(spark, path)
-    return d.select(*PAGE, "ord", B.overlap_share(B.box(), B.title_block(W, H)).alias("share"))
+    return d.select(*PAGE, "ord", B.overlap_share(B.box(), B.title_block(*page())).alias("share"))
 
 
 @query("f07_iou")
 def f07(spark, path):
     d = S.line_boxes(spark, path)
-    return d.select(*PAGE, "ord", B.iou(B.box(), B.title_block(W, H, expanded=True)).alias("iou"))
+    return d.select(*PAGE, "ord", B.iou(B.box(), B.title_block(*page(), expanded=True)).alias("iou"))
 
 
 @query("p03_title_block_words")
@@ -30,8 +33,8 @@ def p03(spark, path):
     width = F.when(F.col("doc_id") % 3 == 0, 3200.0).when(F.col("doc_id") % 3 == 1, 1600.0).otherwise(S.PAGE_W)
     scale = width / S.PAGE_W
     big = B.Box(F.col("x0") * scale, F.col("y0"), F.col("x1") * scale, F.col("y1"))
-    inside = B.contains_centre(B.title_block(width, H), big)
-    return w.select("doc_id", "i", inside.alias("inside"), B.contains_centre(B.title_block(width, H, True), big).alias("inside_expanded")) \
+    inside = B.contains_centre(B.title_block(width, page()[1]), big)
+    return w.select("doc_id", "i", inside.alias("inside"), B.contains_centre(B.title_block(width, page()[1], True), big).alias("inside_expanded")) \
         .filter("inside or inside_expanded")
 
 
@@ -43,8 +46,8 @@ def p05(spark, path):
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), joined.alias("flat"),
         F.countDistinct("line").alias("n_rows"), F.count("*").alias("n_cells"))
     name = F.when(F.col("doc_id") % 4 == 0, (F.col("page_num") % 30).cast("string")).otherwise("x")
-    return t.select(*PAGE, "block_no", G.is_title_block(B.box(), W, H, F.col("flat"), F.col("n_rows"), F.col("n_cells")).alias("title_block"),
-                    G.is_noise(B.box(), W, H, name, F.col("flat"), F.col("flat"), F.col("n_rows")).alias("noise"))
+    return t.select(*PAGE, "block_no", G.is_title_block(B.box(), *page(), F.col("flat"), F.col("n_rows"), F.col("n_cells")).alias("title_block"),
+                    G.is_noise(B.box(), *page(), name, F.col("flat"), F.col("flat"), F.col("n_rows")).alias("noise"))
 
 
 @query("w01_word_lines")
@@ -75,7 +78,7 @@ def o01(spark, path):
 @query("j10_excluded_boxes")
 def j10(spark, path):
     d = S.line_boxes(spark, path)
-    stamp = B.title_block(W, H)
+    stamp = B.title_block(*page())
     excluded = d.select(*PAGE).distinct().select(*PAGE, stamp.x0.alias("x0"), stamp.y0.alias("y0"), stamp.x1.alias("x1"), stamp.y1.alias("y1"))
     return G.drop_overlapping(d, excluded).select(*PAGE, "ord")
 

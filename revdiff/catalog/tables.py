@@ -11,9 +11,12 @@ from revdiff.operators import lists, table_facts, tables
 from revdiff.operators.scan import by_position
 from revdiff.staging import stage
 
-NAMES = S.column_names()
 FILL = (*rules.FILL_COLUMNS, "наимен")
-BY_ORD = (["ord"], by_position("ord"))
+
+
+
+def by_ord():
+    return ["ord"], by_position("ord")
 
 
 def compare_rows(spark, path, version):
@@ -122,38 +125,38 @@ def subjects(spark, path):
 
 @query("j14_counted_cancellation")
 def j14(spark, path):
-    return table_facts.drop_wire_artefacts(subjects(spark, path), *BY_ORD).select("doc_id", "ord", "table_key", "subject", "status")
+    return table_facts.drop_wire_artefacts(subjects(spark, path), *by_ord()).select("doc_id", "ord", "table_key", "subject", "status")
 
 
 @query("j15_two_sided_cancellation")
 def j15(spark, path):
-    return table_facts.cancel_both_sides(subjects(spark, path), *BY_ORD).select("doc_id", "ord", "table_key", "subject", "status")
+    return table_facts.cancel_both_sides(subjects(spark, path), *by_ord()).select("doc_id", "ord", "table_key", "subject", "status")
 
 
 def cleaned(spark, path):
-    return table_facts.cancel_both_sides(table_facts.drop_wire_artefacts(subjects(spark, path), *BY_ORD), *BY_ORD)
+    return table_facts.cancel_both_sides(table_facts.drop_wire_artefacts(subjects(spark, path), *by_ord()), *by_ord())
 
 
 @query("a05_wire_rollup")
 def a05(spark, path):
-    return table_facts.wire_rollup(subjects(spark, path), *BY_ORD)
+    return table_facts.wire_rollup(subjects(spark, path), *by_ord())
 
 
 @query("a06_whole_column")
 def a06(spark, path):
-    return table_facts.column_groups(subjects(spark, path), *BY_ORD).select(
+    return table_facts.column_groups(subjects(spark, path), *by_ord()).select(
         "doc_id", "table_key", "column", "group_status", "changes", "subjects", "table_rows", "whole_column")
 
 
 @query("a04_column_facts")
 def a04(spark, path):
     d = cleaned(spark, path)
-    return table_facts.column_facts(table_facts.column_groups(d, *BY_ORD), table_facts.wire_rollup(d, *BY_ORD))
+    return table_facts.column_facts(table_facts.column_groups(d, *by_ord()), table_facts.wire_rollup(d, *by_ord()))
 
 
 @query("a07_marking_tables")
 def a07(spark, path):
-    return table_facts.marking_lines(stage(S.table_differences(spark, path)), *BY_ORD)
+    return table_facts.marking_lines(stage(S.table_differences(spark, path)), *by_ord())
 
 
 @query("w12_range_compression")

@@ -219,7 +219,7 @@ def element_key(positions: Column) -> Column:
 # ---- fixed values: tails of the title block that stick to the last row of a list -------------
 FIELD_TAILS = (
     r"\s+\d{3}\.\d{2}\.\d{2}\.\d{2}\.\d{3}(?:$|[^A-Za-zА-Яа-яЁё0-9_]).*$",
-    r"\s+(?:АО\s*\"?ЭЙРБУРГ\"?|Формат\s*A\d|Лист(?:ов)?(?:$|[^A-Za-zА-Яа-яЁё0-9_])|Лит\.|Изм\.|Зам\.|Нов\.).*$",
+    r"\s+(?:(?:АО|ООО|ПАО|ЗАО)\s*\"[^\"]*\"|Формат\s*A\d|Лист(?:ов)?(?:$|[^A-Za-zА-Яа-яЁё0-9_])|Лит\.|Изм\.|Зам\.|Нов\.).*$",
     r"\s+\.лбуд.*$", r"\s+\.мазв.*$", r"\s+\.лдоп.*$",
     r"\s+Жгут\s+\d{3}\.\d{2}-\d+.*$", r"\s+Кабель(?:$|[^A-Za-zА-Яа-яЁё0-9_]).*$",
 )
@@ -252,9 +252,11 @@ def clean_item_name(c: Column) -> Column:
 
 
 def has_garbage(c: Column) -> Column:
-    low = F.lower(T.squeeze(F.coalesce(c, F.lit(""))))
-    new_row = low.rlike(EDGE_L + r"нов\.\s*\d") & ~T.contains_any(low, rules.GARBAGE_NEW_ROW_EXCEPTIONS)
-    return (low != "") & (T.contains_any(low, rules.GARBAGE_MARKERS) | new_row)
+    def judge(low: Column) -> Column:
+        new_row = low.rlike(EDGE_L + r"нов\.\s*\d") & ~T.contains_any(low, rules.GARBAGE_NEW_ROW_EXCEPTIONS)
+        return (low != "") & (T.contains_any(low, rules.GARBAGE_MARKERS) | new_row)
+
+    return T.let(F.lower(T.squeeze(F.coalesce(c, F.lit("")))), judge)
 
 
 def is_bad_item_name(clean: Column) -> Column:
@@ -263,20 +265,23 @@ def is_bad_item_name(clean: Column) -> Column:
 
 
 def is_plausible_quantity(c: Column) -> Column:
-    qty = F.lower(T.strip(T.space_last_unit(F.coalesce(c, F.lit("")))))
-    return (~has_garbage(qty) & ~qty.rlike(r"^\d{2,}\.\d{2,}(?:\.\d+)?$")
-            & qty.rlike(r"^\d+(?:[,.]\d+)?\s*(?:м|мм|шт\.?|компл\.?|к-т)?$"))
+    def judge(qty: Column) -> Column:
+        return (qty.rlike(r"^\d+(?:[,.]\d+)?\s*(?:м|мм|шт\.?|компл\.?|к-т)?$") & ~qty.rlike(r"^\d{2,}\.\d{2,}(?:\.\d+)?$")
+                & ~has_garbage(qty))
+
+    return T.let(F.lower(T.strip(T.space_last_unit(F.coalesce(c, F.lit(""))))), judge)
 
 
 def item_drop_reason(section: Column, clean: Column, qty: Column) -> Column:
     """Why an added or removed item (name already clean) is not worth a note; null if it is."""
-    glued = F.replace(F.lower(clean), F.lit(" "), F.lit(""))
-    service = F.startswith(glued, F.lit("нов.")) | T.contains_any(glued, ("зам.", "лбуд", "доп"))
-    tubing = F.contains(glued, F.lit("мцша")) & T.contains_any(glued, ("ттпок", "трубкатермоусаживаемая"))
+    def is_service(glued: Column) -> Column:
+        tubing = F.contains(glued, F.lit("мцша")) & T.contains_any(glued, ("ттпок", "трубкатермоусаживаемая"))
+        return F.startswith(glued, F.lit("нов.")) | T.contains_any(glued, ("зам.", "лбуд", "доп")) | tubing
+
     odd = ((F.coalesce(qty, F.lit("")) != "") & ~is_plausible_quantity(qty)
            & ~T.starts_with_any(F.lower(clean), rules.UNQUANTIFIED_NAMES))
     return (F.when(is_bad_item_name(clean), "name").when(has_garbage(section) | has_garbage(qty), "garbage")
-            .when(service | tubing, "service row").when(odd, "quantity"))
+            .when(T.let(F.replace(F.lower(clean), F.lit(" "), F.lit("")), is_service), "service row").when(odd, "quantity"))
 
 
 def change_drop_reason(section: Column, clean: Column, field: Column, old: Column, new: Column) -> Column:
