@@ -20,8 +20,8 @@ def by_ord():
 
 
 def compare_rows(spark, path, version):
-    rows = tables.data_rows(S.table_rows(spark, path, version), "table_id", S.column_names())
-    return tables.fill_down(rows, "table_id", S.column_names(), 5, FILL)
+    rows = tables.data_rows(S.table_rows(spark, path, version), "table_id", S.TABLE_COLUMNS)
+    return tables.fill_down(rows, "table_id", S.TABLE_COLUMNS, 5, FILL)
 
 
 @query("p02_clean_rows")
@@ -97,7 +97,7 @@ def f19(spark, path):
 
 @query("w05_data_rows")
 def w05(spark, path):
-    d = tables.data_rows(S.table_rows(spark, path, 1), "table_id", S.column_names())
+    d = tables.data_rows(S.table_rows(spark, path, 1), "table_id", S.TABLE_COLUMNS)
     return d.select("table_id", "row_index", "row_key", "base_key", "occ")
 
 
@@ -115,7 +115,7 @@ def w04(spark, path):
 @query("j03_cell_diff")
 def j03(spark, path):
     a, b = stage(compare_rows(spark, path, 1)), stage(compare_rows(spark, path, 2))
-    d = tables.cell_diff(a, b, "table_id", S.column_names(), ["table_name", "page_num"])
+    d = tables.cell_diff(a, b, "table_id", S.TABLE_COLUMNS, ["table_name", "page_num"])
     return tables.with_table_sizes(d, a, b, "table_id").drop("base_key")
 
 

@@ -365,21 +365,36 @@ def header_words(names: Column) -> Column:
     return F.transform(names, T.compact)
 
 
-def _is_known(key: Column, exact, words: Column | None) -> Column:
+def _is_known(key: Column, exact, words: Column | None, share: bool) -> Column:
     def known(k: Column) -> Column:
         hit = (k == "") | k.isin(*exact)
         return hit if words is None else hit | F.array_contains(words, k)
 
-    return T.let(key, known)
+    return T.let(key, known) if share else known(key)
 
 
-def is_header_like(c: Column, words: Column | None = None) -> Column:
-    """Empty, a known header word, or one of the column names (given as header_words)."""
-    return _is_known(T.strip(T.compact(T.typographic(c)), "|/;:"), rules.HEADER_WORDS_EXACT, words)
+def is_header_like(c: Column, words: Column | None = None, share: bool = True) -> Column:
+    """Empty, a known header word, or one of the column names (given as header_words).
+
+    `share` is for use inside lambdas; outside, generated code shares the key by itself.
+    """
+    return _is_known(T.strip(T.compact(T.typographic(c)), "|/;:"), rules.HEADER_WORDS_EXACT, words, share)
+
+
+def table_head(spark, names) -> tuple[Column, Column, Column]:
+    """Column names, their header words and the key column, from a column or a fixed list.
+
+    A fixed list is worked out once, in a one-row frame, and enters the plan as literals.
+    """
+    if isinstance(names, Column):
+        return names, header_words(names), key_column(names)
+    listed = F.array(*map(F.lit, names))
+    row = spark.range(1).select(header_words(listed).alias("w"), key_column(listed).alias("k")).first()
+    return listed, F.array(*map(F.lit, row["w"])), F.lit(row["k"]).cast("int")
 
 
 def is_bad_subject(c: Column, words: Column | None = None) -> Column:
-    return _is_known(T.compact(clean_subject(c)), rules.BAD_SUBJECTS_EXACT, words)
+    return _is_known(T.compact(clean_subject(c)), rules.BAD_SUBJECTS_EXACT, words, False)
 
 
 def is_repeated_header(cells: Column, words: Column) -> Column:
