@@ -7,7 +7,7 @@ from revdiff import snapshots as S
 from revdiff.catalog.base import query
 from revdiff.functions import fields as X
 from revdiff.functions import text as T
-from revdiff.operators import lists, table_facts, tables
+from revdiff.operators import lists, pairing, table_facts, tables
 from revdiff.operators.scan import by_position
 from revdiff.staging import stage
 
@@ -180,3 +180,11 @@ def a03(spark, path):
     n = r.groupBy("table_id").agg(F.count("*").alias("n_rows"), F.max("row_index").alias("last_row"))
     return t.join(n, "table_id", "left").select("doc_id", "table_id", "page_num", "x0", "y0", "x1", "y1", "name",
                                                 F.size("names").alias("width"), "pieces", "n_rows", "last_row")
+
+
+@query("j09_table_pairing")
+def j09(spark, path):
+    def ordered(version):
+        return S.document_tables(spark, path, version).withColumn("ord", F.col("table_id") % 8)
+
+    return pairing.pair_tables(ordered(1), ordered(2))

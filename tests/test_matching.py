@@ -130,3 +130,34 @@ def test_stitching(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(split)], "doc_id int, ord int, line string")
     assert {r["number"]: r["text"] for r in R.stitch_split(df).collect()} == {
         1: "Alpha text before\nmore of alpha", 2: "Beta text before\ntail of betagamma"}
+
+
+def test_table_pairing(spark):
+    from revdiff.operators.pairing import pair_tables, table_signature
+
+    rng = random.Random(11)
+    heads = [["Код", "Длина, мм"], ["Код", "Дл"], ["Поз.", "Наименование", "Кол."], ["x"]]
+
+    def tables(n, base):
+        return [(d, base + d * 100 + i, rng.randrange(1, 4), rng.choice(["Таблица 1", "Таблица 2", "Прочее"]), rng.choice(heads), i) for d in range(4) for i in range(n)]
+
+    schema = "doc_id int, table_id int, page_num int, name string, names array<string>, ord int"
+    old, new = spark.createDataFrame(tables(9, 0), schema), spark.createDataFrame(tables(8, 1000), schema)
+    got = {(r["doc_id"], r["old_id"], r["new_id"]) for r in pair_tables(old, new).collect()}
+    sig = table_signature(F.col("page_num"), F.col("name"), F.col("names"))
+    left, right = ([(r["doc_id"], r["table_id"], r["page_num"], r["s"]) for r in df.withColumn("s", sig).orderBy("doc_id", "ord").collect()] for df in (old, new))
+    want, used = set(), set()
+    for doc, lid, page, s in left:
+        best, best_score = None, 0.0
+        for d2, rid, p2, s2 in right:
+            if d2 == doc and rid not in used:
+                score = SequenceMatcher(None, s, s2).ratio() + (0.15 if page == p2 else 0.0)
+                if score > best_score:
+                    best, best_score = rid, score
+        if best is not None and best_score >= 0.45:
+            used.add(best)
+            want.add((doc, lid, best))
+        else:
+            want.add((doc, lid, None))
+    want |= {(d, None, rid) for d, rid, _, _ in right if rid not in used}
+    assert got == want
