@@ -80,8 +80,8 @@ def varied_lines(spark, path):
 
 @query("p06_line_kinds")
 def p06(spark, path):
-    c = F.col("line")
-    return varied_lines(spark, path).select(
+    c = F.col("text")
+    return varied_lines(spark, path).withColumn("text", T.norm_cell(F.col("line"))).select(
         "doc_id", "ord", lines.is_requirement_service(c).alias("requirement_service"), lines.is_bom_header(c).alias("bom_header"),
         lines.is_bom_service(c).alias("bom_service"), lines.bom_section(c).alias("section"), lines.is_item_start(c).alias("item_start"),
         lines.is_element_service(F.array(c)).alias("element_service"), lines.is_element_position(c).alias("element_position"))

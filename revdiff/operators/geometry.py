@@ -120,6 +120,15 @@ def drop_overlapping(boxes: DataFrame, excluded: DataFrame, iou_limit: float | N
     return a.join(e, on, "left_anti")
 
 
+def first_copies(boxes: DataFrame) -> DataFrame:
+    """Earliest of equal boxes. Later copies go whatever happens to the first: what covers one
+    covers all. So copies never meet in the pair join. Boxes without an area cover nothing and stay."""
+    flat = (F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0"))
+    solid = boxes.filter(~flat).groupBy("doc_id", "page_num", "x0", "y0", "x1", "y1").agg(F.min("ord").alias("ord"))
+    cols = ["doc_id", "page_num", "ord", "x0", "y0", "x1", "y1"]
+    return solid.select(*cols).unionByName(boxes.filter(flat).select(*cols))
+
+
 def near_pairs(boxes: DataFrame, limit: float = 0.85) -> DataFrame:
     """(later, earlier) pairs of one page with IoU above `limit`.
 
@@ -159,8 +168,9 @@ def near_pairs(boxes: DataFrame, limit: float = 0.85) -> DataFrame:
 
 def drop_near_duplicates(boxes: DataFrame, limit: float = 0.85) -> DataFrame:
     """Native variant of J11: a box goes if any earlier box of its page covers it."""
-    gone = near_pairs(boxes, limit).select("doc_id", "page_num", "ord").distinct()
-    return boxes.join(gone, ["doc_id", "page_num", "ord"], "left_anti")
+    firsts = first_copies(boxes)
+    gone = near_pairs(firsts, limit).select("doc_id", "page_num", "ord").distinct()
+    return firsts.join(gone, ["doc_id", "page_num", "ord"], "left_anti")
 
 
 def keep_first_of_duplicates(boxes: DataFrame, limit: float = 0.85) -> DataFrame:
@@ -170,7 +180,7 @@ def keep_first_of_duplicates(boxes: DataFrame, limit: float = 0.85) -> DataFrame
     near-duplicates at worst one link at a time, and works on unsettled pairs only.
     """
     keys = ["doc_id", "page_num", "ord"]
-    boxes = stage(boxes)
+    boxes = stage(first_copies(boxes))
     pairs = stage(near_pairs(boxes, limit))
     dropped = None
     while not pairs.isEmpty():

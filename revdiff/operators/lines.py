@@ -13,32 +13,31 @@ from revdiff.operators.scan import by_position, ordered_scan
 from revdiff.staging import stage
 
 
-# ---- line kinds (P6) -------------------------------------------------------------------------
+# ---- line kinds (P6); all of normalised text, so that a line is normalised once --------------
 
 def is_requirement_service(c: Column) -> Column:
-    low = F.lower(T.norm_cell(c))
-    return ((low == "") | low.isin(*rules.SERVICE_LINES_EXACT) | low.rlike(r"^(?:обозначение|код|маркировка|xp\d|xs\d|хр\d|хs\d)$")
-            | low.rlike(r"^(?:таблица\s*\d+|продолжение таблицы)"))
+    low = F.lower(c)
+    return ((c == "") | low.isin(*rules.SERVICE_LINES_EXACT)
+            | low.rlike(r"^(?:(?:обозначение|код|маркировка|xp\d|xs\d|хр\d|хs\d)$|таблица\s*\d+|продолжение таблицы)"))
 
 
 def is_bom_header(c: Column) -> Column:
-    return T.count_hits(F.lower(T.norm_cell(c)), rules.BOM_HEADER_WORDS) >= 3
+    return T.count_hits(F.lower(c), rules.BOM_HEADER_WORDS) >= 3
 
 
 def is_bom_service(c: Column) -> Column:
-    low = F.lower(T.norm_cell(c))
-    return ((low == "") | is_bom_header(c) | low.isin(*rules.BOM_SERVICE_EXACT) | low.rlike(r"^\d+\s+зам\.") | F.startswith(low, F.lit("ао "))
+    low = F.lower(c)
+    return ((c == "") | is_bom_header(c) | low.isin(*rules.BOM_SERVICE_EXACT) | low.rlike(r"^\d+\s+зам\.") | F.startswith(low, F.lit("ао "))
             | (F.contains(low, F.lit("изм.")) & F.contains(low, F.lit("докум"))) | T.contains_any(low, rules.BOM_SERVICE_CONTAINS))
 
 
 def bom_section(c: Column, names=rules.BOM_SECTIONS) -> Column:
-    low = F.lower(T.norm_cell(c))
+    low = F.lower(c)
     return F.when(low.isin(*names), F.initcap(low))
 
 
 def is_item_start(c: Column) -> Column:
-    text = T.norm_cell(c)
-    return (text.rlike(r"^\d+\s+\S+") & ~text.rlike(r"(?iu)^\d+\s+зам\.")) | text.rlike(r"(?iu)^[AА]\d\s+\S+")
+    return (c.rlike(r"^\d+\s+\S+") & ~c.rlike(r"(?iu)^\d+\s+зам\.")) | c.rlike(r"(?iu)^[AА]\d\s+\S+")
 
 
 def is_element_service(values: Column) -> Column:
@@ -49,8 +48,8 @@ def is_element_service(values: Column) -> Column:
 
 
 def is_element_position(c: Column) -> Column:
-    text = T.norm_cell(c)
-    return text.rlike(r"^[A-ZА-Я0-9][A-ZА-Я0-9.\-]*(?:, *)?$") & ~(F.contains(text, F.lit(" ")) & ~F.contains(text, F.lit(",")))
+    return (c.rlike(r"^[A-ZА-Я0-9][A-ZА-Я0-9.\-]*(?:, *)?$")
+            & ~(F.contains(c, F.lit(" ")) & ~F.contains(c, F.lit(","))))
 
 
 # ---- keyword classes (P4) --------------------------------------------------------------------
@@ -82,10 +81,9 @@ def items_from_lines(lines: DataFrame, section: Column, is_service: Column | Non
 
     Sections, starts and page ends close the open item; lines outside any item are dropped.
     """
-    text = F.trim(T.norm_cell(F.col("line")))
-    service = is_bom_service(F.col("line")) if is_service is None else is_service
-    marked = lines.withColumns({"section_here": section, "start": is_item_start(F.col("line")), "piece": text}).filter(~service & (F.col("piece") != ""))
-    marked = marked.withColumn("start", F.col("start") & F.col("section_here").isNull())
+    service = is_bom_service(F.col("piece")) if is_service is None else is_service
+    clean = lines.withColumn("piece", T.norm_cell(F.col("line"))).filter(~service & (F.col("piece") != ""))
+    marked = clean.withColumn("section_here", section).withColumn("start", is_item_start(F.col("piece")) & F.col("section_here").isNull())
     linked = stage(ordered_scan(marked, ["doc_id"], ["ord"], by_position("ord"), previous={"prev_page": F.col("page_num")}))
     breaks = F.col("start") | F.col("section_here").isNotNull() | (F.col("page_num") != F.coalesce("prev_page", "page_num"))
     runs = ordered_scan(linked, ["doc_id"], ["ord"], by_position("ord"), running={"run": breaks.cast("int")}, carry={"section": F.col("section_here")})

@@ -102,7 +102,7 @@ def test_word_lines_exact(spark):
 
 def iou(a, b):
     w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
-    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h or 1)
 
 
 def test_near_duplicate_boxes(spark):
@@ -111,14 +111,15 @@ def test_near_duplicate_boxes(spark):
     for o in range(150):
         x, y, w, h = rng.choice([0, 3, 50, 51]) + rng.random() * 4, rng.choice([0, 1, 30]) + rng.random(), rng.choice([20, 21, 64, 63]), rng.choice([10, 10.5, 31.9, 32.1])
         boxes.append((1, rng.randrange(1, 3), o, float(x), float(y), float(x + w), float(y + h)))
+    boxes += [(*b[:2], b[2] + 1000, *b[3:]) for b in boxes[:40]] + [(1, 1, 5000 + i, 7.0, 7.0, 7.0, 9.0) for i in range(2)]
     df = spark.createDataFrame(boxes, "doc_id int, page_num int, ord int, x0 double, y0 double, x1 double, y1 double")
     any_earlier, kept = set(), []
     for b in boxes:
-        if not any(e[1] == b[1] and e[2] < b[2] and iou(e[3:], b[3:]) > 0.85 for e in boxes):
+        if any(e[1] == b[1] and e[2] < b[2] and iou(e[3:], b[3:]) > 0.85 for e in boxes):
             any_earlier.add(b[2])
         if not any(e[1] == b[1] and iou(e[3:], b[3:]) > 0.85 for e in kept):
             kept.append(b)
-    assert {r["ord"] for r in G.drop_near_duplicates(df).collect()} == any_earlier
+    assert {r["ord"] for r in G.drop_near_duplicates(df).collect()} == {b[2] for b in boxes} - any_earlier
     assert {r["ord"] for r in G.keep_first_of_duplicates(df).collect()} == {b[2] for b in kept}
 
 
