@@ -78,10 +78,10 @@ SQL["j13_nearest_neighbour"] = with_(["words"], """, a AS (SELECT *, (y0 + y1) /
   b AS (SELECT m.doc_id, m.page_num, m.i AS anchor, w.i, w.text, row_number() OVER (PARTITION BY m.doc_id, m.page_num, m.i
       ORDER BY (w.cy - m.cy) * 3 + abs(w.cx - m.cx), w.i) AS rn
     FROM a m JOIN a w ON m.doc_id = w.doc_id AND m.page_num = w.page_num AND w.cy - m.cy BETWEEN 8 AND 45 AND abs(w.cx - m.cx) <= 100
-    WHERE m.i % 37 = 0 AND w.i % 3 = 1),
+    WHERE m.i % 37 = 0 AND length(w.text) <= 4),
   l AS (SELECT m.doc_id, m.page_num, m.i AS anchor, w.i, w.text, w.x0, m.x0 - w.x1 AS gap, abs(w.x0 - m.x0) AS far,
       CASE WHEN m.x0 - w.x1 >= -4 AND m.x0 - w.x1 <= 90 THEN 1 WHEN w.x0 <= m.x1 + 10 AND abs(w.x0 - m.x0) <= 130 THEN 2 END AS tier
-    FROM a m JOIN a w ON m.doc_id = w.doc_id AND m.page_num = w.page_num AND abs(w.cy - m.cy) <= 8 WHERE m.i % 37 = 0 AND w.i % 4 = 1),
+    FROM a m JOIN a w ON m.doc_id = w.doc_id AND m.page_num = w.page_num AND abs(w.cy - m.cy) <= 8 WHERE m.i % 37 = 0 AND length(w.text) <= 3),
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num, anchor ORDER BY tier, CASE tier WHEN 1 THEN gap ELSE far END, x0, i) AS rn FROM l WHERE tier IS NOT NULL)
   SELECT doc_id, page_num, 'below' AS kind, anchor, i, text FROM b WHERE rn = 1
   UNION ALL SELECT doc_id, page_num, 'left' || tier, anchor, i, text FROM r WHERE rn = 1""")

@@ -136,7 +136,7 @@ SQL["a17_best_set"] = with_(["raw"], """, n AS (SELECT DISTINCT doc_id, page_num
 LET = "length(regexp_replace(t, '[^А-Яа-яA-Za-z]', '', 'g'))"
 NO = "NOT (contains(lower(t), 'anin') OR contains(lower(t), 'лист'))"
 SQL["o02_best_title"] = with_(["raw"], f""", a AS (SELECT doc_id, ord, CASE WHEN doc_id % 4 = 0 THEN 'Изм Дата ' || left(line, 30) ELSE left(line, 45) END AS line
-    FROM raw WHERE doc_id % 5 > 0 OR ord > 2),
+    FROM raw),
   b AS (SELECT *, {cell('line')} AS t, {cell("regexp_extract(line, '(?i)(?:^|[^" + WORD + "])Дата\\s+(.+)$', 1)")} AS tail FROM a),
   c AS (SELECT *, CASE WHEN regexp_matches(lower(t), '^(the|les|section)($|[^{WORD}])') AND length(t) <= 40 AND {NO} THEN 3
       WHEN length(regexp_replace(tail, '[^А-Яа-яA-Za-z]', '', 'g')) >= 3 AND NOT {any_of('lower(tail)', rules.TITLE_TAIL_BANNED)} THEN 2

@@ -103,8 +103,8 @@ def j12(spark, path):
 def j13(spark, path):
     w = stage(S.words(spark, path))
     marks = w.filter("i % 37 = 0")
-    below = G.nearest_below(marks, w.filter("i % 3 = 1")).select(
+    below = G.nearest_below(marks, w.filter(F.char_length("text") <= 4)).select(
         *PAGE, F.lit("below").alias("kind"), F.col("header").alias("anchor"), "i", "text")
-    left = G.nearest_left(marks, w.filter("i % 4 = 1")).select(
+    left = G.nearest_left(marks, w.filter(F.char_length("text") <= 3)).select(
         *PAGE, F.concat(F.lit("left"), F.col("tier").cast("string")).alias("kind"), F.col("mark").alias("anchor"), "i", "text")
     return below.unionByName(left)

@@ -16,7 +16,7 @@ MARKERS = (" the ", " of ", " les ", " des ", " der ", " und ", " los ", " el ")
 
 @query("f01_encoding_repair")
 def f01(spark, path):
-    return S.document_lines(spark, path).filter("number % 4 = 1").select("doc_id", "number", T.repair_encoding("text").alias("text"))
+    return S.document_lines(spark, path).select("doc_id", "number", T.repair_encoding("text").alias("text"))
 
 
 @query("f02_text_normalisation")
@@ -140,7 +140,7 @@ def a17(spark, path):
 def o02(spark, path):
     d = S.raw_lines(spark, path).withColumn("line", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Изм Дата "), F.left("line", F.lit(30))))
                                             .otherwise(F.left("line", F.lit(45))))
-    return lines.best_title(d.filter("doc_id % 5 > 0 or ord > 2"), ("the", "les", "section"), ("anin", "лист"))
+    return lines.best_title(d, ("the", "les", "section"), ("anin", "лист"))
 
 
 @query("u04_merge_sets")
