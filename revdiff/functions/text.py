@@ -235,9 +235,13 @@ def repair_encoding(texts: pd.Series) -> pd.Series:
     return texts.map(_repair)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp similarity; order matters, so (old, new)."""
+def _ratios(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Ratcliff/Obershelp similarity; order matters, so (old, new). Null where a side is null."""
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(old, new)], dtype="float64")
+    return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(old, new)], dtype="float64")
+
+
+# marked non-deterministic so that a filter on the result is not pushed below it, which would
+# compare every pair again
+sequence_ratio = F.pandas_udf(_ratios, DoubleType()).asNondeterministic()
