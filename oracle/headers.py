@@ -64,7 +64,7 @@ PATTERNS = ", ".join(map(number, (r"[A-ZА-ЯЁ]{1,10}\.\d{3}\.\d{2}\.\d{2}\.\d{
                                   r"[A-ZА-ЯЁ]{1,10}(?:[.\-]\d{2,5}){3,8}")))
 GLUED = r"'(?i)(?:^|[^0-9])\d?(\d{3}\.\d{2}\.\d{2}\.\d{2}\.\d{3})(?:\s*(?:СБ|СП|ПЭ4|Э4))?'"
 SQL["f08_document_number"] = with_(["meta1"], f""", d AS (SELECT doc_id, decimal_number,
-    CASE WHEN doc_id % 2 = 0 THEN 'РСПГ.' ELSE '' END || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '.' ||
+    CASE WHEN doc_id % 2 = 0 THEN 'АБВГ.' ELSE '' END || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '.' ||
     lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(doc_id % 97 AS VARCHAR), 2, '0') || '.' ||
     lpad(CAST(doc_id % 89 AS VARCHAR), 2, '0') || '.' || lpad(CAST(doc_id % 999 AS VARCHAR), 3, '0') AS num,
     CASE WHEN doc_id % 5 < 3 THEN {SUF} ELSE '' END AS suf, doc_id % 5 = 4 AS told,

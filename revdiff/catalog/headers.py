@@ -81,7 +81,7 @@ def f08(spark, path):
     def two(m):
         return F.lpad((k % m).cast("string"), 2, "0")
 
-    number = F.concat(F.when(k % 2 == 0, "РСПГ.").otherwise(""), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("."), two(100), F.lit("."),
+    number = F.concat(F.when(k % 2 == 0, "АБВГ.").otherwise(""), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("."), two(100), F.lit("."),
                       two(97), F.lit("."), two(89), F.lit("."), F.lpad((k % 999).cast("string"), 3, "0"))
     text = F.concat(F.lit("Изм. Лист "), number, F.when(k % 5 < 3, F.regexp_extract("decimal_number", " .*$", 0)).otherwise(""),
                     F.when(k % 5 == 4, " см. сб").otherwise(""), F.when((k % 6 == 0) | (k % 7 == 1), "x").otherwise(" x"))
