@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,3 +74,29 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         held.append(b.slice(start))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Like groups, but many complete groups together: tables of at least `rows` rows that end where a group ends."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        change = np.zeros(n - 1, bool)
+        for k in keys:
+            v = table.column(k).to_numpy()
+            change |= v[1:] != v[:-1]
+        at = change.nonzero()[0]
+        if len(at):
+            cut = int(at[-1]) + 1
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            n -= cut
+    if held:
+        yield pa.Table.from_batches(held)

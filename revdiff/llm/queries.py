@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revdiff.llm import caps, decontaminate, langid, mixing, quality, simhash, tokens, urlfilter, warc
+from revdiff.llm import caps, decontaminate, langid, mixing, quality, simhash, suffixtree, tokens, urlfilter, warc
 from revdiff.llm.common import WORD, held_out
 from revdiff.staging import stage
 
@@ -18,6 +18,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 10, 0)
+    scored = suffixtree.score(docs, ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.dedupe(table(spark, sf_dir, "documents"))
 
@@ -64,7 +71,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_mixing, op5_urls, op6_warc, op7_quality, op8_token_counts, op9_language, op10_vectors)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_suffix_tree, op3_simhash, op4_mixing, op5_urls, op6_warc, op7_quality, op8_token_counts, op9_language, op10_vectors)}
 
 #: DuckDB SQL for the rows of a query.
 SQL: dict[str, str] = {
