@@ -21,6 +21,8 @@ from revdiff.staging import stage
 WEIGHTS, SHARE, CAP, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 7
 #: Rows of a source to each slot of a size band; a slot of a band is one chunk of the running sum.
 SLOT_ROWS = 1_000_000
+#: Sources up to which the table of targets, a few numbers per source, is broadcast; beyond, it is joined.
+BROADCAST_SOURCES = 100_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
@@ -66,6 +68,8 @@ def copies(docs: DataFrame, *, row: str, key: str = "doc_id", text: str = "text"
     plan = spark.createDataFrame(
         [(s is None, s or "", z, float(goal[s]), goal[s] / z if z else 0.0, _offset(s, seed), math.ceil(n / SLOT_ROWS)) for s, (z, n) in per.items()],
         "sn boolean, ss string, source_size long, target double, e double, u double, slots int")
+    if len(per) <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     known = slim.select("*", F.col("s").isNull().alias("sn"), F.coalesce("s", F.lit("")).alias("ss")).join(plan, ["sn", "ss"])
     mixed = F.xxhash64("k", F.lit(seed))
     # twelve bands to a doubling of the size: documents of like size stand together, so the words taken come out even
