@@ -42,7 +42,7 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read(spark, path, payloads=False))
+    captures = warc.assemble(stage(warc.read(spark, path, payloads=False)))
     kind = F.col("response.kind")
     return captures.select(
         F.col("page").cast("long").alias("page_id"), F.coalesce("metadata.payload_bytes", "response.payload_bytes").alias("payload_bytes"),

@@ -21,8 +21,8 @@ from revdiff.session import checkpoint_dir
 
 #: Payloads shorter than this are never replaced by a revisit.
 LEAST = 1000
-#: Payload bytes aimed at in one archive file.
-ARCHIVE_BYTES = 16 * 2**20
+#: Payload bytes aimed at in one archive file, and their bound: a file is read back whole by one task.
+ARCHIVE_BYTES, ARCHIVE_BOUND = 64 * 2**20, 2**30
 _DATE = "2020-01-01T00:00:00Z"
 _END = "\r\n\r\n"
 
@@ -49,10 +49,10 @@ def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url"
     digest = slim.select("k", "o", F.sha1("b").alias("d"), F.octet_length("b").alias("n"))
     # only payloads that occur again; counted in the map tasks first, so a payload with a third of all rows is one row a task
     again = digest.filter(F.col("n") >= LEAST).groupBy("d").agg(F.max("o").alias("top"), F.count("*").alias("c")).filter("c > 1").select("d", "top")
-    parts = max(1, -(-int(slim.agg(F.sum(F.octet_length("b"))).first()[0] or 0) // ARCHIVE_BYTES))
+    size = slim.agg(F.avg(F.octet_length("b")), F.max(F.octet_length("b"))).first()
+    captures = max(1, int(min(ARCHIVE_BYTES // max(1.0, size[0] or 1.0), ARCHIVE_BOUND // max(1, size[1] or 1))))
     marked = (slim.withColumn("d", F.sha1("b")).join(again, "d", "left")
-              .select("k", "u", F.col("top").cast("string").alias("top"), (F.col("top").isNotNull() & ~F.col("o").eqNullSafe(F.col("top"))).alias("revisit"), "b")
-              .repartition(parts, "k", "u", F.octet_length("b")))
+              .select("k", "u", F.col("top").cast("string").alias("top"), (F.col("top").isNotNull() & ~F.col("o").eqNullSafe(F.col("top"))).alias("revisit"), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,7 +76,7 @@ def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url"
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     lines = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", _END).option("compression", "gzip").text(path)
+    lines.write.option("maxRecordsPerFile", 3 * captures).option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
