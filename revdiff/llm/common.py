@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,3 +101,23 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int)
             n -= cut
     if held:
         yield pa.Table.from_batches(held)
+
+
+def release(spark) -> None:
+    """Free the shuffle files of queries that are done.
+
+    They go when the driver collects the handles of those queries, which may be long after; steps that each shuffle about as much as
+    they read ask for it once their result is written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete a staged frame that nothing reads any more."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/revdiff-stage/" in folder:
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

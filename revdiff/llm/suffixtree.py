@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from revdiff.llm.common import as_bytes, whole_groups
+from revdiff.llm.common import as_bytes, drop_stage, release, whole_groups
 from revdiff.staging import stage
 
 #: Tokens packed into one block; a longer text is a block of its own.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 #: Added to every word's count in the root distribution.
 ADD = 0.1
 #: Occurrences that a word or a context needs to be a symbol of a state, and that a follower needs to be kept.
@@ -38,19 +41,24 @@ PENALTY = 4.0
 DEPTH = 2
 #: Occurrences of a context to each part of its followers that is counted in one group.
 PART = 2**20
-#: Rows merged at a time.
-CHUNK = 20_000
+#: Words, and rows of requests, merged at a time.
+CHUNK, MERGE = 20_000, 2_000
 END = xxhash.xxh64_intdigest(b"")
 
 
 def _pack(a: np.ndarray) -> bytes:
     """Byte planes, compressed."""
     a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+    return _codec()[0].compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+
+
+@lru_cache(maxsize=1)
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _unpack(raw: bytes, kind) -> np.ndarray:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    data = np.frombuffer(_codec()[1].decompress(raw), np.uint8)
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(data.reshape(width, -1).T).view(kind).ravel()
 
@@ -102,27 +110,40 @@ def blocks_of(docs: DataFrame, learn: Column, key: str, text: str) -> DataFrame:
 
 
 def _counted_words(blocks: DataFrame) -> DataFrame:
-    """block, i (place in its vocabulary), c (count in all texts learned from), id (one place of the word in the corpus), own (whether it is this one)."""
+    """block, i (place in its vocabulary), c (count in all texts learned from), id (one place of the word in the corpus)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, learn, lens, codes, vocab in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = np.frombuffer(vocab, np.uint64).view(np.int64)
                 counts = np.bincount(_unpack(codes, np.int32)[np.repeat(_unpack(learn, np.uint8), _unpack(lens, np.int64)) > 0], minlength=len(h))
-                order = h.argsort()
-                for at in range(0, len(order), CHUNK):
-                    o = order[at:at + CHUNK]
+                for at in range(0, len(h), CHUNK):
+                    o = np.arange(at, min(len(h), at + CHUNK))
                     yield pa.RecordBatch.from_arrays([pa.array(h[o]), pa.array((block << 31) + o), pa.array(counts[o])], ["h", "place", "n"])
 
-    rows = blocks.select("block", "learn", "lens", "codes", "vocab").mapInArrow(run, "h long, place long, n long")
-    # a block has one row per distinct word, so rows of a word are as many as blocks, never as its occurrences
-    total = rows.groupBy("h").agg(F.sum("n").alias("c"), F.min("place").alias("id"))
-    joined = rows.join(total, "h")
-    return joined.select(F.shiftright("place", 31).alias("block"), F.col("place").bitwiseAND(2**31 - 1).cast("int").alias("i"), "c", "id", (F.col("place") == F.col("id")).alias("own"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["h"], CHUNK):
+            h, place, n = (t.column(c).to_numpy() for c in ("h", "place", "n"))
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            start, word = new.nonzero()[0], new.cumsum() - 1
+            columns = (place >> 31, (place & (2**31 - 1)).astype(np.int32), np.add.reduceat(n, start)[word], np.minimum.reduceat(place, start)[word])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "i", "c", "id"])
+
+    rows = blocks.select("block", "learn", "lens", "codes", "vocab").mapInArrow(ask, "h long, place long, n long")
+    # a block sends one row per distinct word, so a word has at most as many rows as there are blocks, however often it occurs
+    return rows.repartition(_slots(blocks), "h").sortWithinPartitions("h").mapInArrow(merge, "block long, i int, c long, id long")
+
+
+def _slots(df: DataFrame) -> int:
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _with_counts(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """Blocks with the count and the id of every word of their vocabulary instead of its hash; id -1: too rare to be a symbol of a state."""
+    """Blocks with the count and the id of every word of their vocabulary instead of its hash; id -1: too rare to be a symbol of a state.
+
+    Words counted at their own place add up, over all blocks, to tokens, distinct words and symbols of the corpus.
+    """
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -130,16 +151,19 @@ def _with_counts(blocks: DataFrame, words: DataFrame) -> DataFrame:
         i = right.column("i").to_numpy()
         c, ids = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
         c[i], ids[i] = right.column("c").to_numpy(), right.column("id").to_numpy()
+        own = (ids == (left.column("block")[0].as_py() << 31) + np.arange(len(ids))) & (c > 0)
         ids[c < LEAST] = -1
-        return left.append_column("c", pa.array([_pack(c)])).append_column("ids", pa.array([_pack(ids)]))
+        about = {"c": pa.array([_pack(c)]), "ids": pa.array([_pack(ids)]), "tokens": pa.array([int(c[own].sum())], pa.int64()),
+                 "distinct": pa.array([int(own.sum())], pa.int64()), "symbols": pa.array([int((own & (c >= LEAST)).sum())], pa.int64())}
+        for name, column in about.items():
+            left = left.append_column(name, column)
+        return left
 
     slim = blocks.select("block", "keys", "learn", "lens", "codes")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(slim.schema).append(pa.field("c", pa.binary())).append(pa.field("ids", pa.binary()))
-    empty = schema.empty_table()
-    return stage(slim.groupBy("block").cogroup(words.select("block", "i", "c", "id").groupBy("block")).applyInArrow(join, f"{kinds}, c binary, ids binary"))
+    out = f"{kinds}, c binary, ids binary, tokens long, distinct long, symbols long"
+    empty = _nothing(out)
+    return stage(slim.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(join, out))
 
 
 class _Block:
@@ -151,7 +175,10 @@ class _Block:
         self.learn = _unpack(row["learn"], np.uint8)
         c = _unpack(row["c"], np.int64)
         self.c, self.known = c, c[self.codes] > 0
-        self.symbol = _unpack(row["ids"], np.int64)[self.codes]
+        ids = _unpack(row["ids"], np.int64)
+        self.symbol = ids[self.codes]
+        self.symbols = np.unique(ids)  # -1, too rare, is one of them if any is
+        self.symbol_at = np.searchsorted(self.symbols, ids)[self.codes]
         self.root = ((c + ADD) / (n + ADD * (v + 1)))[self.codes] if n or v else np.ones(len(self.codes))
         self.p = self.root
         first = np.zeros(len(self.codes), bool)
@@ -172,16 +199,14 @@ class _Block:
         inside = (sc[at] == self.context) & (self.context != -1) if len(sc) else np.zeros(len(self.codes), bool)
         self.kept = np.zeros(len(self.codes), np.int64)
         if inside.any():
-            # followers: looked up as pairs; a pair's rank is that of its context and its symbol
-            pc, ps, pn = ctx[~own], succ[~own], n[~own]
+            # a follower is looked up by the places of its context and of its symbol in the block
             where = inside.nonzero()[0]
-            want = np.rec.fromarrays([self.context[where], self.symbol[where]], names="a,b")
-            have = np.rec.fromarrays([pc, ps], names="a,b")
-            if len(have):
-                every, rank = np.unique(np.concatenate([have, want]), return_inverse=True)
-                table = np.zeros(len(every), np.int64)
-                table[rank[: len(have)]] = pn
-                self.kept[where] = table[rank[len(have):]]
+            pc, ps, pn = ctx[~own], succ[~own], n[~own]
+            if len(pc):
+                have = np.searchsorted(sc, pc) * len(self.symbols) + np.searchsorted(self.symbols, ps)
+                want = at[where] * len(self.symbols) + self.symbol_at[where]
+                hit = np.minimum(np.searchsorted(have, want), len(have) - 1)
+                self.kept[where] = np.where(have[hit] == want, pn[hit], 0)
             total = self.total[where].astype(float)
             kinds, mass = st[at[where]], sm[at[where]]
             back = (total - mass + DISCOUNT * kinds) / total
@@ -194,26 +219,39 @@ class _Block:
         grown = (self.context != -1) & (self.kept >= LEAST) & (self.symbol != -1)
         context = np.full(len(self.codes), -1, np.int64)
         total = np.zeros(len(self.codes), np.int64)
-        with np.errstate(over="ignore"):
-            mixed = (self.context * np.int64(-7046029254386353131) ^ self.symbol * np.int64(-4417276706812531889)) * np.int64(1609587929392839161)
         ok = grown[:-1] & ~self.first[1:]
-        context[1:][ok], total[1:][ok] = np.where(mixed[:-1][ok] == -1, -2, mixed[:-1][ok]), self.kept[:-1][ok]
+        context[1:][ok], total[1:][ok] = _mix(self.context[:-1][ok], self.symbol[:-1][ok]), self.kept[:-1][ok]
         self.context, self.total = context, total
 
-    def requests(self) -> tuple[np.ndarray, ...]:
-        """Distinct (context, part, follower) of the block: context, part, follower, count in texts learned from, quantised surprise, context's total."""
+    def requests(self, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (context, part, follower) of the block, ordered by slot, and for each: context, part, the context's total, follower, its count in
+        texts learned from, its quantised surprise."""
         at = ((self.context != -1) & (self.symbol != -1)).nonzero()[0]
         ctx, sym = self.context[at], self.symbol[at]
         part = sym % -(-np.maximum(self.total[at], 1) // PART)
-        order = np.lexsort((sym, part, ctx))
-        ctx, sym, part, at = ctx[order], sym[order], part[order], at[order]
+        slot = (_mix(ctx, part) >> 1) % slots
+        order = np.lexsort((sym, part, ctx, slot))
+        ctx, sym, part, slot, at = ctx[order], sym[order], part[order], slot[order], at[order]
         new = np.ones(len(at), bool)
         new[1:] = (ctx[1:] != ctx[:-1]) | (sym[1:] != sym[:-1])
         start = new.nonzero()[0]
         learned = np.repeat(self.learn, self.lens)[at].astype(np.int64)
         n = np.add.reduceat(learned, start) if len(start) else start
-        q = np.clip(np.rint(-8 * np.log(self.p[at[start]])), 0, 255).astype(np.uint8)
-        return ctx[start], part[start], sym[start], n, q, self.total[at[start]]
+        q = np.clip(np.rint(-8 * np.log(self.p[at[start]])), 0, 255).astype(np.int64)
+        return slot[start], np.stack([ctx[start], part[start], self.total[at[start]], sym[start], n, q])
+
+    def contexts(self) -> np.ndarray:
+        """Distinct candidate contexts of this level."""
+        every = np.unique(self.context)
+        return every[every != -1]
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two longs that is at least 0."""
+    with np.errstate(over="ignore"):
+        x = (a * np.int64(-7046029254386353131) ^ b * np.int64(-4417276706812531889)) * np.int64(1609587929392839161)
+        x ^= x >> 29
+        return (x * np.int64(-4658895280553007687)) & np.int64(2**63 - 1)
 
 
 def _states(right: pa.Table | None) -> list[dict[str, np.ndarray]]:
@@ -227,50 +265,38 @@ def _states(right: pa.Table | None) -> list[dict[str, np.ndarray]]:
     return out
 
 
-_REQUEST = "ctx long, part long, block long, total long, succ array<long>, n array<int>, q binary"
+#: Requests travel by slots: contexts of like hash share a row, their numbers packed.
+_REQUEST = "slot long, block long, packed binary"
+SLOT_CONTEXTS = 64
 
 
-def _send(block: int, b: _Block) -> Iterator[pa.RecordBatch]:
-    ctx, part, sym, n, q, total = b.requests()
-    if not len(ctx):
-        return
-    new = np.ones(len(ctx), bool)
-    new[1:] = (ctx[1:] != ctx[:-1]) | (part[1:] != part[:-1])
-    start = np.append(new.nonzero()[0], len(ctx))
-    for at in range(0, len(start) - 1, CHUNK):
-        s = start[at:at + CHUNK + 1]
-        lo, hi = s[0], s[-1]
-        offsets = pa.array((s - lo).astype(np.int32))
-        raw = pa.Array.from_buffers(pa.binary(), len(s) - 1, [None, pa.py_buffer((s - lo).astype(np.int32).tobytes()), pa.py_buffer(q[lo:hi].tobytes())])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ctx[s[:-1]]), pa.array(part[s[:-1]]), pa.array(np.full(len(s) - 1, block)), pa.array(total[s[:-1]]),
-             pa.ListArray.from_arrays(offsets, pa.array(sym[lo:hi])), pa.ListArray.from_arrays(offsets, pa.array(n[lo:hi].astype(np.int32))), raw],
-            ["ctx", "part", "block", "total", "succ", "n", "q"])
+def _send(block: int, b: _Block, slots: int) -> pa.RecordBatch | None:
+    slot, table = b.requests(slots)
+    if not len(slot):
+        return None
+    new = np.ones(len(slot), bool)
+    new[1:] = slot[1:] != slot[:-1]
+    start = new.nonzero()[0]
+    rows = [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(start, [*start[1:], len(slot)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(slot[start]), pa.array(np.full(len(start), block, np.int64)), pa.array(rows, pa.binary())], ["slot", "block", "packed"])
 
 
 def _test(t: pa.Table) -> pa.RecordBatch | None:
-    """Merge the requests for complete (context, part) groups, test their divergence and answer.
+    """Merge the requests of complete slots, test the divergence of every (context, part) and answer.
 
     Rows (block, ctx, succ, n) give a kept follower's count to a block that asked for it; rows with block -1 give (ctx, kept followers, their mass).
     """
-    t = t.combine_chunks()
-    ctx, part, block, total = (t.column(c).to_numpy() for c in ("ctx", "part", "block", "total"))
-    lists = t.column("succ").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    counts = t.column("n").combine_chunks()
-    counts = counts.chunk(0) if isinstance(counts, pa.ChunkedArray) else counts
-    succ, n = lists.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.int64)
-    q = np.frombuffer(b"".join(t.column("q").to_pylist()), np.uint8)
-    row = np.repeat(np.arange(len(ctx)), lists.value_lengths().to_numpy())
+    tables = [_unpack(x, np.int64).reshape(6, -1) for x in t.column("packed").to_pylist()]
+    block = np.repeat(t.column("block").to_numpy(), [x.shape[1] for x in tables])
+    ctx, part, total, succ, n, q = np.concatenate(tables, axis=1)
+    order = np.lexsort((succ, part, ctx))
+    ctx, part, total, succ, n, q, block = (x[order] for x in (ctx, part, total, succ, n, q, block))
     change = np.ones(len(ctx), bool)
     change[1:] = (ctx[1:] != ctx[:-1]) | (part[1:] != part[:-1])
-    group = change.cumsum() - 1
+    g = change.cumsum() - 1
     heads = change.nonzero()[0]
-    g = group[row]
-    order = np.lexsort((succ, g))
-    g, succ, row, n, q = g[order], succ[order], row[order], n[order], q[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (succ[1:] != succ[:-1])
+    new = change.copy()
+    new[1:] |= succ[1:] != succ[:-1]
     start = new.nonzero()[0]
     count = np.add.reduceat(n, start)
     kept = count >= LEAST_FOLLOWER
@@ -288,7 +314,7 @@ def _test(t: pa.Table) -> pa.RecordBatch | None:
     if not good.any():
         return None
     answer = (good[own] & kept)[new.cumsum() - 1]
-    to = [block[row[answer]], ctx[row[answer]], succ[answer], count[new.cumsum() - 1][answer]]
+    to = [block[answer], ctx[answer], succ[answer], count[new.cumsum() - 1][answer]]
     state = good.nonzero()[0]
     about = [np.full(len(state), -1), ctx[heads[state]], kinds[state], mass[state].astype(np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b]).astype(np.int64)) for a, b in zip(to, about, strict=True)], ["block", "ctx", "succ", "n"])
@@ -296,15 +322,12 @@ def _test(t: pa.Table) -> pa.RecordBatch | None:
 
 def _level(requests: DataFrame, level: int) -> DataFrame:
     """Answers of one level to all blocks: level, block, ctx, succ, n."""
-    key = ["ctx", "part"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, key, CHUNK):
+        for t in whole_groups(batches, ["slot"], MERGE):
             if (out := _test(t)) is not None:
                 yield out
 
-    slots = 4 * int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = stage(requests.repartition(slots, *key).sortWithinPartitions(*key).mapInArrow(run, "block long, ctx long, succ long, n long"))
+    found = stage(requests.repartition(_slots(requests), "slot").sortWithinPartitions("slot").mapInArrow(run, "block long, ctx long, succ long, n long"))
     return found.withColumn("level", F.lit(level))
 
 
@@ -323,38 +346,60 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     blocks = blocks_of(docs, learn, key, text)
-    words = stage(_counted_words(blocks))
-    known = words.filter("own and c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = int(known["n"] or 0), int(known["v"])
-    packed = _with_counts(blocks, words)
+    packed = _with_counts(blocks, _counted_words(blocks))
+    drop_stage(blocks)
+    known = packed.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), F.sum("symbols").alias("s")).first()
+    n, v, slots = int(known["n"] or 0), int(known["v"] or 0), max(1, int(known["s"] or 0) // SLOT_CONTEXTS)
+    columns = ["block", "learn", "lens", "codes", "c", "ids"]
+    release(spark)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                yield from _send(r["block"], _Block(r, n, v))
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                if (out := _send(r["block"], _Block(r, n, v), slots)) is not None:
+                    yield out
+
+    def words_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = _unpack(ids, np.int64)
+                ids = ids[ids >= 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int64)), pa.array(ids)], ["block", "ctx"])
 
-    columns = ["block", "learn", "lens", "codes", "c", "ids"]
     found = _level(packed.select(*columns).mapInArrow(first, _REQUEST), 1)
-    # a context that a block asked about is one of its words
-    asked = words.filter(F.col("c") >= LEAST).select(F.lit(1).alias("level"), "block", F.col("id").alias("ctx"))
+    release(spark)
+    # a context that a block asks about is one of its words
+    asked = packed.select("block", "ids").mapInArrow(words_asked, "block long, ctx long").withColumn("level", F.lit(1))
     answers = stage(_answers(found, asked))
+    release(spark)
 
     def deeper(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Requests of the next level: that behind the last one answered."""
+        """Requests of the next level, behind the last one answered, and one row that lists the contexts asked about."""
         out = []
         for r in left.to_pylist():
             b = _Block(r, n, v)
             for states in _states(right)[: int(r["level"]) - 1]:
                 b.apply(states)
                 b.deepen()
-            out += list(_send(r["block"], b))
+            if (sent := _send(r["block"], b, slots)) is not None:
+                out += [sent, pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([r["block"]], pa.int64()), pa.array([_pack(b.contexts())])], ["slot", "block", "packed"])]
         return pa.Table.from_batches(out) if out else _nothing(_REQUEST)
 
+    def contexts_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = _unpack(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int64)), pa.array(ids)], ["block", "ctx"])
+
     for level in range(2, DEPTH + 1):
         ready = packed.select(*columns, F.lit(level).alias("level"))
         requests = stage(ready.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(deeper, _REQUEST))
-        found = _level(requests, level)
-        answers = answers.unionByName(_answers(found, requests.select(F.lit(level).alias("level"), "block", "ctx").distinct()))
+        release(spark)
+        found = _level(requests.filter("slot >= 0"), level)
+        asked = requests.filter("slot = -1").select("block", "packed").mapInArrow(contexts_asked, "block long, ctx long").withColumn("level", F.lit(level))
+        answers = answers.unionByName(stage(_answers(found, asked)))
+        release(spark)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -378,7 +423,4 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
 
 
 def _nothing(schema: str) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
