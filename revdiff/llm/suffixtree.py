@@ -29,7 +29,7 @@ from revdiff.llm.common import as_bytes, drop_stage, release, whole_groups
 from revdiff.staging import stage
 
 #: Tokens packed into one block; a longer text is a block of its own.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 #: Added to every word's count in the root distribution.
 ADD = 0.1
 #: Occurrences that a word or a context needs to be a symbol of a state, and that a follower needs to be kept.
@@ -227,18 +227,21 @@ class _Block:
         """Distinct (context, part, follower) of the block, ordered by slot, and for each: context, part, the context's total, follower, its count in
         texts learned from, its quantised surprise."""
         at = ((self.context != -1) & (self.symbol != -1)).nonzero()[0]
-        ctx, sym = self.context[at], self.symbol[at]
-        part = sym % -(-np.maximum(self.total[at], 1) // PART)
-        slot = (_mix(ctx, part) >> 1) % slots
-        order = np.lexsort((sym, part, ctx, slot))
-        ctx, sym, part, slot, at = ctx[order], sym[order], part[order], slot[order], at[order]
+        ctx, place = np.unique(self.context[at], return_inverse=True)
+        order = (place * len(self.symbols) + self.symbol_at[at]).argsort()
+        at, place = at[order], place[order]
+        local = self.symbol_at[at]
         new = np.ones(len(at), bool)
-        new[1:] = (ctx[1:] != ctx[:-1]) | (sym[1:] != sym[:-1])
+        new[1:] = (place[1:] != place[:-1]) | (local[1:] != local[:-1])
         start = new.nonzero()[0]
-        learned = np.repeat(self.learn, self.lens)[at].astype(np.int64)
-        n = np.add.reduceat(learned, start) if len(start) else start
-        q = np.clip(np.rint(-8 * np.log(self.p[at[start]])), 0, 255).astype(np.int64)
-        return slot[start], np.stack([ctx[start], part[start], self.total[at[start]], sym[start], n, q])
+        n = np.add.reduceat(np.repeat(self.learn, self.lens)[at].astype(np.int64), start) if len(start) else start
+        at = at[start]
+        ctx, sym, total = ctx[place[start]], self.symbol[at], self.total[at]  # ids that all blocks share
+        q = np.clip(np.rint(-8 * np.log(self.p[at])), 0, 255).astype(np.int64)
+        part = sym % -(-np.maximum(total, 1) // PART)
+        slot = (_mix(ctx, part) >> 1) % slots
+        order = slot.argsort(kind="stable")
+        return slot[order], np.stack([ctx, part, total, sym, n, q])[:, order]
 
     def contexts(self) -> np.ndarray:
         """Distinct candidate contexts of this level."""
@@ -254,14 +257,18 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (x * np.int64(-4658895280553007687)) & np.int64(2**63 - 1)
 
 
-def _states(right: pa.Table | None) -> list[dict[str, np.ndarray]]:
-    """The answers to one block, one table per level."""
+def _states(right: pa.Table) -> list[dict[str, np.ndarray]]:
+    """The answers to one block, one table per level, sorted by context and follower."""
     out = []
-    cols = {c: right.column(c).to_numpy() for c in ("level", "ctx", "succ", "n")}
+    levels, packs = right.column("level").to_numpy(), right.column("packed").to_pylist()
+    flat = np.array([p is None for p in packs], bool)
     for level in range(1, DEPTH + 1):
-        at = (cols["level"] == level).nonzero()[0]
-        at = at[np.lexsort((cols["succ"][at], cols["ctx"][at]))]
-        out.append({c: cols[c][at] for c in ("ctx", "succ", "n")})
+        own = right.filter(pa.array((levels == level) & flat))  # without the nulls beside packed rows, which would make floats of longs
+        parts = [np.stack([own.column(c).to_numpy() for c in ("ctx", "succ", "n")])]
+        parts += [_unpack(p, np.int64).reshape(3, -1) for p, k in zip(packs, levels, strict=True) if p is not None and k == level]
+        ctx, succ, n = np.concatenate(parts, axis=1)
+        order = np.lexsort((succ, ctx))
+        out.append({"ctx": ctx[order], "succ": succ[order], "n": n[order]})
     return out
 
 
@@ -284,7 +291,7 @@ def _send(block: int, b: _Block, slots: int) -> pa.RecordBatch | None:
 def _test(t: pa.Table) -> pa.RecordBatch | None:
     """Merge the requests of complete slots, test the divergence of every (context, part) and answer.
 
-    Rows (block, ctx, succ, n) give a kept follower's count to a block that asked for it; rows with block -1 give (ctx, kept followers, their mass).
+    A row (block, packed) gives a block the kept followers that it asked for: context, follower, count; rows with block -1 give (ctx, kept followers, their mass).
     """
     tables = [_unpack(x, np.int64).reshape(6, -1) for x in t.column("packed").to_pylist()]
     block = np.repeat(t.column("block").to_numpy(), [x.shape[1] for x in tables])
@@ -313,28 +320,35 @@ def _test(t: pa.Table) -> pa.RecordBatch | None:
     good = (kinds > 0) & (gain > PENALTY * kinds)
     if not good.any():
         return None
-    answer = (good[own] & kept)[new.cumsum() - 1]
-    to = [block[answer], ctx[answer], succ[answer], count[new.cumsum() - 1][answer]]
+    answer = ((good[own] & kept)[new.cumsum() - 1]).nonzero()[0]
+    answer = answer[block[answer].argsort(kind="stable")]
+    table = np.stack([ctx[answer], succ[answer], count[new.cumsum() - 1][answer]])
+    asks = block[answer]
+    first = np.flatnonzero(np.append(True, asks[1:] != asks[:-1])) if len(asks) else np.zeros(0, np.int64)
+    packs = [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(first, [*first[1:], len(asks)], strict=True)]
     state = good.nonzero()[0]
-    about = [np.full(len(state), -1), ctx[heads[state]], kinds[state], mass[state].astype(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b]).astype(np.int64)) for a, b in zip(to, about, strict=True)], ["block", "ctx", "succ", "n"])
+    none = [None] * len(first)
+    column = lambda x: pa.array([*none, *x.tolist()], pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([asks[first], np.full(len(state), -1)])), column(ctx[heads[state]]), column(kinds[state]), column(mass[state].astype(np.int64)),
+         pa.array(packs + [None] * len(state), pa.binary())], ["block", "ctx", "succ", "n", "packed"])
 
 
 def _level(requests: DataFrame, level: int) -> DataFrame:
-    """Answers of one level to all blocks: level, block, ctx, succ, n."""
+    """Answers of one level to all blocks: level, block, ctx, succ, n, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["slot"], MERGE):
             if (out := _test(t)) is not None:
                 yield out
 
-    found = stage(requests.repartition(_slots(requests), "slot").sortWithinPartitions("slot").mapInArrow(run, "block long, ctx long, succ long, n long"))
+    found = stage(requests.repartition(_slots(requests), "slot").sortWithinPartitions("slot").mapInArrow(run, "block long, ctx long, succ long, n long, packed binary"))
     return found.withColumn("level", F.lit(level))
 
 
 def _answers(found: DataFrame, asked: DataFrame) -> DataFrame:
     """What a level says to every block that asked: kept followers, and for each retained context in it the state itself."""
     states = found.filter("block = -1").groupBy("level", "ctx").agg((-1 - F.sum("succ")).alias("succ"), F.sum("n").alias("n"))
-    return found.filter("block >= 0").unionByName(asked.join(states, ["level", "ctx"]))
+    return found.filter("block >= 0").unionByName(asked.join(states, ["level", "ctx"]).withColumn("packed", F.lit(None).cast("binary")))
 
 
 def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -374,6 +388,8 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
     answers = stage(_answers(found, asked))
     release(spark)
 
+    no_request = _nothing(_REQUEST)
+
     def deeper(left: pa.Table, right: pa.Table) -> pa.Table:
         """Requests of the next level, behind the last one answered, and one row that lists the contexts asked about."""
         out = []
@@ -384,7 +400,7 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
                 b.deepen()
             if (sent := _send(r["block"], b, slots)) is not None:
                 out += [sent, pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([r["block"]], pa.int64()), pa.array([_pack(b.contexts())])], ["slot", "block", "packed"])]
-        return pa.Table.from_batches(out) if out else _nothing(_REQUEST)
+        return pa.Table.from_batches(out) if out else no_request
 
     def contexts_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -415,12 +431,14 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
             out.append(pa.Table.from_arrays(
                 [keys.flatten(), pa.array(b.lens), pa.array(add(b.known.astype(np.int64))), pa.array(np.full(len(start), n, np.int64)),
                  pa.array(add(np.log10(b.root))), pa.array(add(np.log10(b.p)))], ["k", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.concat_tables(out) if out else _nothing(result)
+        return pa.concat_tables(out) if out else no_result
 
     result = f"k {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    no_result = _nothing(result)
     scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, result)
     return scored.withColumnRenamed("k", key)
 
 
 def _nothing(schema: str) -> pa.Table:
+    """An empty table, made on the driver."""
     return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
