@@ -348,7 +348,8 @@ def _level(requests: DataFrame, level: int) -> DataFrame:
 def _answers(found: DataFrame, asked: DataFrame) -> DataFrame:
     """What a level says to every block that asked: kept followers, and for each retained context in it the state itself."""
     states = found.filter("block = -1").groupBy("level", "ctx").agg((-1 - F.sum("succ")).alias("succ"), F.sum("n").alias("n"))
-    return found.filter("block >= 0").unionByName(asked.join(states, ["level", "ctx"]).withColumn("packed", F.lit(None).cast("binary")))
+    about = stage(asked.join(states, ["level", "ctx"]))
+    return found.filter("block >= 0").unionByName(about.withColumn("packed", F.lit(None).cast("binary")))
 
 
 def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -385,7 +386,7 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
     release(spark)
     # a context that a block asks about is one of its words
     asked = packed.select("block", "ids").mapInArrow(words_asked, "block long, ctx long").withColumn("level", F.lit(1))
-    answers = stage(_answers(found, asked))
+    answers = _answers(found, asked)
     release(spark)
 
     no_request = _nothing(_REQUEST)
@@ -414,7 +415,8 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
         release(spark)
         found = _level(requests.filter("slot >= 0"), level)
         asked = requests.filter("slot = -1").select("block", "packed").mapInArrow(contexts_asked, "block long, ctx long").withColumn("level", F.lit(level))
-        answers = answers.unionByName(stage(_answers(found, asked)))
+        answers = answers.unionByName(_answers(found, asked))
+        drop_stage(requests)
         release(spark)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
