@@ -109,14 +109,14 @@ def blocks(spark, path, version=1):
 @query("o05_block_order")
 def o05(spark, path):
     d = blocks(spark, path).withColumns({"rank": N.block_rank(F.col("doc_type"), F.col("decimal_number")), "nat": N.natural_key(F.col("decimal_number"))})
-    out = number_rows(d, ["notice_id"], ["rank", "nat", "doc_type", "block_id"], F.struct("rank", F.left("nat", F.lit(N.PAD - 1))), "place")
+    out = number_rows(d, ["notice_id"], ["rank", "nat", "doc_type", "block_id"], F.struct("rank", F.left("nat", F.lit(N.PREFIX))), "place")
     return out.select("notice_id", "block_id", "rank", "place").orderBy("notice_id", "place")
 
 
 @query("o06_block_order_by_number")
 def o06(spark, path):
     d = blocks(spark, path).withColumns({"base": N.natural_key(X.base_number(F.col("decimal_number"))), "rank": N.code_rank(F.col("doc_type"), F.col("decimal_number"))})
-    out = number_rows(d, ["notice_id"], ["base", "rank", "decimal_number", "block_id"], F.left("base", F.lit(N.PAD - 1)), "place")
+    out = number_rows(d, ["notice_id"], ["base", "rank", "decimal_number", "block_id"], F.left("base", F.lit(N.PREFIX)), "place")
     return out.select("notice_id", "block_id", "rank", "place").orderBy("notice_id", "place")
 
 

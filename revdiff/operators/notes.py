@@ -18,7 +18,8 @@ from revdiff.operators.lists import bullets
 from revdiff.operators.scan import by_position, ordered_scan
 from revdiff.staging import stage
 
-PAD = 20
+#: Characters of a sort key that name its chunk in ordered scans; any prefix of the key keeps its order.
+PREFIX = 19
 
 
 # ---- facts of items and elements (A8) --------------------------------------------------------
@@ -200,8 +201,14 @@ def collapse_table_notes(notes: DataFrame) -> DataFrame:
 
 def natural_key(c: Column) -> Column:
     """Text key that sorts digit runs by value."""
-    padded = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(\d+)", "\u0001" + "0" * PAD + "$1\u0001")
-    return F.regexp_replace(padded, "0+(\\d{%d})(?=\u0001)" % PAD, "$1")
+    runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?s)(\d+|\D+)"), F.lit(1))
+
+    def sortable(run: Column) -> Column:
+        bare = F.regexp_replace(run, r"^0+(?=\d)", "")
+        # longer runs of digits are larger numbers, so the length goes first
+        return F.when(run.rlike(r"^\d"), F.concat(F.lit("\u0001"), F.lpad(F.length(bare).cast("string"), 10, "0"), bare, F.lit("\u0001"))).otherwise(run)
+
+    return F.array_join(F.transform(runs, sortable), "")
 
 
 def block_rank(doc_type: Column, number: Column) -> Column:
@@ -277,6 +284,6 @@ def assemble(blocks: DataFrame, notes: DataFrame) -> DataFrame:
              part(4, placed, F.coalesce(F.nullif("journal_entry", F.lit("")), F.lit(rules.DEFAULT_JOURNAL)))]
     lines = reduce(DataFrame.unionByName, parts).filter(F.coalesce("line", F.lit("")) != "").join(placed.select(*key, "rank", "nat"), key)
     order = ["rank", "nat", "block_id", "part", "note_ord", "sub"]
-    chunk = F.struct("rank", F.left("nat", F.lit(PAD - 1)))
+    chunk = F.struct("rank", F.left("nat", F.lit(PREFIX)))
     out = ordered_scan(stage(lines), ["notice_id"], order, chunk, running={"n": F.lit(1)})
     return out.select("notice_id", F.col("n").cast("int").alias("line_no"), "block_id", "line")
