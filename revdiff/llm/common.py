@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -109,8 +110,10 @@ def release(spark) -> None:
     They go when the driver collects the handles of those queries, which may be long after; steps that each shuffle about as much as
     they read ask for it once their result is written.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of the plans, the second of what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def drop_stage(df: DataFrame) -> None:
