@@ -135,7 +135,7 @@ SQL["a17_best_set"] = with_(["raw"], """, n AS (SELECT DISTINCT doc_id, page_num
 
 LET = "length(regexp_replace(t, '[^А-Яа-яA-Za-z]', '', 'g'))"
 NO = "NOT (contains(lower(t), 'anin') OR contains(lower(t), 'лист'))"
-SQL["o02_best_title"] = with_(["raw"], f""", a AS (SELECT doc_id, ord, CASE WHEN doc_id % 4 = 0 THEN 'Изм Дата ' || left(line, 30) ELSE left(line, 45) END AS line
+SQL["o02_best_title"] = with_(["raw"], f""", a AS (SELECT doc_id, ord, CASE WHEN doc_id % 4 = 0 THEN 'Изм Дата ' || line ELSE line END AS line
     FROM raw),
   b AS (SELECT *, {cell('line')} AS t, {cell("regexp_extract(line, '(?i)(?:^|[^" + WORD + "])Дата\\s+(.+)$', 1)")} AS tail FROM a),
   c AS (SELECT *, CASE WHEN regexp_matches(lower(t), '^(the|les|section)($|[^{WORD}])') AND length(t) <= 40 AND {NO} THEN 3
@@ -148,7 +148,7 @@ SQL["o02_best_title"] = with_(["raw"], f""", a AS (SELECT doc_id, ord, CASE WHEN
 
 SQL["u04_merge_sets"] = with_(["req1", "req2"], """SELECT doc_id, number, max(v) AS v, arg_max(text, (v, text)) AS text FROM (
   SELECT *, 1 AS v FROM req1 UNION ALL SELECT *, 2 FROM req2) GROUP BY doc_id, number""")
-SQL["a14_ordered_distinct"] = with_(["req2"], f"""SELECT doc_id, min_by(t, o) AS text, CAST(min(o) AS INT) AS ord FROM (SELECT doc_id, number * 2 AS o, left(text, 3) AS t FROM req2)
+SQL["a14_ordered_distinct"] = with_(["req2"], f"""SELECT doc_id, min_by(t, o) AS text, CAST(min(o) AS INT) AS ord FROM (SELECT doc_id, number * 2 AS o, text AS t FROM req2)
   WHERE {squeeze('t')} <> '' GROUP BY doc_id, lower({squeeze('t')})""")
 
 LEFT = f""", c1 AS (SELECT *, {ck('text')} AS k, row_number() OVER (PARTITION BY KEYS, {ck('text')} ORDER BY number, text) AS n FROM SRC1),

@@ -138,8 +138,7 @@ def a17(spark, path):
 
 @query("o02_best_title")
 def o02(spark, path):
-    d = S.raw_lines(spark, path).withColumn("line", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Изм Дата "), F.left("line", F.lit(30))))
-                                            .otherwise(F.left("line", F.lit(45))))
+    d = S.raw_lines(spark, path).withColumn("line", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Изм Дата "), "line")).otherwise(F.col("line")))
     return lines.best_title(d, ("the", "les", "section"), ("anin", "лист"))
 
 
@@ -152,7 +151,7 @@ def u04(spark, path):
 @query("a14_ordered_distinct")
 def a14(spark, path):
     d = S.requirements(spark, path, 2).withColumn("ord", F.col("number") * 2)
-    return dedupe.ordered_distinct(d.select("doc_id", "ord", F.left("text", F.lit(3)).alias("text")), ["doc_id"], "text", "ord", F.lower(T.squeeze(F.col("text"))))
+    return dedupe.ordered_distinct(d.select("doc_id", "ord", "text"), ["doc_id"], "text", "ord", F.lower(T.squeeze(F.col("text"))))
 
 
 @query("j06_exact_text_match")
