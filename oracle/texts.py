@@ -162,20 +162,31 @@ def left(keys, a, b):
     return LEFT.replace("KEYS", keys).replace("SRC1", a).replace("SRC2", b)
 
 
-SETS = """, s1 AS (SELECT doc_id, number, CAST(number // 100 AS INT) AS set_no, max(text) AS text FROM req1 GROUP BY doc_id, number),
-  s2 AS (SELECT doc_id, number, CAST(number // 100 AS INT) AS set_no, max(text) AS text FROM req2 GROUP BY doc_id, number)"""
+ORDS = """, o1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number, text) AS ord FROM req1),
+  o2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number, text) AS ord FROM req2)"""
 SQL["j06_exact_text_match"] = with_(["req1", "req2"], left("doc_id", "req1", "req2") + """ SELECT doc_id, 'old' AS side, number, text FROM l1
   UNION ALL SELECT doc_id, 'new', number, text FROM l2""")
-SQL["j07_fuzzy_pairs_tokens"] = with_(["req1", "req2"], SETS + left("doc_id, set_no", "s1", "s2") + f""",
+PAIRS = ORDS + left("doc_id", "o1", "o2") + f""",
   t1 AS (SELECT *, {tokens('k')} AS t FROM l1), t2 AS (SELECT *, {tokens('k')} AS t FROM l2),
-  j AS (SELECT a.doc_id, a.number AS l, b.number AS r, len(list_intersect(a.t, b.t)) AS s, len(a.t) AS x, len(b.t) AS y, a.k = '' OR b.k = '' AS e
-    FROM t1 a JOIN t2 b ON a.doc_id = b.doc_id AND a.set_no = b.set_no),
+  j AS (SELECT a.doc_id, a.ord AS l_ord, b.ord AS r_ord, a.number AS l, b.number AS r, len(list_intersect(a.t, b.t)) AS s, len(a.t) AS x, len(b.t) AS y, a.k = '' OR b.k = '' AS e
+    FROM t1 a JOIN t2 b ON a.doc_id = b.doc_id),
   g AS (SELECT *, CASE WHEN e OR least(x, y) = 0 THEN 0.0::DOUBLE ELSE greatest(CAST(s AS DOUBLE) / greatest(x + y - s, 1),
-    CAST(s AS DOUBLE) / greatest(least(x, y), 1) * CAST(0.85 AS DOUBLE)) END AS score, abs(l - r) <= 1 AS close FROM j)
-  SELECT doc_id, l AS l_number, r AS r_number, CAST(s AS INT) AS shared, score, score + CASE WHEN l = r THEN CAST(0.03 AS DOUBLE) WHEN close THEN CAST(0.01 AS DOUBLE) ELSE 0 END AS rank
-  FROM g WHERE score >= CAST(0.62 AS DOUBLE) OR (close AND score >= CAST(0.42 AS DOUBLE) AND s >= 2) OR (score >= 0.5 AND s >= 3)""")
-SQL["o03_diff_order"] = with_(["req1", "req2"], SETS + left("doc_id, set_no", "s1", "s2") + """ SELECT doc_id, number, 'removed' AS status, number AS v1_number, NULL AS v2_number FROM l1
-  UNION ALL SELECT doc_id, number, 'added', NULL, number FROM l2""")
+    CAST(s AS DOUBLE) / greatest(least(x, y), 1) * CAST(0.85 AS DOUBLE)) END AS score, abs(l - r) <= 1 AS close FROM j),
+  p AS (SELECT doc_id, l_ord, r_ord, l AS l_number, r AS r_number, CAST(s AS INT) AS shared, score,
+    score + CASE WHEN l = r THEN CAST(0.03 AS DOUBLE) WHEN close THEN CAST(0.01 AS DOUBLE) ELSE 0 END AS rank
+  FROM g WHERE score >= CAST(0.62 AS DOUBLE) OR (close AND score >= CAST(0.42 AS DOUBLE) AND s >= 2) OR (score >= 0.5 AND s >= 3))"""
+SQL["j07_fuzzy_pairs_tokens"] = with_(["req1", "req2"], PAIRS + " SELECT doc_id, l_number, r_number, shared, score, rank FROM p")
+# the greedy choice as a fold: a pair joins the chosen ones if neither of its ends is among them
+DIFF = PAIRS + """,
+  q AS (SELECT doc_id, list_reduce(list({'ls': [l_ord], 'rs': [r_ord]} ORDER BY rank DESC, l_ord, r_ord), lambda a, b: CASE WHEN list_contains(a.ls, b.ls[1]) OR list_contains(a.rs, b.rs[1])
+      THEN a ELSE {'ls': list_concat(a.ls, b.ls), 'rs': list_concat(a.rs, b.rs)} END) AS c FROM p GROUP BY doc_id),
+  m AS (SELECT doc_id, unnest(c.ls) AS l_ord, unnest(c.rs) AS r_ord FROM q),
+  d AS (SELECT doc_id, l2.number, 'modified' AS status, l1.number AS v1_number, l2.number AS v2_number, l1.text AS v1_text, l2.text AS v2_text
+      FROM m JOIN l1 USING (doc_id) JOIN l2 USING (doc_id) WHERE l1.ord = m.l_ord AND l2.ord = m.r_ord
+    UNION ALL SELECT doc_id, number, 'removed', number, NULL, text, NULL FROM l1 WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = l1.doc_id AND m.l_ord = l1.ord)
+    UNION ALL SELECT doc_id, number, 'added', NULL, number, NULL, text FROM l2 WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = l2.doc_id AND m.r_ord = l2.ord))"""
+SQL["j08_requirement_diff_tokens"] = with_(["req1", "req2"], DIFF + " SELECT * FROM d")
+SQL["o03_diff_order"] = with_(["req1", "req2"], DIFF + " SELECT doc_id, number, status, v1_number, v2_number FROM d")
 
 SF = f""", sf AS (SELECT doc_id, number, text, CASE number % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'modified' END AS status, {summary('text')} AS s FROM req1)"""
 PHR = f"""CASE status WHEN 'added' THEN 'введен пункт ' ELSE CASE status WHEN 'removed' THEN 'аннулирован пункт ' ELSE 'изменен пункт ' || number || ' ' END END || {about('topic')}"""

@@ -161,7 +161,7 @@ def j06(spark, path):
 
 
 def leftovers(spark, path):
-    a, b = R.exact_leftovers(R.requirement_sets(S.requirements(spark, path, 1)), R.requirement_sets(S.requirements(spark, path, 2)), ["doc_id", "set_no"])
+    a, b = R.exact_leftovers(R.in_order(S.requirements(spark, path, 1)), R.in_order(S.requirements(spark, path, 2)), ["ord"])
     return stage(a), stage(b)
 
 
@@ -175,8 +175,8 @@ def j07(spark, path):
     return R.fuzzy_pairs(*leftovers(spark, path)).select("doc_id", "l_number", "r_number", "shared", "score", "rank")
 
 
-def diff(spark, path):
-    return R.requirement_diff(S.requirements(spark, path, 1), S.requirements(spark, path, 2))
+def diff(spark, path, use_ratio=True):
+    return R.requirement_diff(S.requirements(spark, path, 1), S.requirements(spark, path, 2), use_ratio)
 
 
 @query("j08_requirement_diff")
@@ -184,13 +184,15 @@ def j08(spark, path):
     return diff(spark, path)
 
 
+@query("j08_requirement_diff_tokens")
+def j08_tokens(spark, path):
+    return diff(spark, path, False)
+
+
 @query("o03_diff_order")
 def o03(spark, path):
-    a, b = leftovers(spark, path)
-    none = F.lit(None).cast("int")
-    both = a.select("doc_id", "number", F.lit("removed").alias("status"), F.col("number").alias("v1_number"), none.alias("v2_number")).unionByName(
-        b.select("doc_id", "number", F.lit("added").alias("status"), none.alias("v1_number"), F.col("number").alias("v2_number")))
-    return both.orderBy("doc_id", *R.diff_order())
+    d = diff(spark, path, False).select("doc_id", "number", "status", "v1_number", "v2_number")
+    return d.orderBy("doc_id", *R.diff_order())
 
 
 @query("a08_requirement_facts")

@@ -24,11 +24,37 @@ def greedy(pairs):
 
 def test_greedy_assignment(spark):
     rng = random.Random(1)
-    pairs = [(d, 0, rng.choice([0.5, 0.6, 0.7, 0.8]), lft, r) for d in range(5) for lft in range(9) for r in range(9) if rng.random() < 0.5]
-    df = spark.createDataFrame(pairs, "doc_id int, set_no int, rank double, l_number int, r_number int")
-    got = sorted((r["doc_id"], r["l_number"], r["r_number"]) for r in R.assign_greedy(df).collect())
-    want = sorted((d, *p) for d in range(5) for p in greedy([x[2:] for x in pairs if x[0] == d]))
-    assert got == want
+    pairs = [(d, rng.choice([0.5, 0.6, 0.7, 0.8]), lft, r) for d in range(5) for lft in range(9) for r in range(9) if rng.random() < 0.5]
+    df = spark.createDataFrame(pairs, "doc_id int, rank double, l_ord int, r_ord int")
+    want = sorted((d, *p) for d in range(5) for p in greedy([x[1:] for x in pairs if x[0] == d]))
+    for per_round in (200_000, 7):
+        got = sorted((r["doc_id"], r["l_ord"], r["r_ord"]) for r in R.assign_greedy(df, per_round).collect())
+        assert got == want
+
+
+def test_numbers_above_99_and_repeated_numbers(spark):
+    def diff(old, new):
+        d = R.requirement_diff(spark.createDataFrame(old, REQ), spark.createDataFrame(new, REQ))
+        return {(r["status"], r["v1_number"], r["v2_number"], r["v1_text"]) for r in d.collect()}
+
+    text = "The wire is laid without twisting at all"
+    assert diff([(1, 99, text)], [(1, 100, text)]) == set()
+    assert diff([(1, 99, text)], [(1, 100, text + " times")]) == {("modified", 99, 100, text)}
+    assert diff([(1, 5, text), (1, 5, "zzz qqq gone")], [(1, 5, text)]) == {("removed", 5, None, "zzz qqq gone")}
+
+
+def test_pairs_and_choice_over_several_blocks(spark, monkeypatch):
+    """Blocks of old items and rounds of pairs change nothing."""
+    old = [(1, n, f"common wording of the line {n % 7} part {n}") for n in range(300)]
+    new = [(1, n + 150, f"common wording of the line {n % 5} part {n} more") for n in range(40)]
+    frames = [R.in_order(spark.createDataFrame(x, REQ)) for x in (old, new)]
+
+    def chosen(per_round):
+        return sorted((r.l_ord, r.r_ord) for r in R.assign_greedy(R.fuzzy_pairs(*frames, use_ratio=False), per_round).collect())
+
+    one = chosen(200_000)
+    monkeypatch.setattr(R, "BLOCK", 16)
+    assert len(one) == 40 and chosen(5000) == one
 
 
 def test_requirement_diff(spark):
@@ -53,7 +79,7 @@ def test_fuzzy_pairs_keep_every_plausible_pair(spark):
     old = [(1, n, text()) for n in range(1, 16)]
     new = [(1, n, text()) for n in range(1, 16)]
     got = {(r["l_number"], r["r_number"]): round(r["score"], 9) for r in R.fuzzy_pairs(
-        R.requirement_sets(spark.createDataFrame(old, REQ)), R.requirement_sets(spark.createDataFrame(new, REQ))).collect()}
+        R.in_order(spark.createDataFrame(old, REQ)), R.in_order(spark.createDataFrame(new, REQ))).collect()}
     want = {}
     for _, a, x in old:
         for _, b, y in new:
