@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revdiff.session import checkpoint_dir
+
 #: Bytes that separate words: space and 0x09-0x0D. `bytes.split()` splits on exactly these.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -116,6 +119,21 @@ def release(spark) -> None:
         time.sleep(0.5)
 
 
+def stage_by(df: DataFrame, key: str) -> DataFrame:
+    """Write a frame once to the shared folder, in buckets of a key: later steps that group by it don't shuffle it again.
+
+    The table's name leaves the catalog at once; the frame keeps its files and their layout.
+    """
+    spark = df.sparkSession
+    name = f"revdiff_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/revdiff-stage/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete a staged frame that nothing reads any more."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from revdiff.llm.common import as_bytes, drop_stage, release, whole_groups
+from revdiff.llm.common import as_bytes, drop_stage, release, stage_by, whole_groups
 from revdiff.staging import stage
 
 #: Tokens packed into one block; a longer text is a block of its own.
@@ -43,6 +43,8 @@ DEPTH = 2
 PART = 2**20
 #: Words, and rows of requests, merged at a time.
 CHUNK, MERGE = 20_000, 2_000
+#: States told to blocks that are packed at a time.
+PACK_ROWS = 300_000
 END = xxhash.xxh64_intdigest(b"")
 
 
@@ -163,7 +165,7 @@ def _with_counts(blocks: DataFrame, words: DataFrame) -> DataFrame:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
     out = f"{kinds}, c binary, ids binary, tokens long, distinct long, symbols long"
     empty = _nothing(out)
-    return stage(slim.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(join, out))
+    return stage_by(slim.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(join, out), "block")
 
 
 class _Block:
@@ -260,13 +262,10 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _states(right: pa.Table) -> list[dict[str, np.ndarray]]:
     """The answers to one block, one table per level, sorted by context and follower."""
     out = []
-    levels, packs = right.column("level").to_numpy(), right.column("packed").to_pylist()
-    flat = np.array([p is None for p in packs], bool)
+    levels, packs = right.column("level").to_pylist(), right.column("packed").to_pylist()
     for level in range(1, DEPTH + 1):
-        own = right.filter(pa.array((levels == level) & flat))  # without the nulls beside packed rows, which would make floats of longs
-        parts = [np.stack([own.column(c).to_numpy() for c in ("ctx", "succ", "n")])]
-        parts += [_unpack(p, np.int64).reshape(3, -1) for p, k in zip(packs, levels, strict=True) if p is not None and k == level]
-        ctx, succ, n = np.concatenate(parts, axis=1)
+        parts = [_unpack(p, np.int64).reshape(3, -1) for p, k in zip(packs, levels, strict=True) if k == level]
+        ctx, succ, n = np.concatenate([np.zeros((3, 0), np.int64), *parts], axis=1)
         order = np.lexsort((succ, ctx))
         out.append({"ctx": ctx[order], "succ": succ[order], "n": n[order]})
     return out
@@ -321,35 +320,54 @@ def _test(t: pa.Table) -> pa.RecordBatch | None:
     if not good.any():
         return None
     answer = ((good[own] & kept)[new.cumsum() - 1]).nonzero()[0]
-    answer = answer[block[answer].argsort(kind="stable")]
-    table = np.stack([ctx[answer], succ[answer], count[new.cumsum() - 1][answer]])
-    asks = block[answer]
-    first = np.flatnonzero(np.append(True, asks[1:] != asks[:-1])) if len(asks) else np.zeros(0, np.int64)
-    packs = [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(first, [*first[1:], len(asks)], strict=True)]
+    asks, packs = _by_block(block[answer], np.stack([ctx[answer], succ[answer], count[new.cumsum() - 1][answer]]))
     state = good.nonzero()[0]
-    none = [None] * len(first)
+    none = [None] * len(asks)
     column = lambda x: pa.array([*none, *x.tolist()], pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([asks[first], np.full(len(state), -1)])), column(ctx[heads[state]]), column(kinds[state]), column(mass[state].astype(np.int64)),
+        [pa.array(np.concatenate([asks, np.full(len(state), -1)])), column(ctx[heads[state]]), column(kinds[state]), column(mass[state].astype(np.int64)),
          pa.array(packs + [None] * len(state), pa.binary())], ["block", "ctx", "succ", "n", "packed"])
 
 
-def _level(requests: DataFrame, level: int) -> DataFrame:
-    """Answers of one level to all blocks: level, block, ctx, succ, n, packed."""
+def _level(requests: DataFrame) -> DataFrame:
+    """Answers of one level to all blocks: block, ctx, succ, n, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["slot"], MERGE):
             if (out := _test(t)) is not None:
                 yield out
 
-    found = stage(requests.repartition(_slots(requests), "slot").sortWithinPartitions("slot").mapInArrow(run, "block long, ctx long, succ long, n long, packed binary"))
-    return found.withColumn("level", F.lit(level))
+    return stage(requests.repartition(_slots(requests), "slot").sortWithinPartitions("slot").mapInArrow(run, "block long, ctx long, succ long, n long, packed binary"))
 
 
-def _answers(found: DataFrame, asked: DataFrame) -> DataFrame:
-    """What a level says to every block that asked: kept followers, and for each retained context in it the state itself."""
-    states = found.filter("block = -1").groupBy("level", "ctx").agg((-1 - F.sum("succ")).alias("succ"), F.sum("n").alias("n"))
-    about = stage(asked.join(states, ["level", "ctx"]))
-    return found.filter("block >= 0").unionByName(about.withColumn("packed", F.lit(None).cast("binary")))
+def _by_block(block: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Columns of a table packed per block, and the blocks."""
+    order = block.argsort(kind="stable")
+    block, table = block[order], table[:, order]
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+    return block[first], [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(first, [*first[1:], len(block)], strict=True)]
+
+
+def _answers(found: DataFrame, asked: DataFrame, level: int) -> DataFrame:
+    """What a level says to every block that asked (level, block, packed): kept followers, and for each retained context in it the state itself."""
+    states = found.filter("block = -1").groupBy("ctx").agg((-1 - F.sum("succ")).alias("succ"), F.sum("n").alias("n"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            blocks, packs = _by_block(t.column("block").to_numpy(), np.stack([t.column(c).to_numpy() for c in ("ctx", "succ", "n")]))
+            return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(packs, pa.binary())], ["block", "packed"])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= PACK_ROWS:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    about = stage(asked.join(states, "ctx").select("block", "ctx", "succ", "n").mapInArrow(pack, "block long, packed binary"))
+    return found.filter("block >= 0").select("block", "packed").unionByName(about).withColumn("level", F.lit(level))
 
 
 def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -382,11 +400,11 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
                 ids = ids[ids >= 0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int64)), pa.array(ids)], ["block", "ctx"])
 
-    found = _level(packed.select(*columns).mapInArrow(first, _REQUEST), 1)
+    found = _level(packed.select(*columns).mapInArrow(first, _REQUEST))
     release(spark)
     # a context that a block asks about is one of its words
-    asked = packed.select("block", "ids").mapInArrow(words_asked, "block long, ctx long").withColumn("level", F.lit(1))
-    answers = _answers(found, asked)
+    asked = packed.select("block", "ids").mapInArrow(words_asked, "block long, ctx long")
+    answers = _answers(found, asked, 1)
     release(spark)
 
     no_request = _nothing(_REQUEST)
@@ -413,9 +431,9 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
         ready = packed.select(*columns, F.lit(level).alias("level"))
         requests = stage(ready.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(deeper, _REQUEST))
         release(spark)
-        found = _level(requests.filter("slot >= 0"), level)
-        asked = requests.filter("slot = -1").select("block", "packed").mapInArrow(contexts_asked, "block long, ctx long").withColumn("level", F.lit(level))
-        answers = answers.unionByName(_answers(found, asked))
+        found = _level(requests.filter("slot >= 0"))
+        asked = requests.filter("slot = -1").select("block", "packed").mapInArrow(contexts_asked, "block long, ctx long")
+        answers = answers.unionByName(_answers(found, asked, level))
         drop_stage(requests)
         release(spark)
 
