@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -45,6 +46,8 @@ PART = 2**20
 CHUNK, MERGE = 20_000, 2_000
 #: States told to blocks that are packed at a time.
 PACK_ROWS = 300_000
+#: Contexts in one row of a list.
+LISTED = 1024
 END = xxhash.xxh64_intdigest(b"")
 
 
@@ -330,10 +333,16 @@ def _test(t: pa.Table) -> pa.RecordBatch | None:
 
 
 def _level(requests: DataFrame) -> DataFrame:
-    """Answers of one level to all blocks: block, ctx, succ, n, packed."""
+    """Answers of one level to all blocks: block, ctx, succ, n, packed; ctx is -1 in the lists of contexts that came along."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["slot"], MERGE):
-            if (out := _test(t)) is not None:
+            lists = pc.less(t.column("slot"), 0)
+            asked, t = t.filter(lists), t.filter(pc.invert(lists))
+            if size := asked.num_rows:
+                none = pa.nulls(size, pa.int64())
+                yield pa.RecordBatch.from_arrays([asked.column("block").combine_chunks(), pa.array(np.full(size, -1)), none, none, asked.column("packed").combine_chunks()],
+                                                 ["block", "ctx", "succ", "n", "packed"])
+            if t.num_rows and (out := _test(t)) is not None:
                 yield out
 
     return stage(requests.repartition(_slots(requests), "slot").sortWithinPartitions("slot").mapInArrow(run, "block long, ctx long, succ long, n long, packed binary"))
@@ -367,7 +376,7 @@ def _answers(found: DataFrame, asked: DataFrame, level: int) -> DataFrame:
             yield flush()
 
     about = stage(asked.join(states, "ctx").select("block", "ctx", "succ", "n").mapInArrow(pack, "block long, packed binary"))
-    return found.filter("block >= 0").select("block", "packed").unionByName(about).withColumn("level", F.lit(level))
+    return found.filter("block >= 0 and ctx is null").select("block", "packed").unionByName(about).withColumn("level", F.lit(level))
 
 
 def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -410,7 +419,7 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
     no_request = _nothing(_REQUEST)
 
     def deeper(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Requests of the next level, behind the last one answered, and one row that lists the contexts asked about."""
+        """Requests of the next level, behind the last one answered, and rows with a slot below 0 that list the contexts asked about."""
         out = []
         for r in left.to_pylist():
             b = _Block(r, n, v)
@@ -418,7 +427,10 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
                 b.apply(states)
                 b.deepen()
             if (sent := _send(r["block"], b, slots)) is not None:
-                out += [sent, pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([r["block"]], pa.int64()), pa.array([_pack(b.contexts())])], ["slot", "block", "packed"])]
+                every = b.contexts()
+                lists = [_pack(every[at:at + LISTED]) for at in range(0, len(every), LISTED)]
+                about = [np.full(len(lists), -1 - r["block"]), np.full(len(lists), r["block"])]
+                out += [sent, pa.RecordBatch.from_arrays([*map(pa.array, about), pa.array(lists, pa.binary())], ["slot", "block", "packed"])]
         return pa.Table.from_batches(out) if out else no_request
 
     def contexts_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,12 +441,10 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
 
     for level in range(2, DEPTH + 1):
         ready = packed.select(*columns, F.lit(level).alias("level"))
-        requests = stage(ready.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(deeper, _REQUEST))
+        found = _level(ready.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(deeper, _REQUEST))
         release(spark)
-        found = _level(requests.filter("slot >= 0"))
-        asked = requests.filter("slot = -1").select("block", "packed").mapInArrow(contexts_asked, "block long, ctx long")
+        asked = found.filter("ctx = -1").select("block", "packed").mapInArrow(contexts_asked, "block long, ctx long")
         answers = answers.unionByName(_answers(found, asked, level))
-        drop_stage(requests)
         release(spark)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
