@@ -228,11 +228,15 @@ class _Block:
         context[1:][ok], total[1:][ok] = _mix(self.context[:-1][ok], self.symbol[:-1][ok]), self.kept[:-1][ok]
         self.context, self.total = context, total
 
-    def requests(self, slots: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (context, part, follower) of the block, ordered by slot, and for each: context, part, the context's total, follower, its count in
-        texts learned from, its quantised surprise."""
+    def requests(self, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots of the distinct (context, part, follower) of the block in order, and for each: context, part, the context's total, follower, its
+        count in texts learned from, its quantised surprise. Then the contexts whose state no single request brings back: all their
+        followers are too rare to ask about, or they are counted in parts."""
         at = ((self.context != -1) & (self.symbol != -1)).nonzero()[0]
         ctx, place = np.unique(self.context[at], return_inverse=True)
+        big = self.total > PART
+        few = np.unique(self.context[big | ((self.context != -1) & (self.symbol == -1))])
+        lists = few[~np.isin(few, ctx) | np.isin(few, self.context[big])]
         order = (place * len(self.symbols) + self.symbol_at[at]).argsort()
         at, place = at[order], place[order]
         local = self.symbol_at[at]
@@ -246,12 +250,7 @@ class _Block:
         part = sym % -(-np.maximum(total, 1) // PART)
         slot = (_mix(ctx, part) >> 1) % slots
         order = slot.argsort(kind="stable")
-        return slot[order], np.stack([ctx, part, total, sym, n, q])[:, order]
-
-    def contexts(self) -> np.ndarray:
-        """Distinct candidate contexts of this level."""
-        every = np.unique(self.context)
-        return every[every != -1]
+        return slot[order], np.stack([ctx, part, total, sym, n, q])[:, order], lists
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -279,21 +278,21 @@ _REQUEST = "slot long, block long, packed binary"
 SLOT_CONTEXTS = 64
 
 
-def _send(block: int, b: _Block, slots: int) -> pa.RecordBatch | None:
-    slot, table = b.requests(slots)
-    if not len(slot):
-        return None
-    new = np.ones(len(slot), bool)
-    new[1:] = slot[1:] != slot[:-1]
-    start = new.nonzero()[0]
+def _send(block: int, b: _Block, slots: int) -> pa.RecordBatch:
+    """Requests of a block, and rows with a slot below 0 that list contexts whose state it needs besides."""
+    slot, table, lists = b.requests(slots)
+    start = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
     rows = [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(start, [*start[1:], len(slot)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(slot[start]), pa.array(np.full(len(start), block, np.int64)), pa.array(rows, pa.binary())], ["slot", "block", "packed"])
+    rows += [_pack(lists[at:at + LISTED]) for at in range(0, len(lists), LISTED)]
+    to = np.append(slot[start], np.full(len(rows) - len(start), -1 - block))
+    return pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(rows), block)), pa.array(rows, pa.binary())], ["slot", "block", "packed"])
 
 
 def _test(t: pa.Table) -> pa.RecordBatch | None:
     """Merge the requests of complete slots, test the divergence of every (context, part) and answer.
 
-    A row (block, packed) gives a block the kept followers that it asked for: context, follower, count; rows with block -1 give (ctx, kept followers, their mass).
+    A row (block, packed) gives a block the kept followers that it asked for (context, follower, count) and the states of retained contexts
+    that are counted in one part (context, -1 - kept followers, their mass); rows with block -1 give all states, part by part.
     """
     tables = [_unpack(x, np.int64).reshape(6, -1) for x in t.column("packed").to_pylist()]
     block = np.repeat(t.column("block").to_numpy(), [x.shape[1] for x in tables])
@@ -323,7 +322,14 @@ def _test(t: pa.Table) -> pa.RecordBatch | None:
     if not good.any():
         return None
     answer = ((good[own] & kept)[new.cumsum() - 1]).nonzero()[0]
-    asks, packs = _by_block(block[answer], np.stack([ctx[answer], succ[answer], count[new.cumsum() - 1][answer]]))
+    told = (good & (total[heads] <= PART))[g].nonzero()[0]
+    told = told[np.lexsort((block[told], g[told]))]
+    first = np.ones(len(told), bool)
+    first[1:] = (g[told][1:] != g[told][:-1]) | (block[told][1:] != block[told][:-1])
+    told = told[first]
+    own_state = np.stack([ctx[told], -1 - kinds[g[told]], mass[g[told]].astype(np.int64)])
+    followers = np.stack([ctx[answer], succ[answer], count[new.cumsum() - 1][answer]])
+    asks, packs = _by_block(np.append(block[answer], block[told]), np.concatenate([followers, own_state], axis=1))
     state = good.nonzero()[0]
     none = [None] * len(asks)
     column = lambda x: pa.array([*none, *x.tolist()], pa.int64())
@@ -356,8 +362,8 @@ def _by_block(block: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, list[by
     return block[first], [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(first, [*first[1:], len(block)], strict=True)]
 
 
-def _answers(found: DataFrame, asked: DataFrame, level: int) -> DataFrame:
-    """What a level says to every block that asked (level, block, packed): kept followers, and for each retained context in it the state itself."""
+def _answers(found: DataFrame, level: int) -> DataFrame:
+    """What a level says to every block (level, block, packed): kept followers and states, those of the listed contexts too."""
     states = found.filter("block = -1").groupBy("ctx").agg((-1 - F.sum("succ")).alias("succ"), F.sum("n").alias("n"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,6 +381,13 @@ def _answers(found: DataFrame, asked: DataFrame, level: int) -> DataFrame:
         if held:
             yield flush()
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = _unpack(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block)), pa.array(ids)], ["block", "ctx"])
+
+    asked = found.filter("ctx = -1").select("block", "packed").mapInArrow(listed, "block long, ctx long")
     about = stage(asked.join(states, "ctx").select("block", "ctx", "succ", "n").mapInArrow(pack, "block long, packed binary"))
     return found.filter("block >= 0 and ctx is null").select("block", "packed").unionByName(about).withColumn("level", F.lit(level))
 
@@ -399,52 +412,31 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                if (out := _send(r["block"], _Block(r, n, v), slots)) is not None:
-                    yield out
-
-    def words_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = _unpack(ids, np.int64)
-                ids = ids[ids >= 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int64)), pa.array(ids)], ["block", "ctx"])
+                yield _send(r["block"], _Block(r, n, v), slots)
 
     found = _level(packed.select(*columns).mapInArrow(first, _REQUEST))
     release(spark)
-    # a context that a block asks about is one of its words
-    asked = packed.select("block", "ids").mapInArrow(words_asked, "block long, ctx long")
-    answers = _answers(found, asked, 1)
+    answers = _answers(found, 1)
     release(spark)
 
     no_request = _nothing(_REQUEST)
 
     def deeper(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Requests of the next level, behind the last one answered, and rows with a slot below 0 that list the contexts asked about."""
+        """Requests of the next level, behind the last one answered."""
         out = []
         for r in left.to_pylist():
             b = _Block(r, n, v)
             for states in _states(right)[: int(r["level"]) - 1]:
                 b.apply(states)
                 b.deepen()
-            if (sent := _send(r["block"], b, slots)) is not None:
-                every = b.contexts()
-                lists = [_pack(every[at:at + LISTED]) for at in range(0, len(every), LISTED)]
-                about = [np.full(len(lists), -1 - r["block"]), np.full(len(lists), r["block"])]
-                out += [sent, pa.RecordBatch.from_arrays([*map(pa.array, about), pa.array(lists, pa.binary())], ["slot", "block", "packed"])]
+            out.append(_send(r["block"], b, slots))
         return pa.Table.from_batches(out) if out else no_request
 
-    def contexts_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = _unpack(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int64)), pa.array(ids)], ["block", "ctx"])
-
     for level in range(2, DEPTH + 1):
         ready = packed.select(*columns, F.lit(level).alias("level"))
         found = _level(ready.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(deeper, _REQUEST))
         release(spark)
-        asked = found.filter("ctx = -1").select("block", "packed").mapInArrow(contexts_asked, "block long, ctx long")
-        answers = answers.unionByName(_answers(found, asked, level))
+        answers = answers.unionByName(_answers(found, level))
         release(spark)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
