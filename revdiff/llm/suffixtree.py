@@ -282,7 +282,7 @@ def _send(block: int, b: _Block, slots: int) -> pa.RecordBatch:
     """Requests of a block, and rows with a slot below 0 that list contexts whose state it needs besides."""
     slot, table, lists = b.requests(slots)
     start = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
-    rows = [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(start, [*start[1:], len(slot)], strict=True)]
+    rows = [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(start, np.append(start[1:], len(slot)), strict=False)]
     rows += [_pack(lists[at:at + LISTED]) for at in range(0, len(lists), LISTED)]
     to = np.append(slot[start], np.full(len(rows) - len(start), -1 - block))
     return pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(rows), block)), pa.array(rows, pa.binary())], ["slot", "block", "packed"])
@@ -359,7 +359,7 @@ def _by_block(block: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, list[by
     order = block.argsort(kind="stable")
     block, table = block[order], table[:, order]
     first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
-    return block[first], [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(first, [*first[1:], len(block)], strict=True)]
+    return block[first], [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(first, np.append(first[1:], len(block)), strict=False)]
 
 
 def _answers(found: DataFrame, level: int) -> DataFrame:
