@@ -56,6 +56,7 @@ SQL["a11_family_notes"] = with_(["meta1", "meta2", "gfx1", "gfx2", "req1"], J5 +
       CASE fact_type WHEN 'mass_changed' THEN 'В основной надписи в графе "Масса" изменено значение на ' || new_value || ' кг.' WHEN 'scale_changed' THEN
         'В основной надписи в графе "Масштаб" изменено значение на ' || new_value || '.' ELSE 'В основной надписи изменено наименование на "' || new_value || '".' END AS note FROM mf
     UNION ALL SELECT doc_id, 2, 0, 4, 'Изменена графика чертежа.' FROM gfx WHERE has_changes AND doc_id % 4 = 0
+    UNION ALL SELECT doc_id, 4, 3, 9, 'изменена нумерация пунктов' FROM meta1 WHERE doc_id NOT IN (SELECT doc_id FROM req1)
     UNION ALL SELECT doc_id, 4, CASE status WHEN 'added' THEN 1 WHEN 'removed' THEN 2 ELSE 3 END, 10 + number,
       CASE status WHEN 'added' THEN 'введен пункт ' WHEN 'removed' THEN 'аннулирован пункт ' ELSE 'изменен пункт ' || number || ' ' END || {about('topic')} FROM s4)
   SELECT doc_id, family, CAST(min((step, ord))[1] AS INT) AS step, CAST(min((step, ord))[2] AS INT) AS ord, min_by(note, (step, ord)) AS note

@@ -58,7 +58,10 @@ def mixed_facts(spark, path):
         none.alias("number_old"), none.alias("number_new"), F.lit(4).alias("ord"))
     items = simple_facts(spark, path).select("doc_id", "fact_type", "description", "new_value", "number_old", "number_new",
                                              (F.lit(10) + F.coalesce("number_new", "number_old")).alias("ord"))
-    return head.unionByName(drawn).unionByName(items)
+    moved = S.headers(spark, path, 1).select(
+        "doc_id", F.lit("tech_requirement_renumbered").alias("fact_type"), F.lit("").alias("description"), F.lit(None).cast("string").alias("new_value"),
+        none.alias("number_old"), none.alias("number_new"), F.lit(9).alias("ord"))
+    return head.unionByName(drawn).unionByName(items).unionByName(moved)
 
 
 @query("a11_family_notes")

@@ -123,6 +123,10 @@ def family_notes(facts: DataFrame, topic: Column | None = None) -> DataFrame:
     number_new and ord."""
     from revdiff.operators.requirements import requirement_phrase
 
+    moved = F.col("fact_type") == "tech_requirement_renumbered"
+    told = facts.filter(F.startswith("fact_type", F.lit("tech_requirement")) & ~moved).select("doc_id").distinct()
+    # renumbering is worth a note only where no requirement itself has changed
+    facts = facts.filter(~moved).unionByName(facts.filter(moved).join(told, "doc_id", "left_anti"))
     topic = T.topic_of(F.col("description"), F.col("new_value")) if topic is None else topic
     kind, new = F.col("fact_type"), F.col("new_value")
     told = F.coalesce(new, F.lit("")) != ""
