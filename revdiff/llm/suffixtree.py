@@ -40,7 +40,7 @@ DISCOUNT = 0.5
 #: Divergence, in nats, asked for per kept follower.
 PENALTY = 4.0
 DEPTH = 2
-#: Occurrences of a context to each part of its followers that is counted in one group.
+#: Occurrences of a context to each part of its followers that is counted in one group; the test is over all parts.
 PART = 2**20
 #: Words, and rows of requests, merged at a time.
 CHUNK, MERGE = 20_000, 2_000
@@ -289,10 +289,12 @@ def _send(block: int, b: _Block, slots: int) -> pa.RecordBatch:
 
 
 def _test(t: pa.Table) -> pa.RecordBatch | None:
-    """Merge the requests of complete slots, test the divergence of every (context, part) and answer.
+    """Merge the requests of complete slots, test the divergence of every context counted in one part and answer.
 
     A row (block, packed) gives a block the kept followers that it asked for (context, follower, count) and the states of retained contexts
-    that are counted in one part (context, -1 - kept followers, their mass); rows with block -1 give all states, part by part.
+    that are counted in one part (context, -1 - kept followers, their mass); rows with block -1 give all these states. A context in
+    several parts is tested later over all of them: rows with block -2 give its sums part by part, rows (block, ctx, packed) the kept
+    followers that a block gets if it is retained.
     """
     tables = [_unpack(x, np.int64).reshape(6, -1) for x in t.column("packed").to_pylist()]
     block = np.repeat(t.column("block").to_numpy(), [x.shape[1] for x in tables])
@@ -314,44 +316,68 @@ def _test(t: pa.Table) -> pa.RecordBatch | None:
     c = total[heads].astype(float)
     kinds = np.bincount(own[kept], minlength=size)
     mass = np.bincount(own[kept], count[kept], size)
-    share = np.minimum(np.bincount(own[kept], p[kept], size), 1 - 1e-9)
+    share = np.bincount(own[kept], p[kept], size)
     gain = np.bincount(own[kept], (count * np.log(np.maximum(count, 1) / (c[own] * p)))[kept], size)
-    rest = np.maximum(c - mass, 0)
-    gain += rest * np.log(np.maximum(rest, 1e-9) / c / (1 - share))
-    good = (kinds > 0) & (gain > PENALTY * kinds)
-    if not good.any():
+    one = total[heads] <= PART
+    good = one & (kinds > 0) & (gain + _rest(c, mass, share) > PENALTY * kinds)
+    parts = ~one & (kinds > 0)
+    if not (good | parts).any():
         return None
-    answer = ((good[own] & kept)[new.cumsum() - 1]).nonzero()[0]
-    told = (good & (total[heads] <= PART))[g].nonzero()[0]
+    follower = new.cumsum() - 1
+    answer = ((good[own] & kept)[follower]).nonzero()[0]
+    told = good[g].nonzero()[0]
     told = told[np.lexsort((block[told], g[told]))]
     first = np.ones(len(told), bool)
     first[1:] = (g[told][1:] != g[told][:-1]) | (block[told][1:] != block[told][:-1])
     told = told[first]
     own_state = np.stack([ctx[told], -1 - kinds[g[told]], mass[g[told]].astype(np.int64)])
-    followers = np.stack([ctx[answer], succ[answer], count[new.cumsum() - 1][answer]])
+    followers = np.stack([ctx[answer], succ[answer], count[follower][answer]])
     asks, packs = _by_block(np.append(block[answer], block[told]), np.concatenate([followers, own_state], axis=1))
+    out = [_found(asks, packed=packs)]
     state = good.nonzero()[0]
-    none = [None] * len(asks)
-    column = lambda x: pa.array([*none, *x.tolist()], pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([asks, np.full(len(state), -1)])), column(ctx[heads[state]]), column(kinds[state]), column(mass[state].astype(np.int64)),
-         pa.array(packs + [None] * len(state), pa.binary())], ["block", "ctx", "succ", "n", "packed"])
+    out.append(_found(np.full(len(state), -1), ctx[heads[state]], kinds[state], mass[state].astype(np.int64)))
+    state = parts.nonzero()[0]
+    out.append(_found(np.full(len(state), -2), ctx[heads[state]], kinds[state], mass[state].astype(np.int64), total[heads[state]], gain[state], share[state]))
+    for k in state:
+        later = ((own == k) & kept)[follower].nonzero()[0]
+        asks, packs = _by_block(block[later], np.stack([ctx[later], succ[later], count[follower][later]]))
+        out.append(_found(asks, np.full(len(asks), ctx[heads[k]]), packed=packs))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+
+def _rest(c: np.ndarray, mass: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """What the followers that are not kept add to the gain of a context with c occurrences."""
+    rest = np.maximum(c - mass, 0)
+    return rest * np.log(np.maximum(rest, 1e-9) / c / (1 - np.minimum(share, 1 - 1e-9)))
+
+
+#: What a level finds, as _test says.
+_FOUND = "block long, ctx long, succ long, n long, total long, gain double, share double, packed binary"
+
+
+def _found(block: np.ndarray, *columns: np.ndarray, packed: list[bytes] | None = None) -> pa.RecordBatch:
+    """Rows of what a level finds; columns not given are null."""
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, _FOUND.split(", "))])
+    given = [block, *columns]
+    arrays = [pa.array(x, f.type) for x, f in zip(given, schema, strict=False)] + [pa.nulls(len(block), f.type) for f in list(schema)[len(given):]]
+    if packed is not None:
+        arrays[-1] = pa.array(packed, pa.binary())
+    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
 
 def _level(requests: DataFrame) -> DataFrame:
-    """Answers of one level to all blocks: block, ctx, succ, n, packed; ctx is -1 in the lists of contexts that came along."""
+    """What a level finds for all blocks, as _test says; ctx is -1 in the lists of contexts that came along."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["slot"], MERGE):
             lists = pc.less(t.column("slot"), 0)
             asked, t = t.filter(lists), t.filter(pc.invert(lists))
             if size := asked.num_rows:
-                none = pa.nulls(size, pa.int64())
-                yield pa.RecordBatch.from_arrays([asked.column("block").combine_chunks(), pa.array(np.full(size, -1)), none, none, asked.column("packed").combine_chunks()],
-                                                 ["block", "ctx", "succ", "n", "packed"])
+                yield _found(asked.column("block").to_numpy(), np.full(size, -1), packed=asked.column("packed").to_pylist())
             if t.num_rows and (out := _test(t)) is not None:
                 yield out
 
-    return stage(requests.repartition(_slots(requests), "slot").sortWithinPartitions("slot").mapInArrow(run, "block long, ctx long, succ long, n long, packed binary"))
+    return stage(requests.repartition(_slots(requests), "slot").sortWithinPartitions("slot").mapInArrow(run, _FOUND))
 
 
 def _by_block(block: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -364,7 +390,13 @@ def _by_block(block: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, list[by
 
 def _answers(found: DataFrame, level: int) -> DataFrame:
     """What a level says to every block (level, block, packed): kept followers and states, those of the listed contexts too."""
-    states = found.filter("block = -1").groupBy("ctx").agg((-1 - F.sum("succ")).alias("succ"), F.sum("n").alias("n"))
+    sums = found.filter("block = -2").groupBy("ctx").agg(*[F.sum(c).alias(c) for c in ("succ", "n", "gain", "share")], F.max("total").alias("total"))
+    rest = F.greatest(F.col("total") - F.col("n"), F.lit(0))
+    rest_gain = rest * F.log(F.greatest(rest.cast("double"), F.lit(1e-9)) / F.col("total") / (1 - F.least("share", F.lit(1 - 1e-9))))
+    # one test over all parts of a context: with many occurrences, so there are few
+    whole = stage(sums.filter(F.col("gain") + rest_gain > PENALTY * F.col("succ")).select("ctx", "succ", "n"))
+    states = found.filter("block = -1").select("ctx", "succ", "n").unionByName(whole).select("ctx", (-1 - F.col("succ")).alias("succ"), "n")
+    later = found.filter("block >= 0 and ctx >= 0").join(whole.select("ctx"), "ctx", "left_semi").select("block", "packed")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -389,7 +421,7 @@ def _answers(found: DataFrame, level: int) -> DataFrame:
 
     asked = found.filter("ctx = -1").select("block", "packed").mapInArrow(listed, "block long, ctx long")
     about = stage(asked.join(states, "ctx").select("block", "ctx", "succ", "n").mapInArrow(pack, "block long, packed binary"))
-    return found.filter("block >= 0 and ctx is null").select("block", "packed").unionByName(about).withColumn("level", F.lit(level))
+    return found.filter("block >= 0 and ctx is null").select("block", "packed").unionByName(later).unionByName(about).withColumn("level", F.lit(level))
 
 
 def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,9 +1,11 @@
 """The suffix tree against a plain dictionary version of the same model."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from revdiff.llm import suffixtree as S
@@ -85,3 +87,26 @@ def test_nothing_to_learn(spark):
     rows = S.score(df, F.lit(False)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows) == [(1, 0, 0, 0.0, 0.0), (3, 0, 0, 0.0, 0.0)]
     assert S.score(df.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("part", [3, 20])
+def test_parts_of_a_context_are_tested_as_one(spark, monkeypatch, part):
+    monkeypatch.setattr(S, "PART", part)
+    monkeypatch.setattr(S, "BLOCK_TOKENS", 60)
+    cloudpickle.register_pickle_by_value(S)  # else workers import the module with its own PART
+    # after `the` comes `zap` far more often than chance, and every other word about as often
+    rng = random.Random(1)
+    texts = []
+    for _ in range(60):
+        words = rng.choices("a b c d e f g h the".split(), k=25)
+        texts.append(" ".join(w + " zap" if w == "the" and rng.random() < 0.4 else w for w in words))
+    texts += [None, "the"]
+    learn = [i % 5 != 0 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(zip(texts, learn))], "doc_id long, text string, learn boolean").repartition(3)
+    try:
+        got = {r.doc_id: r for r in S.score(df, F.col("learn")).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(S)
+    want, _, c = plain(texts, learn)
+    assert c[b"the"] > 2 * part
+    assert [got[i].score for i in range(len(texts))] == pytest.approx([score for _, score in want])
