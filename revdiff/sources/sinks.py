@@ -7,19 +7,12 @@ from pyspark.sql import functions as F
 
 from revdiff.functions import text as T
 
-PART_ROWS = 10000
-
-
-def document_json(elements: DataFrame, doc: str = "doc_id", ord_col: str = "ord", part_rows: int = PART_ROWS) -> DataFrame:
-    """Documents as JSON, one row per part of `part_rows` elements, elements in order.
-
-    All but the longest documents have a single part; no cell grows with the document.
-    """
+def document_json(elements: DataFrame, doc: str = "doc_id", ord_col: str = "ord") -> DataFrame:
+    """Documents as JSON, one row and one JSON value per document, elements in order."""
     fields = F.struct(*[c for c in elements.columns if c != doc])
     rank = F.struct(F.col(ord_col).alias("o"), fields.alias("e"))
-    return (elements.withColumn("part", F.floor(F.col(ord_col) / part_rows).cast("int")).groupBy(doc, "part")
-            .agg(F.array_sort(F.collect_list(rank)).alias("x"))
-            .select(doc, "part", F.to_json(F.struct(F.col(doc), F.transform("x", lambda r: r["e"]).alias("elements"))).alias("json")))
+    return (elements.groupBy(doc).agg(F.array_sort(F.collect_list(rank)).alias("x"))
+            .select(doc, F.lit(0).alias("part"), F.to_json(F.struct(F.col(doc), F.transform("x", lambda r: r["e"]).alias("elements"))).alias("json")))
 
 
 def write_json(elements: DataFrame, path: str, **kw) -> None:

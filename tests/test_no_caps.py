@@ -1,9 +1,12 @@
 """Results don't change with the size of numbers, pages or lists."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from revdiff.operators import lists, notes, sheets
+from revdiff.operators import lists, notes, sheets, tables
 from revdiff.operators.scan import by_position
+from revdiff.sources import sinks
 
 
 def test_pages_above_999(spark):
@@ -31,3 +34,25 @@ def test_natural_order_of_long_digit_runs(spark):
     names = ["a" + "9" * 24, "a" + "1" + "0" * 24, "a2", "a10", "a002b", ""]
     df = spark.createDataFrame([(n,) for n in names], "n string").orderBy(notes.natural_key(F.col("n")))
     assert [r.n for r in df.collect()] == ["", "a2", "a002b", "a10", "a" + "9" * 24, "a1" + "0" * 24]
+
+
+def test_a_long_document_is_one_json_value(spark):
+    rows = spark.range(25001).select(F.lit(1).alias("doc_id"), (25000 - F.col("id")).alias("ord"))
+    made = sinks.document_json(rows).collect()
+    assert len(made) == 1
+    assert [e["ord"] for e in json.loads(made[0].json)["elements"]] == list(range(25001))
+
+
+def test_cells_beyond_the_filled_columns_reach_the_diff(spark):
+    names = ["Поз.", "Провод", "Код"]
+
+    def filled(rows):
+        df = spark.createDataFrame([(1, i + 2, c) for i, c in enumerate(rows)], "table_id long, row_index int, cells array<string>")
+        return tables.fill_down(tables.data_rows(df, "table_id", names), "table_id", names, 3)
+
+    old = filled([["1", "a", "x", "u", "same"], ["2", "b", "y"], ["3", "c", "z", "", "gone"]])
+    new = filled([["1", "a", "x", "v", "same"], ["2", "b", "y", "", "more"], ["3", "c", "z"]])
+    assert {tuple(r.cells) for r in old.collect()} == {("1", "a", "x", "u", "same"), ("2", "b", "y"), ("3", "c", "z", "", "gone")}
+    diff = tables.cell_diff(old, new, "table_id", names).collect()
+    assert sorted((r.row_key, r.col_index, r.status, r.v1_val or "", r.v2_val or "") for r in diff) == [
+        ("a", 4, "modified", "u", "v"), ("b", 5, "added", "", "more"), ("c", 5, "removed", "gone", "")]
