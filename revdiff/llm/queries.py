@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revdiff.llm import caps, collocation, decontaminate, langid, mixing, quality, simhash, suffixtree, tokens, urlfilter, warc, whiten
+from revdiff.llm import caps, collocation, decontaminate, langid, mixing, quality, sanitise, simhash, suffixtree, tokens, urlfilter, warc, whiten
 from revdiff.llm.common import WORD, held_out
 from revdiff.staging import stage
 
@@ -79,8 +79,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.mine(table(spark, sf_dir, "documents")).drop("words")
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_suffix_tree, op3_simhash, op4_mixing, op5_urls, op6_warc, op7_quality, op8_token_counts, op9_language, op10_vectors,
-                                  op11_whitening, op12_collocations)}
+                                  op11_whitening, op12_collocations, op13_pii)}
 
 #: DuckDB SQL for the rows of a query.
 SQL: dict[str, str] = {
