@@ -188,3 +188,40 @@ def test_table_pairing(spark):
             want.add((doc, lid, None))
     want |= {(d, None, rid) for d, rid, _, _ in right if rid not in used}
     assert got == want
+
+
+def test_alike_tables_of_one_document_need_no_rounds(spark):
+    """2,000 tables that all like each other, on shifted pages with ties between classes, take turns in one pass."""
+    from revdiff.operators import pairing
+
+    schema = "doc_id int, table_id int, page_num int, name string, names array<string>, ord int"
+    old = [(1, i, 1 + i % 9, "Таблица 1", ["Код", "Кол."], i) for i in range(2000)]
+    new = [(1, 5000 + i, 3 + i % 9, "Таблица 1", ["Код", "Кол."], (i * 7) % 2000) for i in range(1990)]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("pairing", "pairing")
+    got = {(r.old_id, r.new_id) for r in pairing.pair_tables(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), pairing.token_share).collect()}
+    count = len(jobs.getJobIdsForGroup("pairing"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    def share(p, q):
+        a, b = {f"p{p}", "t1", "hкод", "кол"}, {f"p{q}", "t1", "hкод", "кол"}
+        return len(a & b) / len(a | b) + (0.15 if p == q else 0.0)
+
+    want, free = set(), sorted((t[5], t[1], t[2]) for t in new)
+    for _, table, page, *_ in old:
+        best = max(free, key=lambda f: (share(page, f[2]), -f[0]), default=None)
+        want.add((table, best[1] if best else None))
+        if best:
+            free.remove(best)
+    assert got == want and count < 40
+
+
+def test_table_pairing_with_nulls_and_nothing(spark):
+    from revdiff.operators.pairing import pair_tables, token_share
+
+    schema = "doc_id int, table_id int, page_num int, name string, names array<string>, ord int"
+    rows = [(None, 1, 1, "Таблица 1", ["Код"], 0), (1, 2, 1, None, None, 0), (2, 3, None, "x", [], 1)]
+    df, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    assert {(r.doc_id, r.old_id, r.new_id) for r in pair_tables(df, none, token_share).collect()} == {(d, t, None) for d, t, *_ in rows}
+    assert {(r.doc_id, r.old_id, r.new_id) for r in pair_tables(none, df, token_share).collect()} == {(d, None, t) for d, t, *_ in rows}
+    assert pair_tables(none, none).count() == 0
