@@ -183,3 +183,59 @@ SQL["a03_merge_continued"] = with_(["dtab", "tbl1"], f""", m AS (SELECT *, nulli
   c AS (SELECT tid, count(*) AS n_rows, max(row_index) AS mx, max(num) AS num FROM r GROUP BY tid)
   SELECT doc_id, table_id, page_num, x0, y0, x1, y1, name, CAST(width AS INT) AS width, pieces, n_rows,
     CAST(CASE WHEN c.num IS NULL THEN mx ELSE n_rows END AS INT) AS last_row FROM h LEFT JOIN c ON c.tid = h.table_id""")
+
+
+def signed(v):
+    """Tables of a version with the parts of their signature, in the order of their document."""
+    head = "['hкод', 'наименование', 'длина, мм', 'кол', 'маркировка xp1']"
+    page, keep, size = ("page_num", "true", "5") if v == 1 else (
+        "CAST(CASE WHEN table_id % 7 = 0 THEN page_num + 1 ELSE page_num END AS INT)", "table_id % 11 <> 0", "CASE WHEN table_id % 6 = 0 THEN 3 ELSE 5 END")
+    return (f"SELECT doc_id, table_id, table_id % 8 AS ord, name, page, ['p' || page, 't' || coalesce(regexp_extract(name, '\\d+'), '')] || {head}[1:w] AS parts, w "
+            f"FROM (SELECT *, {page} AS page, {size} AS w FROM dtab) WHERE {keep}")
+
+
+PAIRED = [("s1", signed(1)), ("s2", signed(2)),
+          ("likes", """SELECT doc_id, a.table_id AS old_id, a.ord, b.table_id AS new_id, b.ord AS new_ord,
+             len(list_intersect(a.parts, b.parts)) / len(list_distinct(a.parts || b.parts)) AS share, CASE WHEN a.page = b.page THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS bonus
+             FROM s1 a JOIN s2 b USING (doc_id)"""),
+          ("asks", """SELECT doc_id, table_id AS old_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS turn, prefs FROM s1 LEFT JOIN (
+             SELECT doc_id, old_id, list(new_id ORDER BY share + bonus DESC, new_ord) AS prefs FROM likes WHERE share + bonus >= 0.45 GROUP BY ALL) p
+             ON p.doc_id = s1.doc_id AND p.old_id = s1.table_id""".replace("SELECT doc_id, table_id", "SELECT s1.doc_id, table_id").replace("PARTITION BY doc_id", "PARTITION BY s1.doc_id")),
+          ("turns", """SELECT DISTINCT doc_id, 0::BIGINT AS turn, []::BIGINT[] AS used, NULL::BIGINT AS old_id, NULL::BIGINT AS new_id FROM s1
+             UNION ALL SELECT doc_id, turn, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, old_id, pick FROM (
+               SELECT t.doc_id, a.turn, t.used, a.old_id, list_filter(a.prefs, lambda x: NOT list_contains(t.used, x))[1] AS pick
+               FROM turns t JOIN asks a ON a.doc_id = t.doc_id AND a.turn = t.turn + 1)"""),
+          ("pairs", """SELECT doc_id, old_id, new_id FROM turns WHERE turn > 0 UNION ALL SELECT doc_id, NULL, table_id FROM s2
+             WHERE table_id NOT IN (SELECT new_id FROM turns WHERE new_id IS NOT NULL)""")]
+SQL["j09_table_pairing_tokens"] = with_(["dtab"], "SELECT doc_id, old_id, new_id FROM pairs", PAIRED).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def beside(v):
+    return (f"SELECT *, coalesce(lag(c) OVER w, '') AS prv, coalesce(lead(c) OVER w, '') AS nxt FROM (SELECT *, array_to_string(cells, '|') || CASE WHEN w = 6 THEN '|' ELSE '' END AS c "
+            f"FROM f{v} JOIN h{v} USING (table_id)) WINDOW w AS (PARTITION BY table_id ORDER BY row_index)")
+
+
+def heads(v):
+    return f"SELECT table_id, name, page, CASE WHEN w = 5 AND table_id % 5 = 1 THEN 6 ELSE w END AS w FROM s{v}"
+
+
+SQL["j03_table_diff"] = with_(["tbl1", "tbl2", "dtab"], f""", v1 AS (SELECT p.*, b.* FROM pairs p JOIN n1 b ON b.table_id = p.old_id),
+  v2 AS (SELECT p.*, b.* FROM pairs p JOIN n2 b ON b.table_id = p.new_id),
+  n AS (SELECT old_id, new_id, max(k) AS table_data_rows FROM (SELECT old_id, new_id, table_id, 1 AS v, count(*) AS k FROM v1 GROUP BY ALL
+    UNION ALL SELECT old_id, new_id, table_id, 2, count(*) FROM v2 GROUP BY ALL) GROUP BY ALL),
+  j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.old_id, b.old_id) AS old_id, coalesce(a.new_id, b.new_id) AS new_id, coalesce(a.occ, b.occ) AS occ,
+    coalesce(b.row_key, a.row_key) AS row_key, coalesce(b.row_index, a.row_index) AS row_index, a.cells AS c1, b.cells AS c2, a.c AS x1, b.c AS x2,
+    a.prv AS p1, b.prv AS p2, a.nxt AS q1, b.nxt AS q2 FROM v1 a FULL JOIN v2 b ON a.old_id = b.old_id AND a.new_id = b.new_id AND a.base_key = b.base_key AND a.occ = b.occ),
+  w AS (SELECT *, 1 AS i FROM j WHERE c1 IS NULL OR c2 IS NULL UNION ALL SELECT *, unnest([2, 3, 4, 5]) AS i FROM j WHERE c1 IS NOT NULL AND c2 IS NOT NULL),
+  x AS (SELECT w.*, c1[i] AS v1_val, c2[i] AS v2_val, CASE WHEN c1 IS NULL THEN true WHEN c2 IS NULL THEN false ELSE i <= h2.w END AS of_new, h1.w AS w1, h2.w AS w2,
+    h1.name AS n1, h2.name AS n2, h1.page AS g1, h2.page AS g2 FROM w LEFT JOIN h1 ON h1.table_id = w.old_id LEFT JOIN h2 ON h2.table_id = w.new_id)
+  SELECT doc_id, x.old_id, CASE WHEN of_new THEN n2 ELSE n1 END AS table_name, CAST(CASE WHEN of_new THEN g2 ELSE g1 END AS INT) AS page_num,
+    array_to_string({COLS}[1:CASE WHEN of_new THEN w2 ELSE w1 END], '|') || CASE WHEN (CASE WHEN of_new THEN w2 ELSE w1 END) = 6 THEN '|' ELSE '' END AS column_names, occ, row_key, row_index,
+    i AS col_index, {COLS}[i] AS col_name, 'Код' AS key_column, CASE WHEN c1 IS NULL THEN 'row_added' WHEN c2 IS NULL THEN 'row_removed'
+    WHEN v1_val <> '' AND v2_val <> '' THEN 'modified' WHEN v1_val <> '' THEN 'removed' ELSE 'added' END AS status, v1_val, v2_val, table_data_rows,
+    coalesce(x1, '') AS row_values_v1, coalesce(x2, '') AS row_values_v2, coalesce(p1, '') AS prev_row_values_v1, coalesce(p2, '') AS prev_row_values_v2,
+    coalesce(q1, '') AS next_row_values_v1, coalesce(q2, '') AS next_row_values_v2
+  FROM x JOIN n ON n.old_id IS NOT DISTINCT FROM x.old_id AND n.new_id IS NOT DISTINCT FROM x.new_id
+  WHERE c1 IS NULL OR c2 IS NULL OR {ck('v1_val')} <> {ck('v2_val')}""",
+                               [*PAIRED, ("d1", data(1)), ("f1", filled(1)), ("d2", data(2)), ("f2", filled(2)), ("h1", heads(1)), ("h2", heads(2)), ("n1", beside(1)), ("n2", beside(2))]
+                               ).replace("WITH", "WITH RECURSIVE", 1)

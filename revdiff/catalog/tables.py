@@ -182,9 +182,25 @@ def a03(spark, path):
                                                 F.size("names").alias("width"), "pieces", "n_rows", "last_row")
 
 
+def ordered_tables(spark, path, version):
+    return S.document_tables(spark, path, version).withColumn("ord", F.col("table_id") % 8)
+
+
 @query("j09_table_pairing")
 def j09(spark, path):
-    def ordered(version):
-        return S.document_tables(spark, path, version).withColumn("ord", F.col("table_id") % 8)
+    return pairing.pair_tables(ordered_tables(spark, path, 1), ordered_tables(spark, path, 2))
+
+
+@query("j09_table_pairing_tokens")
+def j09_tokens(spark, path):
+    return pairing.pair_tables(ordered_tables(spark, path, 1), ordered_tables(spark, path, 2), pairing.token_share)
+
 
-    return pairing.pair_tables(ordered(1), ordered(2))
+@query("j03_table_diff")
+def j03_tables(spark, path):
+    old, new = (stage(ordered_tables(spark, path, v)) for v in (1, 2))
+    pairs = stage(pairing.pair_tables(old, new, pairing.token_share))
+    rows = [S.table_rows(spark, path, v) for v in (1, 2)]
+    d = tables.diff_tables(old, rows[0], new, rows[1], pairs, FILL)
+    lists = [c for c, t in d.dtypes if t == "array<string>"]
+    return d.select(*[F.array_join(c, "|").alias(c) if c in lists else F.col(c) for c in d.columns if c != "base_key"])

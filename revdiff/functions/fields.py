@@ -382,10 +382,12 @@ def is_header_like(c: Column, words: Column | None = None, share: bool = True) -
 
 
 def table_head(spark, names) -> tuple[Column, Column, Column]:
-    """Column names, their header words and the key column, from a column or a fixed list.
+    """Column names, their header words and the key column, from a column, a fixed list or these three as they are.
 
     A fixed list is worked out once, in a one-row frame, and enters the plan as literals.
     """
+    if isinstance(names, tuple):
+        return names
     if isinstance(names, Column):
         return names, header_words(names), key_column(names)
     listed = F.array(*map(F.lit, names))
