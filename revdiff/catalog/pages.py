@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from revdiff import snapshots as S
 from revdiff.catalog.base import query
 from revdiff.functions import boxes as B
+from revdiff.operators import diff
 from revdiff.operators import geometry as G
+from revdiff.operators import schematic as C
 from revdiff.staging import stage
 
 PAGE = ["doc_id", "page_num"]
@@ -93,18 +95,52 @@ def j11_exact(spark, path):
     return G.keep_first_of_duplicates(S.near_duplicate_boxes(spark, path)).select(*PAGE, "ord")
 
 
+def anchors(words):
+    return words.filter(F.endswith("text", F.lit(".")))
+
+
 @query("j12_band_join")
 def j12(spark, path):
     w = stage(S.words(spark, path))
-    return G.band_items(w.filter("i % 37 = 0"), w, F.char_length("text") <= 2).select(*PAGE, "anchor", "left_pins", "right_pins", "signal")
+    return G.band_items(anchors(w), w, F.char_length("text") <= 2).select(*PAGE, "anchor", "left_pins", "right_pins", "signal")
 
 
 @query("j13_nearest_neighbour")
 def j13(spark, path):
     w = stage(S.words(spark, path))
-    marks = w.filter("i % 37 = 0")
+    marks = anchors(w)
     below = G.nearest_below(marks, w.filter(F.char_length("text") <= 4)).select(
         *PAGE, F.lit("below").alias("kind"), F.col("header").alias("anchor"), "i", "text")
     left = G.nearest_left(marks, w.filter(F.char_length("text") <= 3)).select(
         *PAGE, F.concat(F.lit("left"), F.col("tier").cast("string")).alias("kind"), F.col("mark").alias("anchor"), "i", "text")
     return below.unionByName(left)
+
+
+def conductor_rows(spark, path, version):
+    return C.conductors(S.diagram_words(spark, path, version), S.PAGE_W, S.PAGE_H)
+
+
+@query("j12_conductors")
+def j12_conductors(spark, path):
+    d = conductor_rows(spark, path, 1)
+    return d.select(*PAGE, "i", "key", "signal", *[F.array_join(c, " ").alias(c) for c in ("left_pins", "right_pins", "housing_connectors")], "left_housing", "right_housing",
+                    *[F.col(f"bbox.{c}").alias(c) for c in "xywh"])
+
+
+@query("j04_schematic_diff")
+def j04_schematic(spark, path):
+    old, new = (C.last_of_key(conductor_rows(spark, path, v)) for v in (1, 2))
+    return diff.connection_diff(old, new).select("doc_id", "has_changes", "change_percentage", *[F.col(f"bbox.{c}").alias(c) for c in "xywh"])
+
+
+@query("j13_nearest_connector")
+def j13_connector(spark, path):
+    w = stage(S.diagram_words(spark, path, 1).withColumn("cx", (F.col("x0") + F.col("x1")) / 2.0).withColumn("name", C.connector_token(C.token(F.col("text")))))
+    n = C.nearest_by_x(w.filter(F.lower(C.token(F.col("text"))) == "корпус"), w.filter(F.col("name").rlike("^XP[0-9]")))
+    return n.select(*PAGE, "i", F.col("nearest.i").alias("connector_i"), F.col("nearest.name").alias("connector"))
+
+
+@query("j13_code_letter")
+def j13_letter(spark, path):
+    w = S.diagram_words(spark, path, 1)
+    return C.code_letters(w.withColumns({"part": (F.col("y0") < 200).cast("int"), "ord": F.col("i")}))

@@ -194,3 +194,11 @@ NOTES_HEADER = "Примечания:"
 DEFAULT_JOURNAL = "Журнал № XX, запись № XX."
 DEFAULT_NOTE = "Изменения требуют уточнения."
 ACTION_REPLACE = "Заменить"
+
+# ---- connection diagrams: fixed values -------------------------------------------------------
+CONNECTOR_LETTERS = ("ХхРрТтСс", "XxPpTtSs")
+CONNECTOR_NAME = r"^X[SPTK][0-9]+[A-Z0-9-]*$"
+CONDUCTOR = r"(?iu)^(?:[0-9]{3}|б/н|-)$"
+PIN = r"(?iu)^(?:[0-9]{1,2}|[A-ZА-ЯЁ])$"
+LETTER_HEADER = r"(?iu)(?:^|[^A-Za-zА-Яа-яЁё0-9_])лит(?:$|[^A-Za-zА-Яа-яЁё0-9_])"
+LETTER_LABEL = r"(?iu)(?:лит(?:ера)?|лит\.)\s*[:.]?\s*([A-ZА-Я]{1,3})(?:$|[^A-Za-zА-Яа-яЁё0-9_])"

@@ -162,6 +162,20 @@ def words(spark: SparkSession, path: str) -> DataFrame:
         F.floor(line / 5).cast("int").alias("block_no"), (line % 5).alias("line_no"))
 
 
+def diagram_words(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """All words, some of them made into parts of a connection diagram or of a stamp; the second version changes some of those."""
+    w = words(spark, path)
+    k, n = (F.col("doc_id") * 7 + F.col("i") * 13) % 50, F.col("doc_id") + F.col("i")
+    if version == 2:
+        k = F.when(n % 97 == 0, (k + 1) % 50).otherwise(k)
+    made = (F.when(k < 3, F.concat(F.lit("хр"), (F.col("i") % 9).cast("string"), F.lit("a")))
+            .when(k < 8, F.lpad((F.col("i") % 40).cast("string"), 3, "0")).when(k == 8, F.lit("б/Н")).when(k < 11, F.lit(" Корпус"))
+            .when(k < 20, (F.col("i") % 30).cast("string")).when(k < 22, F.lit("ж")).when(k == 22, F.lit("№"))
+            .when((k == 23) & (n % 4 == 0), F.lit("Лит.")).when((k == 24) & (n % 3 == 0), F.lit("А1")).when((k == 25) & (n % 5 == 0), F.lit("о."))
+            .when((k == 26) & (n % 5 == 0), F.lit("литера: Б")).when((k == 27) & (n % 3 == 0), F.lit("Изм")))
+    return w.withColumn("text", F.coalesce(made, F.col("text")))
+
+
 def line_boxes(spark: SparkSession, path: str) -> DataFrame:
     return words(spark, path).groupBy("doc_id", "page_num", F.col("line").alias("ord")).agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
