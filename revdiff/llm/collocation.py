@@ -34,6 +34,8 @@ BUDGET, CROWDED = 1 << 20, 1 << 14
 WORDS, ENTRIES = 1 << 19, 1 << 21
 #: Bytes of text worked on at a time.
 BLOCK = 1 << 22
+#: Leaves that a subtree's task lays out at a time.
+PIECE = 1 << 18
 #: Pairs of one range of hashes that one task adds up.
 RANGE = 1 << 21
 
@@ -228,33 +230,66 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def _subtree(words: list[list[str]], n: np.ndarray, least: int, whole: bool) -> tuple[list[list[str]], list[int]]:
-    """Nodes of two and more words, and their totals, from the sorted leaves of one group.
+def _codes(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Words of each row as numbers (row, place; -1 beyond its end), the rows' sizes and starts, and all words in line."""
+    flat = words.flatten()
+    size = words.value_lengths().to_numpy().astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(size)])[:-1]
+    codes = np.full((len(size), int(size.max(initial=0))), -1, np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    codes[row, np.arange(len(row)) - start[row]] = flat.dictionary_encode().indices.to_numpy()
+    return codes, size, start, flat
 
-    whole: no other group holds leaves of these nodes, so that nodes below `least` can go.
+
+def _subtree(t: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+    """Nodes of two and more words, and their totals, from sorted leaves (g, parted, lang, words, f), one batch for each depth.
+
+    Nodes below `least` go, but for those of pairs dealt by all their words: other groups hold leaves of theirs.
     """
-    nodes, totals = [], []
-    sums = np.concatenate([[0], np.cumsum(n)])
-    size = np.array([len(w) for w in words])
+    codes, size, start, flat = _codes(t.column("words"))
+    parted = t.column("parted").to_numpy(zero_copy_only=False)
+    lang = t.column("lang").dictionary_encode().indices.to_numpy()
+    sums = np.concatenate([[0], np.cumsum(t.column("f").to_numpy())])
     # words that a leaf shares with the one before it
-    shared = np.zeros(len(words), np.int64)
-    for i in range(1, len(words)):
-        a, b = words[i - 1], words[i]
-        k = 0
-        while k < len(a) and k < len(b) and a[k] == b[k]:
-            k += 1
-        shared[i] = k
-    for depth in range(2, int(size.max(initial=0)) + 1):
-        # a node of this depth begins where a leaf that is long enough shares less with the one before; shorter leaves end it
-        opens = (size >= depth) & (shared < depth)
+    shared = np.zeros(len(size), np.int64)
+    alike = (lang[1:] == lang[:-1]) & (parted[1:] == parted[:-1])
+    for k in range(codes.shape[1]):
+        alike &= (codes[1:, k] == codes[:-1, k]) & (codes[1:, k] >= 0)
+        shared[1:] += alike
+    for depth in range(2, codes.shape[1] + 1):
+        # a node of this depth begins where a leaf that is long enough shares less with the one before; it ends at the next that does
         change = (shared < depth).nonzero()[0]
-        at = opens.nonzero()[0]
-        end = np.concatenate([change, [len(words)]])[np.searchsorted(change, at, side="right")]
-        count = sums[end] - sums[at]
-        keep = count >= least if whole else np.ones(len(at), bool)
-        nodes += [words[i][:depth] for i in at[keep]]
-        totals += count[keep].tolist()
-    return nodes, totals
+        at = change[size[change] >= depth]
+        count = sums[np.concatenate([change, [len(size)]])[np.searchsorted(change, at, side="right")]] - sums[at]
+        keep = (count >= least) | parted[at]
+        at, count = at[keep], count[keep]
+        if len(at):
+            words = flat.take(pa.array((start[at][:, None] + np.arange(depth)).ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * depth), words)
+            yield pa.RecordBatch.from_arrays([t.column("lang").take(pa.array(at)), lists, pa.array(count, pa.int64())], ["lang", "words", "f"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted leaves, about PIECE at a time; a cut falls between first pairs, or anywhere among the leaves of a pair dealt by all its words."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < PIECE:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        codes = _codes(t.column("words"))[0]
+        lang = t.column("lang").dictionary_encode().indices.to_numpy()
+        free = (codes[1:, :2] != codes[:-1, :2]).any(axis=1) | (lang[1:] != lang[:-1]) | t.column("parted").to_numpy(zero_copy_only=False)[1:]
+        cuts = free.nonzero()[0]
+        if len(cuts):
+            cut = int(cuts[-1]) + 1
+            yield t.slice(0, cut)
+            # a copy, so that the part that is done can be let go
+            held, n = [t.slice(cut).take(pa.array(np.arange(t.num_rows - cut)))], t.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
@@ -340,10 +375,8 @@ def phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", longest:
             yield from send(lang)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, whole in _runs(batches):
-            nodes, totals = _subtree(t.column("words").to_pylist(), t.column("f").to_numpy(), least, whole)
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array([t.column("lang")[0].as_py()] * len(nodes), pa.string()), pa.array(nodes, pa.list_(pa.string())), pa.array(totals, pa.int64())], ["lang", "words", "f"])
+        for t in _pieces(batches):
+            yield from _subtree(t, least)
 
     leaves = texts.mapInArrow(run, "g long, parted boolean, lang string, words array<string>, f long")
     order = ["g", "lang", "parted", "words"]
@@ -353,31 +386,6 @@ def phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", longest:
     return words, stage(found)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
-    """The leaves of one group and language, at most about ENTRIES at a time, cut only between first pairs; sorted input."""
-    for t in groups(_between_pairs(batches), ["g", "lang", "parted", "__cut"]):
-        yield t, not t.column("parted")[0].as_py()
-
-
-def _between_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with a number __cut that grows after ENTRIES rows, where the first pair changes."""
-    cut, seen, last = 0, 0, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        numbers = np.full(b.num_rows, cut, np.int64)
-        seen += b.num_rows
-        if seen > ENTRIES:
-            heads = [tuple(w[:2]) for w in b.column(b.schema.get_field_index("words")).to_pylist()]
-            for i, h in enumerate(heads):
-                if h != (last if i == 0 else heads[i - 1]):
-                    cut, seen = cut + 1, b.num_rows - i
-                    numbers[i:] = cut
-                    break
-        last = tuple(b.column(b.schema.get_field_index("words"))[b.num_rows - 1].as_py()[:2])
-        yield b.append_column("__cut", pa.array(numbers))
-
-
 def _count_rows(rows: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Different rows and the totals of n."""
     if not len(rows):

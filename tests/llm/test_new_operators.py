@@ -121,7 +121,7 @@ def corpus(seed, docs):
 def test_collocations(spark, monkeypatch, longest, small):
     rows = corpus(longest, 300)
     if small:  # crowded words and pairs, full dictionaries, several groups
-        for name, value in {"CROWDED": 1 << 40, "ENTRIES": 100, "WORDS": 5, "BLOCK": 300, "RANGE": 50}.items():
+        for name, value in {"CROWDED": 1 << 40, "ENTRIES": 100, "PIECE": 20, "WORDS": 5, "BLOCK": 300, "RANGE": 50}.items():
             monkeypatch.setattr(collocation, name, value)
     df = spark.createDataFrame([(t, lang, 0) for lang, t in rows], "text string, lang string, n int").repartition(5)
     got = collocation.mine(df, longest=longest, budget=40 if small else collocation.BUDGET).collect()
