@@ -198,16 +198,27 @@ SQL["j16_supplied_topics"] = with_(["req1"], SF + f""", d AS (SELECT *, CASE WHE
       AND (n = 0 OR (n <= 2 AND hit >= 1) OR (n > 2 AND (hit >= 2 OR hit / n >= 0.5))))) THEN 'пробном textes' ELSE derived END AS topic FROM m)
   SELECT doc_id, number, status, topic, {PHR} AS phrase FROM t""")
 
-SQL["j17_note_coverage"] = with_(["req1"], """, f AS (SELECT doc_id, number, CASE WHEN doc_id % 8 = 0 AND number = 3 THEN 'graphics_changed' ELSE ['added','removed','modified'][number % 3 + 1] END AS k FROM req1),
-  n AS (SELECT doc_id, CASE WHEN number = 1 AND doc_id % 7 = 0 THEN 'изменена графика' WHEN number = 1 AND doc_id % 9 = 0 THEN 'масса 5' WHEN number = 2 AND doc_id % 6 = 0 THEN 'аннулирован'
-    ELSE 'изменен пункт ' || number || ' о тексте' END AS t FROM req1 WHERE doc_id % 10 > 0 OR number % 5 > 0),
-  ff AS (SELECT doc_id, bool_or(k = 'graphics_changed') AS g, bool_or(k IN ('added', 'removed', 'modified')) AS i, bool_or(k = 'removed') AS r FROM f GROUP BY doc_id),
-  nn AS (SELECT doc_id, bool_or(contains(t, 'график')) AS g, bool_or(contains(t, 'масса')) AS m, bool_or(contains(t, 'пункт')) AS i, bool_or(contains(t, 'аннулирован')) AS r FROM n GROUP BY doc_id),
-  mm AS (SELECT doc_id, min(number) AS mi FROM f WHERE k = 'modified' AND NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = f.doc_id AND n.t = 'изменен пункт ' || f.number || ' о тексте') GROUP BY doc_id)
-  SELECT coalesce(ff.doc_id, nn.doc_id) AS doc_id, CASE WHEN coalesce(nn.g, false) AND NOT ff.g THEN 'graphics without a fact' WHEN coalesce(nn.m, false) THEN 'mass without a fact'
-    WHEN ff.g AND NOT coalesce(nn.g, false) THEN 'graphics not mentioned' WHEN ff.i AND NOT coalesce(nn.i, false) THEN 'requirements not mentioned'
-    WHEN mi IS NOT NULL THEN 'missing item ' || mi WHEN coalesce(nn.r, false) AND NOT ff.r THEN 'removal without a fact' END AS reason
-  FROM ff FULL JOIN nn ON ff.doc_id = nn.doc_id LEFT JOIN mm ON mm.doc_id = coalesce(ff.doc_id, nn.doc_id)""")
+PLAIN = "trim(regexp_replace(translate(replace(lower(X), 'ё', 'е'), ';.\"«»', ''), '\\s+', ' ', 'g'))"
+SQL["j17_note_coverage"] = with_(["req1"], f""", p AS (SELECT doc_id, number, CASE number % 3 WHEN 0 THEN 'введен пункт о строке ' || (number % 5) WHEN 1 THEN 'аннулирован пункт о строке ' || (number % 5)
+      ELSE 'изменен пункт ' || number || ' о строке ' || (number % 5) END AS phrase, CASE WHEN doc_id % 8 = 0 AND number = 3 THEN 'graphics' ELSE ['added','removed','modified'][number % 3 + 1] END AS k FROM req1),
+  n AS (SELECT doc_id, CASE WHEN number = 1 AND doc_id % 7 = 0 THEN 'Изменена графика' WHEN number = 1 AND doc_id % 9 = 0 THEN 'Масса 5' WHEN number = 2 AND doc_id % 6 = 0 THEN 'аннулирован'
+      WHEN number = 3 AND doc_id % 31 = 0 THEN 'Бирки термоусадить' WHEN number = 4 AND doc_id % 13 = 0 THEN 'введено требование' WHEN number = 2 AND doc_id % 17 = 0 THEN 'и так далее…'
+      WHEN (doc_id + number) % 23 = 0 THEN 'п. ' || number || ' стал другим' WHEN (doc_id * number) % 29 = 5 THEN 'изменен пункт о строке'
+      ELSE '- ' || upper(left(phrase, 1)) || substr(phrase, 2) || ' (п. ' || number || ');' END AS note FROM p),
+  t AS (SELECT doc_id, lower(note) AS low, {PLAIN.replace('X', 'note')} AS plain FROM n),
+  nn AS (SELECT doc_id, bool_or({any_of('low', rules.GRAPHICS_WORDS)}) AS g, bool_or(contains(low, 'масса')) AS m, bool_or({any_of('low', ('тт', 'тех', 'пункт', 'п.'))}) AS i,
+      bool_or({any_of('low', rules.RAW_REQUIREMENT_MARKERS)} AND NOT ({' OR '.join(f'starts_with(trim(low), {q(x)})' for x in rules.REQUIREMENT_NOTE_STARTS)})) AS raw,
+      bool_or({any_of('low', rules.BAD_REQUIREMENT_FRAGMENTS)}) AS cut, bool_or(contains(low, 'введено требование')) AS weak, bool_or(contains(low, 'аннулирован')) AS r, bool_or(contains(low, 'п')) AS p FROM t GROUP BY doc_id),
+  ff AS (SELECT doc_id, bool_or(k = 'graphics') AS g, bool_or(k <> 'graphics') AS i, bool_or(k = 'removed') AS r, bool_or(k = 'added') AS a FROM p GROUP BY doc_id),
+  mm AS (SELECT doc_id, string_agg(number, ', ' ORDER BY number) AS missing FROM p WHERE k <> 'graphics'
+      AND NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = p.doc_id AND regexp_matches(t.low, '(пункт\\s+|п\\.\\s*)' || p.number || '([^0-9]|$)')) GROUP BY doc_id),
+  ll AS (SELECT doc_id, string_agg(phrase, '; ' ORDER BY number, phrase) AS lines FROM (SELECT doc_id, phrase, min(number) AS number FROM p WHERE k <> 'graphics'
+      AND NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = p.doc_id AND contains(t.plain, p.phrase)) GROUP BY ALL) GROUP BY doc_id)
+  SELECT doc_id, CASE WHEN nn.g AND NOT ff.g THEN 'graphics without a fact' WHEN m THEN 'mass without a fact' WHEN ff.g AND NOT nn.g THEN 'graphics not mentioned'
+    WHEN ff.i AND NOT nn.i THEN 'requirements not mentioned' WHEN ff.i AND raw THEN 'raw requirement text' WHEN ff.i AND cut THEN 'cut wording' WHEN missing IS NOT NULL THEN 'missing items: ' || missing
+    WHEN lines IS NOT NULL THEN 'other wording: ' || lines WHEN weak AND ff.a THEN 'weak wording' WHEN weak THEN 'requirement without a fact'
+    WHEN nn.r AND nn.p AND NOT ff.r THEN 'removal without a fact' END AS reason
+  FROM nn JOIN ff USING (doc_id) LEFT JOIN mm USING (doc_id) LEFT JOIN ll USING (doc_id)""")
 SQL["w07_items_from_rows"] = with_(["bom1"], """, a AS (SELECT *, CASE WHEN ord % 7 = 0 THEN upper(left(section, 1)) || lower(substr(section, 2)) END AS sec, ord % 11 = 0 AS svc,
     CASE WHEN ord % 3 = 1 THEN CAST(position AS VARCHAR) END AS pos FROM bom1),
   b AS (SELECT *, sec IS NOT NULL OR svc AS close, lag(sec IS NOT NULL OR svc) OVER w AS ac, last_value(sec IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS cs

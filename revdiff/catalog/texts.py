@@ -220,9 +220,14 @@ def j16(spark, path):
 
 @query("j17_note_coverage")
 def j17(spark, path):
-    facts = simple_facts(spark, path).withColumn("fact_type", F.when((F.col("doc_id") % 8 == 0) & (F.col("number_new") == 3), "graphics_changed").otherwise(F.col("fact_type")))
     n, d = F.col("number"), F.col("doc_id")
+    facts = simple_facts(spark, path).withColumn("number", F.coalesce("number_new", "number_old")).withColumns({
+        "fact_type": F.when((d % 8 == 0) & (n == 3), "graphics_changed").otherwise(F.col("fact_type")),
+        "topic": F.concat(F.lit("строке "), (n % 5).cast("string"))})
+    phrase = R.requirement_phrase(F.col("fact_type"), n, F.col("topic"))
     note = (F.when((n == 1) & (d % 7 == 0), F.lit("Изменена графика")).when((n == 1) & (d % 9 == 0), "Масса 5").when((n == 2) & (d % 6 == 0), "аннулирован")
-            .otherwise(F.concat(F.lit("изменен пункт "), n.cast("string"), F.lit(" о тексте"))))
-    notes = S.requirements(spark, path, 1).filter("doc_id % 10 > 0 or number % 5 > 0").select("doc_id", note.alias("note"))
-    return R.coverage_reasons(facts, notes)
+            .when((n == 3) & (d % 31 == 0), "Бирки термоусадить").when((n == 4) & (d % 13 == 0), "введено требование").when((n == 2) & (d % 17 == 0), "и так далее…")
+            .when((d + n) % 23 == 0, F.concat(F.lit("п. "), n.cast("string"), F.lit(" стал другим"))).when((d * n) % 29 == 5, "изменен пункт о строке")
+            .otherwise(F.concat(F.lit("- "), F.upper(F.substring(phrase, 1, 1)), F.substr(phrase, F.lit(2)), F.lit(" (п. "), n.cast("string"), F.lit(");"))))
+    return R.coverage_reasons(facts, facts.withColumn("fact_type", F.concat(F.lit("tech_requirement_"), F.when(n % 3 == 0, "added").when(n % 3 == 1, "removed").otherwise("modified")))
+                              .select("doc_id", note.alias("note")))

@@ -202,3 +202,14 @@ CONDUCTOR = r"(?iu)^(?:[0-9]{3}|б/н|-)$"
 PIN = r"(?iu)^(?:[0-9]{1,2}|[A-ZА-ЯЁ])$"
 LETTER_HEADER = r"(?iu)(?:^|[^A-Za-zА-Яа-яЁё0-9_])лит(?:$|[^A-Za-zА-Яа-яЁё0-9_])"
 LETTER_LABEL = r"(?iu)(?:лит(?:ера)?|лит\.)\s*[:.]?\s*([A-ZА-Я]{1,3})(?:$|[^A-Za-zА-Яа-яЁё0-9_])"
+
+# ---- what notes are checked for: fixed values ------------------------------------------------
+GRAPHICS_WORDS = ("графика", "графику", "графики", "графикой", "графическое", "графические")
+RAW_REQUIREMENT_MARKERS = (
+    "заделку выполнить", "маркировку по пп.", "бирки термоусадить", "неуказанные предельные отклонения", "позиционные обозначения согласно",
+    "заделку проводов в соединители", "приемку кабеля выполнять",
+)
+REQUIREMENT_NOTE_STARTS = (
+    "изменены тт", "изменены технические требования", "- изменен пункт", "- введен пункт", "- аннулирован пункт", "изменен пункт", "введен пункт", "аннулирован пункт",
+)
+BAD_REQUIREMENT_FRAGMENTS = ("...", "…", " о неуказанные ", " об экранирование ", " о бирки ", " о маркировать ", " выполнить пле")

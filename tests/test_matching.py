@@ -225,3 +225,26 @@ def test_table_pairing_with_nulls_and_nothing(spark):
     assert {(r.doc_id, r.old_id, r.new_id) for r in pair_tables(df, none, token_share).collect()} == {(d, t, None) for d, t, *_ in rows}
     assert {(r.doc_id, r.old_id, r.new_id) for r in pair_tables(none, df, token_share).collect()} == {(d, None, t) for d, t, *_ in rows}
     assert pair_tables(none, none).count() == 0
+
+
+def test_expected_lines_stand_within_a_note(spark):
+    import re
+
+    def plain(t):
+        return re.sub(r"[\s\xa0]+", " ", re.sub('[;."«»]', "", t.lower().replace("ё", "е"))).strip()
+
+    rng = random.Random(8)
+    words = ["пункт", "о", "Ёлке", "маркировке", "7", "x", "введен", "«жгута»", "конец;"]
+
+    def text(k):
+        return " ".join(rng.choices(words, k=k))
+
+    notes = [(d, text(rng.randrange(0, 25))) for d in range(4) for _ in range(12)] + [(9, None)]
+    lines = [(d, n, text(rng.randrange(0, 4))) for d in range(5) for n in range(40)]
+    for d, t in notes[:30]:
+        if t and len(t) > 12:  # pieces of notes, cut within words at both ends
+            a = rng.randrange(len(t) - 10)
+            lines.append((d, 100, t[a:a + rng.randrange(5, len(t))]))
+    got = {(r.doc_id, r.n, r.line) for r in R.missing_lines(spark.createDataFrame(lines, "doc_id int, n int, line string"), spark.createDataFrame(notes, "doc_id int, note string")).collect()}
+    want = {(d, n, t) for d, n, t in lines if plain(t) and not any(e == d and u and plain(t) in plain(u) for e, u in notes)}
+    assert got == want and 0 < len(want) < len(lines)
