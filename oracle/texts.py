@@ -231,3 +231,35 @@ SQL["w07_items_from_rows"] = with_(["bom1"], """, a AS (SELECT *, CASE WHEN ord
   SELECT doc_id, key, min_by(section, run) AS section, min_by(position, run) AS position, min_by(page_num, run) AS page_num, """ + ", ".join(
     f"list_reduce(list_prepend('', list({f} ORDER BY run)), lambda a, b: CASE WHEN a = '' THEN b WHEN b = '' OR contains(a, b) THEN a ELSE a || ' ' || b END) AS {f}"
     for f in ("designation", "name", "quantity", "note")) + " FROM k GROUP BY doc_id, key")
+
+
+def folded(order, columns=("designation", "name", "quantity", "note")):
+    return ", ".join(f"list_reduce(list_prepend('', list(coalesce({f}, '') ORDER BY {order})), lambda a, b: CASE WHEN a = '' THEN b WHEN b = '' OR contains(a, b) THEN a ELSE a || ' ' || b END) AS {f}"
+                     for f in columns)
+
+
+ITEMS = with_(["bom1"], """, b AS (SELECT *, doc_id + ord AS k, doc_id * 8 + ord % 3 AS table_id, 10 + 4 * ord AS place FROM bom1),
+  t AS (SELECT DISTINCT doc_id, table_id, CAST(1 + table_id % 2 AS INT) AS page_num, (table_id % 3) * 10.0 AS x0, (table_id % 5) * 20.0 AS y0 FROM b),
+  spec AS (SELECT t.* FROM t WHERE table_id % 13 <> 0 OR table_id % 11 = 0 OR EXISTS (SELECT 1 FROM b WHERE b.table_id = t.table_id AND k % 5 = 0)),
+  e AS (SELECT doc_id, table_id, place AS row_index, 'item' AS kind, NULL AS sec, CASE WHEN table_id % 4 <> 1 AND k % 4 = 0 THEN 'А4' ELSE '' END AS format,
+      CASE WHEN k % 3 <> 1 THEN CAST(position AS VARCHAR) ELSE '' END AS position, designation, name, quantity, note FROM b
+    UNION ALL SELECT doc_id, table_id, place - 1, 'section', CASE WHEN k % 2 = 0 THEN 'Прочие Изделия' ELSE 'Документация' END, '', '', '', '', '', '' FROM b WHERE k % 5 = 0
+    UNION ALL SELECT doc_id, table_id, place + 1, 'service', NULL, '', '', '', '', '', '' FROM b WHERE k % 7 = 0
+    UNION ALL SELECT doc_id, table_id, 4, CASE WHEN table_id % 11 = 0 THEN 'plain' WHEN table_id % 13 = 0 THEN 'word' ELSE 'section' END, CASE WHEN table_id % 11 <> 0 AND table_id % 13 <> 0 THEN 'Материалы' END,
+      CASE WHEN table_id % 4 <> 1 AND (table_id % 11 = 0 OR table_id % 13 = 0) THEN CASE WHEN table_id % 11 = 0 THEN 'Материала' ELSE 'нет' END ELSE '' END,
+      CASE WHEN table_id % 4 <> 1 AND table_id % 11 = 0 THEN 'x' ELSE '' END,
+      CASE WHEN table_id % 4 = 1 AND table_id % 11 = 0 THEN 'нет' ELSE '' END,
+      CASE WHEN table_id % 4 = 1 AND table_id % 11 = 0 THEN 'Материала' WHEN table_id % 4 = 1 AND table_id % 13 = 0 THEN 'нет' ELSE '' END,
+      CASE WHEN table_id % 4 = 1 AND table_id % 11 = 0 THEN 'x' ELSE '' END, '' FROM t),
+  r AS (SELECT e.*, s.page_num, row_number() OVER (PARTITION BY e.doc_id ORDER BY s.page_num, y0, x0, e.table_id, row_index) AS n FROM e JOIN spec s USING (doc_id, table_id)),
+  m AS (SELECT *, kind IN ('section', 'service') AS close, last_value(sec IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section,
+    lag(kind IN ('section', 'service')) OVER w AS pc, lag(table_id) OVER w AS pt FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+  o AS (SELECT *, CASE WHEN lower(coalesce(section, '')) = 'документация' THEN format || designation || name <> '' ELSE position <> '' END OR close OR coalesce(pc OR pt <> table_id, true) AS opens FROM m),
+  u AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM o),
+  g AS (SELECT doc_id, run, min_by(page_num, n) AS page_num, arg_min_null(section, n) AS section, nullif(arg_min(position, n), '') AS position,
+      min_by(format, n) FILTER (WHERE format <> '') AS format, """ + folded("n") + """ FROM u WHERE NOT close GROUP BY doc_id, run),
+  k AS (SELECT *, trim(coalesce(lower(section), '') || '|' || coalesce(CASE WHEN lower(section) = 'документация' THEN NULL ELSE position END, nullif(designation, ''), lower(name), ''), '|') AS key FROM g)
+  SELECT doc_id, key, arg_min_null(section, run) AS section, min_by(page_num, run) AS page_num, arg_min_null(format, run) AS format, arg_min_null(position, run) AS position, """
+                                     + folded("run") + " FROM k WHERE key <> '' GROUP BY doc_id, key")
+SQL["w07_items_from_tables"] = f"""SELECT doc_id, key, section, page_num, format, position, nullif(designation, '') AS designation, nullif(name, '') AS name,
+  nullif(quantity, '') AS quantity, nullif(note, '') AS note FROM ({ITEMS})"""

@@ -102,6 +102,12 @@ def w07(spark, path):
     return lines.items_from_rows(rows).select("doc_id", "key", "section", "position", "designation", "name", "quantity", "note", "page_num")
 
 
+@query("w07_items_from_tables")
+def w07_tables(spark, path):
+    found = lines.items_from_tables(*S.item_tables(spark, path))
+    return found.select("doc_id", "key", "section", "page_num", "format", "position", "designation", "name", "quantity", "note")
+
+
 @query("w09_requirement_stitching")
 def w09(spark, path):
     return R.stitch(S.raw_lines(spark, path))

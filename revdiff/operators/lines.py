@@ -9,7 +9,7 @@ from revdiff import rules
 from revdiff.functions import fields as X
 from revdiff.functions import text as T
 from revdiff.operators.dedupe import keep_richest, merge_texts
-from revdiff.operators.scan import by_position, ordered_scan
+from revdiff.operators.scan import CHUNK_ROWS, by_position, ordered_scan
 from revdiff.staging import stage
 
 
@@ -145,6 +145,66 @@ def items_from_rows(rows: DataFrame) -> DataFrame:
     return merge_texts(keyed, ["doc_id", "key"], ITEM_TEXTS, "run")
 
 
+def section_row(cells: Column, names=rules.BOM_SECTIONS) -> Column:
+    """The section that a table row of normalised cells stands for: its whole text, or a section's name in a row of one or two cells."""
+    def judge(filled: Column) -> Column:
+        joined = F.lower(T.squeeze(F.array_join(filled, " ")))
+        named = F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(joined, n)), F.lit(0))
+        return F.when(joined.isin(*names), F.initcap(joined)).when(F.size(filled) <= 2, F.initcap(named))
+
+    return T.let(F.filter(cells, lambda c: c != ""), judge)
+
+
+def items_from_tables(tables: DataFrame, rows: DataFrame) -> DataFrame:
+    """Items of a document's tables, from their raw rows.
+
+    tables: doc_id, table_id, page_num, x0, y0; rows: table_id, row_index (from 1), cells. A table counts if its text names designation, name, quantity and a section,
+    and one of its first six rows is a head with designation and name; that row says which column holds which field. Section rows, service rows and a
+    table's start close the open item. A row with a position opens one, in the documentation section one with a format, designation or name; after a close
+    any row does. Others add to it what it does not hold yet. Items of one key are one.
+    """
+    norm = rows.select("table_id", "row_index", F.transform("cells", T.norm_cell).alias("cells"))
+    low = F.lower(F.array_join(F.filter("cells", lambda c: c != ""), " "))
+
+    def says(*markers: str) -> Column:
+        return F.bool_or(T.contains_any(F.col("low"), markers))
+
+    top = F.when(F.col("row_index") <= 6, header_map(F.col("cells")))
+    is_head = F.map_contains_key("map", F.lit("designation")) & F.map_contains_key("map", F.lit("name"))
+    heads = norm.withColumns({"low": low, "map": top}).groupBy("table_id").agg(
+        says("обознач").alias("a"), says("наимен").alias("b"), says("кол").alias("c"), says("документац", "материал", "прочие изделия").alias("d"),
+        F.min_by(F.struct("row_index", *[F.element_at("map", F.lit(f)).alias(f) for f, _ in rules.ITEM_COLUMNS]), F.when(is_head, F.col("row_index"))).alias("head"))
+    heads = heads.filter("a AND b AND c AND d AND head IS NOT NULL").select("table_id", "head")
+    place = ["page_num", "y0", "x0", "table_id"]
+    body = norm.join(heads, "table_id").filter(F.col("row_index") > F.col("head.row_index")).join(tables.select("doc_id", *place), "table_id")
+    fields = [f for f, _ in rules.ITEM_COLUMNS]
+    read = body.withColumns({**{f: F.coalesce(F.get("cells", F.col(f"head.{f}")), F.lit("")) for f in fields}, "section_here": section_row(F.col("cells")),
+                             "is_format": F.exists("cells", lambda c: F.contains(X.canon_header(c), F.lit("формат"))),
+                             "is_service": T.contains_any(F.lower(F.array_join("cells", " ")), rules.TABLE_ROW_SERVICE)})
+    some = F.concat(*fields) != ""
+    kept = read.filter(F.col("section_here").isNotNull() | (~F.col("is_format") & some))
+    close = F.col("section_here").isNotNull() | F.col("is_service")
+    kept = stage(kept.select("doc_id", *place, "row_index", "section_here", close.alias("close"), *fields))
+    order = [*place, "row_index"]
+    sectioned = ordered_scan(kept, ["doc_id"], order, F.struct(*place, F.floor(F.col("row_index") / CHUNK_ROWS)), carry={"section": F.col("section_here")}, running={"ord": F.lit(1)},
+                             previous={"before": F.struct("close", "table_id")})
+    in_documents = F.lower(F.coalesce("section", F.lit(""))) == "документация"
+    opens = F.when(in_documents, F.concat("format", "designation", "name") != "").otherwise(F.col("position") != "")
+    fresh = F.coalesce(F.col("before.close") | (F.col("before.table_id") != F.col("table_id")), F.lit(True))
+    sectioned = stage(sectioned.withColumn("opens", F.col("close") | opens | fresh).drop("before"))
+    runs = ordered_scan(sectioned, ["doc_id"], ["ord"], by_position("ord"), running={"run": F.col("opens").cast("int")}).filter(~F.col("close"))
+    # what goes on with an item is cleaned before it is added
+    pieces = stage(runs.select("doc_id", "run", "ord", "page_num", "section", *[F.nullif(c, F.lit("")).alias(c) for c in ("format", "zone", "position")],
+                               *[F.when(F.col("opens"), F.col(c)).otherwise(X.clean_field(F.col(c))).alias(c) for c in ITEM_TEXTS]))
+    firsts = pieces.groupBy("doc_id", "run").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in ("format", "zone")])
+    merged = merge_texts(pieces.drop("format", "zone"), ["doc_id", "run"], ITEM_TEXTS).join(firsts, ["doc_id", "run"])
+    cleaned = merged.withColumns({c: X.clean_field(F.col(c)) for c in ITEM_TEXTS})
+    des, name = X.rejoin_designation(F.col("designation"), F.col("name"))
+    keyed = cleaned.withColumns({"designation": des, "name": name})
+    keyed = keyed.withColumn("key", X.item_key(F.col("section"), F.col("position"), F.col("designation"), F.col("name"))).filter("key <> ''")
+    return merge_texts(stage(keyed.drop("ord")), ["doc_id", "key"], ITEM_TEXTS, "run").drop("run")
+
+
 # ---- elements (W11) --------------------------------------------------------------------------
 
 def accumulate_elements(rows: DataFrame) -> DataFrame:

@@ -102,6 +102,37 @@ def table_rows(spark: SparkSession, path: str, version: int) -> DataFrame:
     return body.unionByName(headers)
 
 
+def item_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of items as they are read: up to three to a document, two column orders, section, service and repeated head rows between the items."""
+    d = items(spark, path, 1)
+    o, k = F.col("ord"), F.col("doc_id") + F.col("ord")
+    table_id = F.col("doc_id") * 8 + F.col("ord") % 3
+    wide = table_id % 4 != 1
+    head = {True: ["Формат", "Зона", "Поз.", "Обозначе-ние\nдок", "Наимено- вание", "Кол.", "Примечание"], False: ["Наименование", "Обозначение", "Кол", "Поз", "Примеч."]}
+
+    def of(texts) -> Column:
+        return F.array(*[F.lit(t) if isinstance(t, str) else t for t in texts])
+
+    position = F.when(k % 3 != 1, F.col("position").cast("string")).otherwise("")
+    item = F.when(wide, of([F.when(k % 4 == 0, "А4").otherwise(""), "", position, F.concat(F.lit(" "), "designation"), *map(F.col, ("name", "quantity", "note"))])).otherwise(
+        of([*map(F.col, ("name", "designation", "quantity")), position, F.col("note")]))
+    section = F.when(k % 2 == 0, of(["", "Прочие  изделия", "", "", ""])).otherwise(of(["", "раздел: документация", ""]))
+    service = of(["Изм.", "Лист", "№ докум.", "Подп.", "Дата"])
+    at = 10 + 4 * o
+    made = [F.struct(at.alias("row_index"), item.alias("cells")), F.when(k % 5 == 0, F.struct((at - 1).alias("row_index"), section.alias("cells"))),
+            F.when(k % 7 == 0, F.struct((at + 1).alias("row_index"), service.alias("cells"))),
+            F.when(k % 6 == 0, F.struct((at + 2).alias("row_index"), of(["ФОР-МАТ", "x", "y", "z", "w"]).alias("cells")))]
+    body = d.select("doc_id", table_id.alias("table_id"), F.explode(F.filter(F.array(*made), lambda r: r.isNotNull())).alias("r")).select("doc_id", "table_id", "r.row_index", "r.cells")
+    t = d.select("doc_id", table_id.alias("table_id")).distinct()
+    tid = F.col("table_id")
+    top = [F.struct(F.lit(1).alias("row_index"), of(["Список", ""]).alias("cells")),
+           F.struct(F.lit(3).alias("row_index"), F.when(tid % 4 != 1, of(head[True])).otherwise(of(head[False])).alias("cells")),
+           F.struct(F.lit(4).alias("row_index"), F.when(tid % 11 == 0, of(["Материала", "нет", "x"])).when(tid % 13 == 0, of(["нет"])).otherwise(of(["", "Материалы"])).alias("cells"))]
+    rows = body.unionByName(t.select("doc_id", "table_id", F.explode(F.array(*top)).alias("r")).select("doc_id", "table_id", F.col("r.row_index").alias("row_index"), F.col("r.cells").alias("cells")))
+    boxes = t.select("doc_id", "table_id", (1 + tid % 2).cast("int").alias("page_num"), (tid % 3 * 10.0).alias("x0"), (tid % 5 * 20.0).alias("y0"))
+    return boxes, rows.select("table_id", F.col("row_index").cast("int").alias("row_index"), "cells")
+
+
 # ---- numbered texts and raw lines ------------------------------------------------------------
 
 def document_lines(spark: SparkSession, path: str) -> DataFrame:
