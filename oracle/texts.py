@@ -263,3 +263,32 @@ ITEMS = with_(["bom1"], """, b AS (SELECT *, doc_id + ord AS k, doc_id * 8 + ord
                                      + folded("run") + " FROM k WHERE key <> '' GROUP BY doc_id, key")
 SQL["w07_items_from_tables"] = f"""SELECT doc_id, key, section, page_num, format, position, nullif(designation, '') AS designation, nullif(name, '') AS name,
   nullif(quantity, '') AS quantity, nullif(note, '') AS note FROM ({ITEMS})"""
+
+
+def parsed_blocks(name, keys):
+    """Items of the blocks of bl: by lone numbers, else by lines that begin with one."""
+    over = f"OVER (PARTITION BY {keys} ORDER BY ord"
+    return f""", {name}a AS (SELECT *, {cell('line')} AS t, lower({cell('line')}) AS l FROM bl),
+  {name}b AS (SELECT *, regexp_full_match(t, '\\d{{1,2}}') AS nm, regexp_matches(t, '^\\d{{1,2}}[.)]?\\s+.') AS st FROM {name}a WHERE NOT {SERVICE}),
+  {name}c AS (SELECT *, sum(nm::INT) {over} ROWS UNBOUNDED PRECEDING) + CASE WHEN NOT nm AND lead(nm) {over}) THEN 1 ELSE 0 END AS i1, sum(st::INT) {over} ROWS UNBOUNDED PRECEDING) AS i2 FROM {name}b),
+  {name}d AS (SELECT {keys}, i1 AS item, max(CASE WHEN nm THEN CAST(t AS INT) END) AS number,
+    regexp_replace(coalesce(string_agg(CASE WHEN NOT nm THEN t END, chr(10) ORDER BY ord), ''), '([{WORD}])-\\n([{WORD}])', '\\1\\2', 'g') AS text FROM {name}c WHERE i1 > 0 GROUP BY {keys}, i1),
+  {name}e AS (SELECT {keys}, i2 AS item, max(CASE WHEN st THEN CAST(regexp_extract(t, '^(\\d{{1,2}})', 1) AS INT) END) AS number,
+    string_agg(CASE WHEN st THEN regexp_extract(t, '^\\d{{1,2}}[.)]?\\s+(.+)$', 1) ELSE t END, ' ' ORDER BY ord) AS text FROM {name}c WHERE i2 > 0 GROUP BY {keys}, i2),
+  {name}s AS (SELECT {keys}, number, max_by(text, item) AS text FROM {name}d WHERE number IS NOT NULL AND {KEEP} GROUP BY {keys}, number),
+  {name}i AS (SELECT {keys}, number, max_by(text, item) AS text FROM {name}e WHERE {KEEP} GROUP BY {keys}, number),
+  {name} AS (SELECT * FROM {name}s UNION ALL SELECT {name}i.* FROM {name}i ANTI JOIN {name}s USING ({keys}))"""
+
+
+SQL["a17_best_blocks"] = with_(["raw"], """, bl AS (SELECT doc_id, page_num, ord, block_no, (block_no * 37 % 3) * 50.0 AS x0, CASE WHEN block_no % 3 = 0 AND al <> '' THEN al
+    WHEN doc_id % 3 = 0 AND page_num = 1 AND al <> '' THEN al || ' Экран' ELSE line END AS line FROM (SELECT *, CAST(ord // 4 AS INT) AS block_no, regexp_extract(line, '^(\\d{1,2}) ', 1) AS al FROM raw))"""
+                               + parsed_blocks("p", "doc_id, page_num, block_no") + parsed_blocks("w", "doc_id, page_num") + """,
+  ab AS (SELECT doc_id, page_num, block_no, min(number) AS lowest FROM p GROUP BY ALL HAVING count(*) > 1 OR sum(length(regexp_replace(text, '[^A-Za-zА-Яа-яЁё]', '', 'g'))) >= 30),
+  pg AS (SELECT p.doc_id, p.page_num, 'blocks' AS route, number, max_by(text, (lowest, (p.block_no * 37 % 3) * 50.0, p.block_no)) AS text FROM p JOIN ab USING (doc_id, page_num, block_no) GROUP BY ALL
+    UNION ALL SELECT doc_id, page_num, 'lines', number, text FROM w),
+  sz AS (SELECT doc_id, page_num, count(*) FILTER (WHERE route = 'blocks') AS b, count(*) FILTER (WHERE route = 'lines') AS l, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS turn FROM pg GROUP BY doc_id, page_num),
+  fold AS (SELECT DISTINCT doc_id, 0::BIGINT AS turn, 0::BIGINT AS size, NULL::INT AS page_num, '' AS route FROM sz UNION ALL
+    SELECT f.doc_id, s.turn, CASE WHEN s.b > f.size THEN s.b WHEN s.l > f.size THEN s.l ELSE f.size END, CASE WHEN s.b > f.size OR s.l > f.size THEN s.page_num ELSE f.page_num END,
+      CASE WHEN s.b > f.size THEN 'blocks' WHEN s.l > f.size THEN 'lines' ELSE f.route END FROM fold f JOIN sz s ON s.doc_id = f.doc_id AND s.turn = f.turn + 1),
+  fin AS (SELECT doc_id, max_by(page_num, turn) AS page_num, max_by(route, turn) AS route FROM fold GROUP BY doc_id)
+  SELECT pg.* FROM pg JOIN fin USING (doc_id, page_num, route)""").replace("WITH", "WITH RECURSIVE", 1)

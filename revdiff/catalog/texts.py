@@ -142,6 +142,15 @@ def a17(spark, path):
     return R.best_set(starts.select("doc_id", F.col("page_num").alias("candidate"), "number"), ["doc_id"])
 
 
+@query("a17_best_blocks")
+def a17_blocks(spark, path):
+    block = F.floor(F.col("ord") / 4).cast("int")
+    alone = F.regexp_extract("line", r"^(\d{1,2}) ", 1)
+    d = S.raw_lines(spark, path).withColumns({"block_no": block, "x0": (block * 37 % 3) * 50.0})
+    d = d.withColumn("line", F.when((block % 3 == 0) & (alone != ""), alone).when((F.col("doc_id") % 3 == 0) & (F.col("page_num") == 1) & (alone != ""), F.concat(alone, F.lit(" Экран"))).otherwise(F.col("line")))
+    return R.best_blocks(d, d.select("doc_id", "page_num", "ord", "line"))
+
+
 @query("o02_best_title")
 def o02(spark, path):
     d = S.raw_lines(spark, path).withColumn("line", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Изм Дата "), "line")).otherwise(F.col("line")))
