@@ -55,7 +55,7 @@ SQL["a11_family_notes"] = with_(["meta1", "meta2", "gfx1", "gfx2", "req1"], J5 +
   nt AS (SELECT doc_id, 1 AS family, 0 AS step, CASE fact_type WHEN 'mass_changed' THEN 1 WHEN 'scale_changed' THEN 2 ELSE 3 END AS ord,
       CASE fact_type WHEN 'mass_changed' THEN 'В основной надписи в графе "Масса" изменено значение на ' || new_value || ' кг.' WHEN 'scale_changed' THEN
         'В основной надписи в графе "Масштаб" изменено значение на ' || new_value || '.' ELSE 'В основной надписи изменено наименование на "' || new_value || '".' END AS note FROM mf
-    UNION ALL SELECT doc_id, 2, 0, 4, 'Изменена графика чертежа.' FROM gfx WHERE has_changes AND doc_id % 4 = 0
+    UNION ALL SELECT doc_id, 2, 0, 4, 'Изменена графика чертежа.' FROM gfx WHERE has_changes
     UNION ALL SELECT doc_id, 4, 3, 9, 'изменена нумерация пунктов' FROM meta1 WHERE doc_id NOT IN (SELECT doc_id FROM req1)
     UNION ALL SELECT doc_id, 4, CASE status WHEN 'added' THEN 1 WHEN 'removed' THEN 2 ELSE 3 END, 10 + number,
       CASE status WHEN 'added' THEN 'введен пункт ' WHEN 'removed' THEN 'аннулирован пункт ' ELSE 'изменен пункт ' || number || ' ' END || {about('topic')} FROM s4)
@@ -64,18 +64,20 @@ SQL["a11_family_notes"] = with_(["meta1", "meta2", "gfx1", "gfx2", "req1"], J5 +
 
 NOTES = ('В таблице {n} в графе "Код" изменилось значение для "{k}"', 'Из таблицы {n} аннулированы записи для "{k}".', "Изменена таблица {n}",
          "Изменена таблица", "Изменена графика чертежа.", 'В таблице введены записи для "{k}"', "В таблице {m} изменились строки", "введен пункт о {k}")
-TN = f""", tn AS (SELECT * FROM (SELECT doc_id, ord, (ord + doc_id) % 8 AS w, 1 + doc_id % 3 AS n, 5 + ord % 2 AS m, v1_val AS k,
-  replace(replace(replace([{", ".join(map(q, NOTES))}][(ord + doc_id) % 8 + 1], '{{n}}', CAST(1 + doc_id % 3 AS VARCHAR)), '{{m}}', CAST(5 + ord % 2 AS VARCHAR)), '{{k}}', v1_val) AS note FROM tdiff)
-  WHERE (doc_id % 7 > 1 OR note NOT LIKE '%"%') AND (doc_id % 7 > 0 OR NOT regexp_matches(note, '[0-9]')))"""
-SQL["u03_union_families"] = with_(["tdiff"], TN + """ SELECT doc_id, CASE w WHEN 4 THEN 1 ELSE 2 END AS family, count(*) AS n FROM tn WHERE w IN (4, 7) GROUP BY ALL""")
-SQL["o04_note_order"] = with_(["tdiff"], TN + """, p AS (SELECT doc_id, ord, note, CASE w WHEN 4 THEN 10 WHEN 7 THEN 30 ELSE CASE WHEN contains(note, 'график') THEN 10 ELSE 20 END END AS priority FROM tn)
+TN = f""", t0 AS (SELECT doc_id, ord, (ord + doc_id) % 8 AS w0, 1 + doc_id % 3 AS n, 5 + ord % 2 AS m, v1_val AS k,
+  replace(replace(replace([{", ".join(map(q, NOTES))}][(ord + doc_id) % 8 + 1], '{{n}}', CAST(1 + doc_id % 3 AS VARCHAR)), '{{m}}', CAST(5 + ord % 2 AS VARCHAR)), '{{k}}', v1_val) AS note0 FROM tdiff),
+  t1 AS (SELECT *, CASE WHEN doc_id % 7 <= 1 AND contains(note0, '"') THEN CASE WHEN doc_id % 7 = 0 THEN 'Изменена таблица' ELSE 'Изменена таблица 4' END ELSE note0 END AS note1 FROM t0),
+  t2 AS (SELECT *, CASE WHEN doc_id % 7 = 0 AND regexp_matches(note1, '[0-9]') THEN 'Изменились строки таблицы' ELSE note1 END AS note FROM t1),
+  tn AS (SELECT doc_id, ord, note, n, k, CASE WHEN note = note0 THEN w0 ELSE 8 END AS w, nullif(regexp_extract(note, 'таблиц[аые] (\\d+)', 1), '') AS num FROM t2)"""
+SQL["u03_union_families"] = with_(["tdiff"], TN + """ SELECT doc_id, ord, note, CASE w WHEN 4 THEN 1 WHEN 7 THEN 2 ELSE 3 END AS family FROM tn""")
+SQL["o04_note_order"] = with_(["tdiff"], TN + """, p AS (SELECT doc_id, ord, note, CASE w WHEN 4 THEN 10 WHEN 7 THEN 30 ELSE 20 END AS priority FROM tn)
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority, ord) AS place FROM p""")
 SQL["a12_collapse_table_notes"] = with_(["tdiff"], TN + """,
   dt AS (SELECT doc_id, ord, CASE WHEN w = 5 THEN '1' ELSE CAST(n AS VARCHAR) END AS num, CASE w WHEN 0 THEN 'в графе "Код" изменилось значение для "' || k || '"'
     WHEN 1 THEN 'аннулированы записи для "' || k || '"' ELSE 'введены записи для "' || k || '"' END AS item FROM tn WHERE w IN (0, 1, 5)),
   ds AS (SELECT doc_id, num, min_by(item, ord) AS item, min(ord) AS ord FROM dt GROUP BY doc_id, num, lower(item)),
   nb AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY doc_id, num) AS c, min(ord) OVER (PARTITION BY doc_id, num) AS place FROM ds WINDOW w AS (PARTITION BY doc_id, num ORDER BY ord)),
-  ge AS (SELECT doc_id, ord, CASE w WHEN 2 THEN CAST(n AS VARCHAR) WHEN 6 THEN CAST(m AS VARCHAR) END AS num FROM tn WHERE w IN (2, 3, 6)),
+  ge AS (SELECT doc_id, ord, num FROM tn WHERE w IN (2, 3, 6, 8)),
   br AS (SELECT doc_id, num, min(ord) AS ord FROM ge WHERE num IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ds WHERE ds.doc_id = ge.doc_id AND ds.num = ge.num) GROUP BY doc_id, num)
   SELECT doc_id, place AS ord, 0 AS line_no, CASE WHEN c = 1 THEN 'Изменена таблица ' || num || ' - ' || item || '.' ELSE 'Изменена таблица ' || num || ':' END AS line FROM nb WHERE i = 1
   UNION ALL SELECT doc_id, place, CAST(i AS INT), '- ' || item || CASE WHEN i = c THEN '.' ELSE ';' END FROM nb WHERE c > 1
@@ -108,3 +110,35 @@ SQL["a18_notice_assembly"] = with_(["meta1", "meta2"], J5 + f""", n0 AS (SELECT
     UNION ALL SELECT notice_id, doc_id, 4, 0, 0, CASE WHEN doc_id % 2 = 0 THEN 'Журнал № 1, запись № 2.' ELSE 'Журнал № XX, запись № XX.' END FROM meta1),
   rk AS (SELECT doc_id, {RANK} AS rank FROM meta1)
   SELECT notice_id, CAST(row_number() OVER (PARTITION BY notice_id ORDER BY rank, doc_id, part, o, sub) AS INT) AS line_no, doc_id AS block_id, line FROM ls JOIN rk USING (doc_id)""")
+
+from oracle.tables import SQL as TABLES  # noqa: E402
+
+KIND = "CASE WHEN doc_id % 5 = 0 THEN 'Спецификация' ELSE " + TYPE + " END"
+SQL["change_notice"] = f"""WITH head AS ({with_(["meta2"], "SELECT * FROM meta2")}), a11 AS ({SQL["a11_family_notes"]}), a04 AS ({TABLES["a04_column_facts"]}), a09 AS ({SQL["a09_section_rollup"]}),
+  a10 AS ({SQL["a10_element_rollup"]}), act AS ({HEADERS["u02_action_text"]}),
+  doc AS (SELECT h.doc_id, notice_id, CASE WHEN h.doc_id % 5 = 0 THEN regexp_extract(decimal_number, '^[0-9]+') || ' СП' ELSE decimal_number END AS number,
+    CASE WHEN h.doc_id % 5 = 0 THEN 'bom' WHEN contains(decimal_number, 'ПЭ4') THEN 'elements' WHEN contains(decimal_number, ' Э4') THEN 'wiring' ELSE 'drawing' END AS route,
+    CASE WHEN h.doc_id % 5 = 0 THEN 1 ELSE {RANK} END AS rank, coalesce(action, 'Заменить') AS action FROM head h LEFT JOIN act ON act.doc_id = h.doc_id),
+  told AS (SELECT a11.*, route FROM a11 JOIN doc USING (doc_id)),
+  tf AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY table_key, "column", group_status) AS n, note FROM a04 JOIN doc USING (doc_id) WHERE route IN ('drawing', 'wiring')),
+  tb AS (SELECT doc_id, n, regexp_extract(note, '^(?:В таблице|Из таблицы) (\\d+) ', 1) AS num, rtrim(regexp_extract(note, '^(?:В таблице|Из таблицы) \\d+ (.+)$', 1), ' .;') AS body FROM tf),
+  td AS (SELECT doc_id, num, min_by(body, n) AS body, min(n) AS n FROM tb GROUP BY doc_id, num, lower(body)),
+  tg AS (SELECT *, row_number() OVER (PARTITION BY doc_id, num ORDER BY n) AS i, count(*) OVER (PARTITION BY doc_id, num) AS c, min(n) OVER (PARTITION BY doc_id, num) AS place FROM td),
+  req AS (SELECT doc_id, note, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN route = 'wiring' THEN 0 ELSE step END, ord) AS i, count(*) OVER (PARTITION BY doc_id) AS c
+    FROM told WHERE family = 4 AND route IN ('drawing', 'wiring')),
+  l0 AS (SELECT doc_id, CASE route WHEN 'wiring' THEN 5 WHEN 'drawing' THEN 1 ELSE 9 END AS family, ord AS place, '' AS label, 0 AS line_no, note AS line FROM told WHERE family = 1
+      AND CASE route WHEN 'drawing' THEN true WHEN 'wiring' THEN NOT contains(note, '"Масса"') ELSE contains(note, 'изменено наименование') END
+    UNION ALL SELECT doc_id, 2, 0, '', 0, CASE WHEN route = 'wiring' THEN 'Изменена графика схемы.' ELSE note END FROM told WHERE family = 2 AND route IN ('drawing', 'wiring')
+    UNION ALL SELECT doc_id, 3, place, '', 0, CASE WHEN c = 1 THEN 'Изменена таблица ' || num || ' - ' || body || '.' ELSE 'Изменена таблица ' || num || ':' END FROM tg WHERE i = 1
+    UNION ALL SELECT doc_id, 3, place, '', i, '- ' || body || CASE WHEN i = c THEN '.' ELSE ';' END FROM tg WHERE c > 1
+    UNION ALL SELECT DISTINCT doc_id, 4, 0, '', 0, 'Изменены ТТ:' FROM req UNION ALL SELECT doc_id, 4, 0, '', i, '- ' || note || CASE WHEN i = c THEN '.' ELSE ';' END FROM req
+    UNION ALL SELECT doc_id, kind, 0, lower(section), line_no, line FROM a09 JOIN doc USING (doc_id) WHERE route = 'bom'
+    UNION ALL SELECT doc_id, family, place, '', line_no, line FROM a10 JOIN doc USING (doc_id) WHERE route = 'elements'),
+  l1 AS (SELECT * FROM l0 UNION ALL SELECT doc_id, 1, 0, '', 0, 'Изменения требуют уточнения.' FROM doc WHERE doc_id NOT IN (SELECT doc_id FROM l0)),
+  pr AS (SELECT doc_id, family, place, label, min(CASE WHEN contains(lower(line), 'график') THEN 10 WHEN contains(lower(line), 'таблиц') THEN 20 WHEN contains(lower(line), 'пункт') OR starts_with(lower(line), 'изменены тт') THEN 30
+    WHEN contains(lower(line), 'основной надписи') THEN 40 ELSE 90 END) AS p FROM l1 GROUP BY ALL),
+  nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, family, place, label) AS o FROM pr),
+  ls AS (SELECT doc_id, 0 AS part, 0 AS o, 0 AS sub, number AS line FROM doc UNION ALL SELECT doc_id, 1, 0, 0, action FROM doc UNION ALL SELECT doc_id, 2, 0, 0, 'Примечания:' FROM doc
+    UNION ALL SELECT doc_id, 3, o, line_no, CASE WHEN line_no = 0 THEN o || ' ' || line ELSE line END FROM l1 JOIN nu USING (doc_id, family, place, label)
+    UNION ALL SELECT doc_id, 4, 0, 0, 'Журнал № XX, запись № XX.' FROM doc)
+  SELECT notice_id, CAST(row_number() OVER (PARTITION BY notice_id ORDER BY rank, doc_id, part, o, sub) AS INT) AS line_no, doc_id AS block_id, line FROM ls JOIN doc USING (doc_id)"""

@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 from revdiff import rules
 from revdiff import snapshots as S
 from revdiff.catalog.base import query
-from revdiff.catalog.headers import a13
+from revdiff.catalog.headers import a13, u02
 from revdiff.catalog.items import KEYS, item_diff
+from revdiff.catalog.tables import a04
 from revdiff.catalog.texts import TOPICS, simple_facts
 from revdiff.functions import fields as X
 from revdiff.functions import text as T
 from revdiff.operators import diff, notes as N
+from revdiff.operators import notice as V
 from revdiff.operators.scan import number_rows
 from revdiff.sources import sinks
 from revdiff.staging import stage
@@ -53,7 +55,7 @@ def mixed_facts(spark, path):
     head = diff.metadata_facts(S.headers(spark, path, 1), S.headers(spark, path, 2)).select(
         "doc_id", "fact_type", F.lit("").alias("description"), "new_value", none.alias("number_old"), none.alias("number_new"),
         F.when(F.col("fact_type") == "mass_changed", 1).when(F.col("fact_type") == "scale_changed", 2).otherwise(3).alias("ord"))
-    drawn = a13(spark, path).filter("has_changes and doc_id % 4 = 0").select(
+    drawn = a13(spark, path).filter("has_changes").select(
         "doc_id", F.lit("graphics_changed").alias("fact_type"), F.lit("").alias("description"), F.col("change_percentage").cast("string").alias("new_value"),
         none.alias("number_old"), none.alias("number_new"), F.lit(4).alias("ord"))
     items = simple_facts(spark, path).select("doc_id", "fact_type", "description", "new_value", "number_old", "number_new",
@@ -79,8 +81,11 @@ def table_notes(spark, path):
     text = F.element_at(F.array(*map(F.lit, TABLE_NOTES)), ((F.col("ord") + F.col("doc_id")) % 8 + 1).cast("int"))
     for mark, value in (("{n}", (1 + F.col("doc_id") % 3).cast("string")), ("{m}", (5 + F.col("ord") % 2).cast("string")), ("{k}", F.col("v1_val"))):
         text = F.replace(text, F.lit(mark), value)
-    # some documents speak of tables without details only
-    return d.select("doc_id", "ord", text.alias("note")).filter("doc_id % 7 > 1 or note not like '%\"%'").filter("doc_id % 7 > 0 or note not rlike '[0-9]'")
+    # some documents speak of tables without details only, some of tables without numbers
+    k = F.col("doc_id") % 7
+    text = F.when((k <= 1) & F.contains(text, F.lit('"')), F.when(k == 0, F.lit("Изменена таблица")).otherwise(F.lit("Изменена таблица 4"))).otherwise(text)
+    text = F.when((k == 0) & text.rlike("[0-9]"), F.lit("Изменились строки таблицы")).otherwise(text)
+    return d.select("doc_id", "ord", text.alias("note"))
 
 
 @query("a12_collapse_table_notes")
@@ -91,8 +96,8 @@ def a12(spark, path):
 @query("u03_union_families")
 def u03(spark, path):
     d = table_notes(spark, path)
-    f = N.union_families([d.filter("note like '%график%'"), d.filter("note like '%пункт%'")])
-    return f.groupBy("doc_id", "family").agg(F.count("*").alias("n"))
+    drawn, items = F.contains("note", F.lit("график")), F.contains("note", F.lit("пункт"))
+    return N.union_families([d.filter(drawn), d.filter(items), d.filter(~drawn & ~items)])
 
 
 @query("o04_note_order")
@@ -159,6 +164,31 @@ def a18(spark, path):
     return N.assemble(blocks(spark, path), block_notes(spark, path))
 
 
+def notice_blocks(spark, path):
+    """Blocks of both versions' headers; every fifth document is a bill of materials."""
+    fields = (["decimal_number", "title", "scale"], ["mass_kg"])
+    h = diff.effective_metadata(S.headers(spark, path, 1), S.headers(spark, path, 2), "doc_id", *fields).join(S.headers(spark, path, 2).select("doc_id", "notice_id"), "doc_id")
+    number = F.when(F.col("doc_id") % 5 == 0, F.concat(F.regexp_extract("decimal_number", "^[0-9]+", 0), F.lit(" СП"))).otherwise(F.col("decimal_number"))
+    h = h.withColumn("decimal_number", number).join(u02(spark, path).select("doc_id", "action"), "doc_id", "left")
+    return h.select("notice_id", F.col("doc_id").alias("block_id"), X.type_by_number(F.col("decimal_number"), F.lit("")).alias("doc_type"), "decimal_number",
+                    F.coalesce("action", F.lit(rules.ACTION_REPLACE)).alias("action"), F.lit("").alias("journal_entry"))
+
+
+@query("change_notice")
+def change_notice(spark, path):
+    blocks = stage(notice_blocks(spark, path))
+    none = F.lit(None).cast("int")
+    facts = mixed_facts(spark, path).filter("fact_type <> 'graphics_changed'")
+    drawn = V.graphics_facts(a13(spark, path), blocks.select(F.col("block_id").alias("doc_id"), "doc_type"))
+    facts = facts.unionByName(drawn.select("doc_id", "fact_type", "description", "new_value", none.alias("number_old"), none.alias("number_new"), F.lit(4).alias("ord")))
+    order = ["table_key", "column", "group_status"]
+    tables = number_rows(stage(a04(spark, path).select("doc_id", *order, F.col("note").alias("description"))), ["doc_id"], order, F.col("table_key"), "n")
+    facts = facts.unionByName(tables.select("doc_id", F.lit("table_column_changed").alias("fact_type"), "description", F.lit(None).cast("string").alias("new_value"),
+                                            none.alias("number_old"), none.alias("number_new"), (F.lit(1000000) + F.col("n")).cast("int").alias("ord")))
+    topic = T.topic_of(F.col("description"), F.col("new_value"), table=TOPICS)
+    return V.change_notice(blocks, stage(facts), stage(item_facts(spark, path)), stage(element_facts(spark, path)), topic)
+
+
 @query("s03_document_json")
 def s03(spark, path):
     return sinks.document_json(S.items(spark, path, 1).select("doc_id", "ord", "section", "position", "name", "quantity"))
