@@ -142,3 +142,18 @@ SQL["change_notice"] = f"""WITH head AS ({with_(["meta2"], "SELECT * FROM meta2"
     UNION ALL SELECT doc_id, 3, o, line_no, CASE WHEN line_no = 0 THEN o || ' ' || line ELSE line END FROM l1 JOIN nu USING (doc_id, family, place, label)
     UNION ALL SELECT doc_id, 4, 0, 0, 'Журнал № XX, запись № XX.' FROM doc)
   SELECT notice_id, CAST(row_number() OVER (PARTITION BY notice_id ORDER BY rank, doc_id, part, o, sub) AS INT) AS line_no, doc_id AS block_id, line FROM ls JOIN doc USING (doc_id)"""
+
+NAMES = ["metadata", "tech_requirements", "specification_items", "tables", "graphics"]
+OPEN = ", ".join("(" + str(i) + ", " + q(("],'" if i else ",'").replace("'", '"') + n + '":[') + ")" for i, n in enumerate(NAMES))
+SQL["s03_full_diff_json"] = f"""WITH mf AS ({HEADERS["j05_metadata_facts"]}), rq AS ({with_(["req1"], "SELECT * FROM req1")}), it AS ({SQL["a08_item_facts"]}),
+  td AS ({with_(["tdiff"], "SELECT * FROM tdiff")}), gx AS ({HEADERS["a13_document_scores"]}),
+  e AS (SELECT doc_id, 0 AS no, CASE fact_type WHEN 'mass_changed' THEN 1 WHEN 'scale_changed' THEN 2 ELSE 3 END AS ord,
+      to_json({{'kind': replace(fact_type, '_changed', ''), 'new_value': new_value}})::VARCHAR AS element FROM mf
+    UNION ALL SELECT doc_id, 1, number, to_json({{'fact_type': 'tech_requirement_' || ['added', 'removed', 'modified'][number % 3 + 1], 'number': number}})::VARCHAR FROM rq
+    UNION ALL SELECT doc_id, 2, position, to_json({{'fact_type': fact_type, 'position': position, 'section': section, 'description': description}})::VARCHAR FROM it WHERE field = ''
+    UNION ALL SELECT doc_id, 3, ord, to_json({{'table_name': table_name, 'col_name': col_name, 'row_key': row_key, 'status': status}})::VARCHAR FROM td
+    UNION ALL SELECT doc_id, 4, 1, to_json({{'has_changes': has_changes, 'change_percentage': change_percentage}})::VARCHAR FROM gx WHERE has_changes),
+  x AS (SELECT doc_id, no, 1 AS k, ord, element || CASE WHEN lead(ord) OVER (PARTITION BY doc_id, no ORDER BY ord) IS NULL THEN '' ELSE ',' END AS line FROM e
+    UNION ALL SELECT doc_id, no, 0, 0, CASE WHEN no = 0 THEN '{{"doc_id":' || doc_id ELSE '' END || part FROM (SELECT DISTINCT doc_id FROM e), (VALUES {OPEN}) AS o(no, part)
+    UNION ALL SELECT DISTINCT doc_id, 5, 0, 0, ']}}' FROM e)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no, k, ord) AS n, line FROM x"""

@@ -144,3 +144,11 @@ SQL["j13_code_letter"] = with_(["tok1"], f""", t AS (SELECT *, CAST(y0 < 200 AS
     UNION ALL SELECT doc_id, 3, [part, page_num, i, 0, 0, i], m FROM (SELECT *, replace(upper(regexp_extract(tok,
       '(лит(ера)?|лит\\.)\\s*[:.]?\\s*([A-ZА-Я]{{1,3}})($|[^A-Za-zА-Яа-яЁё0-9_])', 3, 'i')), '.', '') AS m FROM t) WHERE {LETTER.replace('X', 'm')})
   SELECT doc_id, letter, tier FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tier, o) = 1""")
+
+
+SQL["j11_near_duplicates_exact"] = with_(["boxes"], f""", o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY ord) AS k FROM boxes),
+  p AS (SELECT a.doc_id, a.page_num, a.ord, list(e.ord) AS earlier FROM boxes a JOIN boxes e ON e.doc_id = a.doc_id AND e.page_num = a.page_num AND e.ord < a.ord AND {iou(A, E)} > {d(0.85)} GROUP BY ALL),
+  q AS (SELECT o.*, coalesce(earlier, []::INT[]) AS earlier FROM o LEFT JOIN p USING (doc_id, page_num, ord)),
+  w AS (SELECT DISTINCT doc_id, page_num, 0::BIGINT AS k, []::INT[] AS kept FROM boxes UNION ALL
+    SELECT w.doc_id, w.page_num, q.k, CASE WHEN list_has_any(q.earlier, w.kept) THEN w.kept ELSE list_append(w.kept, q.ord::INT) END FROM w JOIN q ON q.doc_id = w.doc_id AND q.page_num = w.page_num AND q.k = w.k + 1)
+  SELECT doc_id, page_num, unnest(kept) AS ord FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, page_num ORDER BY k DESC) = 1)""").replace("WITH", "WITH RECURSIVE", 1)

@@ -192,3 +192,15 @@ def change_notice(spark, path):
 @query("s03_document_json")
 def s03(spark, path):
     return sinks.document_json(S.items(spark, path, 1).select("doc_id", "ord", "section", "position", "name", "quantity"))
+
+
+@query("s03_full_diff_json")
+def s03_full(spark, path):
+    kind = F.regexp_replace("fact_type", "_changed$", "")
+    head = diff.metadata_facts(S.headers(spark, path, 1), S.headers(spark, path, 2)).select(
+        "doc_id", F.when(kind == "mass", 1).when(kind == "scale", 2).otherwise(3).alias("ord"), kind.alias("kind"), "new_value")
+    items = simple_facts(spark, path).select("doc_id", F.coalesce("number_new", "number_old").alias("ord"), "fact_type", F.coalesce("number_new", "number_old").alias("number"))
+    moves = item_facts(spark, path).filter("field = ''").select("doc_id", F.col("position").alias("ord"), "fact_type", "position", "section", "description")
+    rows = S.table_differences(spark, path).select("doc_id", "ord", "table_name", "col_name", "row_key", "status")
+    drawn = a13(spark, path).filter("has_changes").select("doc_id", F.lit(1).alias("ord"), "has_changes", "change_percentage")
+    return sinks.json_lines({"metadata": head, "tech_requirements": items, "specification_items": moves, "tables": rows, "graphics": drawn})

@@ -6,7 +6,9 @@ Words carry doc_id, page_num, x0, y0, x1, y1, text and an order column without t
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,15 +111,37 @@ def looks_like_bom_table(whole: Column) -> Column:
 
 # ---- overlap joins (J10, J11) ----------------------------------------------------------------
 
-def drop_overlapping(boxes: DataFrame, excluded: DataFrame, iou_limit: float | None = 0.2, share_limit: float = 0.2) -> DataFrame:
-    """Boxes of a page that overlap no excluded rectangle too much."""
-    a, e = boxes.alias("a"), excluded.alias("e")
-    pa, pe = box("a."), box("e.")
-    hit = overlap_share(pa, pe) > share_limit
+def drop_overlapping(boxes: DataFrame, excluded: DataFrame, iou_limit: float | None = 0.2, share_limit: float = 0.2, key: str = "ord") -> DataFrame:
+    """Boxes of a page that overlap no excluded rectangle too much; `key` tells a page's boxes apart.
+
+    Both sides go into strips of y as high as the higher of the two, one or two for each height that the other side has, so a page with many boxes and many
+    rectangles compares those that may meet. Heights fall into classes by powers of two.
+    """
+    page = ["doc_id", "page_num"]
+
+    def height_class(prefix: str = "") -> Column:
+        return F.ceil(F.log2(F.greatest(F.col(f"{prefix}y1") - F.col(f"{prefix}y0"), F.lit(1.0)))).cast("int")
+
+    def classes(df: DataFrame) -> Column:
+        # a few tens at most: doubles have no more powers of two
+        found = sorted(r[0] for r in df.select(height_class().alias("c")).distinct().collect() if r[0] is not None)
+        return F.array(*map(F.lit, found)) if found else F.array().cast("array<int>")
+
+    def strips(own: Column, others: Column, with_equal: bool) -> Column:
+        levels = F.array_union(F.array(own), F.filter(others, lambda c: (c >= own) if with_equal else (c > own)))
+        return F.explode(F.flatten(F.transform(levels, lambda c: F.transform(
+            F.sequence(F.floor(F.col("y0") / F.pow(F.lit(2.0), c)), F.floor(F.col("y1") / F.pow(F.lit(2.0), c))), lambda k: F.struct(c.alias("c"), k.alias("k"))))))
+
+    own_classes, other_classes = classes(boxes), classes(excluded)
+    edges = ["x0", "y0", "x1", "y1"]
+    a = boxes.select(*page, key, F.struct(*edges).alias("a"), strips(height_class(), other_classes, True).alias("s"))
+    e = excluded.select(*page, F.struct(*edges).alias("e"), strips(height_class(), own_classes, False).alias("s"))
+    pa_, pe = box("a."), box("e.")
+    hit = overlap_share(pa_, pe) > share_limit
     if iou_limit is not None:
-        hit = hit | (iou(pa, pe) > iou_limit)
-    on = (F.col("a.doc_id") == F.col("e.doc_id")) & (F.col("a.page_num") == F.col("e.page_num")) & hit
-    return a.join(e, on, "left_anti")
+        hit = hit | (iou(pa_, pe) > iou_limit)
+    gone = a.join(e, [*page, "s"]).filter(hit).select(*page, key).distinct()
+    return boxes.join(gone, [*page, key], "left_anti")
 
 
 def first_copies(boxes: DataFrame) -> DataFrame:
@@ -176,23 +200,27 @@ def drop_near_duplicates(boxes: DataFrame, limit: float = 0.85) -> DataFrame:
 def keep_first_of_duplicates(boxes: DataFrame, limit: float = 0.85) -> DataFrame:
     """J11 as defined: a box goes if an earlier *kept* box of its page covers it.
 
-    Rounds settle all boxes whose earlier neighbours are settled; each round halves chains of
-    near-duplicates at worst one link at a time, and works on unsettled pairs only.
+    What is kept depends on what was kept before, so near pairs are read once in the order of a page's boxes. One pass, however long the chains;
+    it holds the numbers of the boxes that a page has lost so far.
     """
     keys = ["doc_id", "page_num", "ord"]
     boxes = stage(first_copies(boxes))
-    pairs = stage(near_pairs(boxes, limit))
-    dropped = None
-    while not pairs.isEmpty():
-        # an earlier box that is nobody's later one is certainly kept, and drops its partners
-        open_ones = pairs.select(*keys).distinct()
-        earlier = [F.col("p.doc_id") == F.col("o.doc_id"), F.col("p.page_num") == F.col("o.page_num"), F.col("p.e_ord") == F.col("o.ord")]
-        sure = pairs.alias("p").join(open_ones.alias("o"), earlier, "left_anti").select(*keys).distinct()
-        sure = stage(sure)
-        dropped = sure if dropped is None else dropped.unionByName(sure)
-        gone = sure.select("doc_id", "page_num", F.col("ord").alias("e_ord"))
-        pairs = stage(pairs.join(sure, keys, "left_anti").join(gone, ["doc_id", "page_num", "e_ord"], "left_anti").select(*keys, "e_ord"))
-    return boxes if dropped is None else boxes.join(dropped, keys, "left_anti")
+    pairs = near_pairs(boxes, limit).repartition("doc_id", "page_num").sortWithinPartitions(*keys, "e_ord")
+    schema = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in keys)
+
+    def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, lost = None, set()
+        for b in batches:
+            gone = []
+            for i, (doc, number, later, earlier) in enumerate(zip(*(b.column(c).to_pylist() for c in (*keys, "e_ord")), strict=True)):
+                if (doc, number) != page:
+                    page, lost = (doc, number), set()
+                if earlier not in lost and later not in lost:
+                    lost.add(later)
+                    gone.append(i)
+            yield b.select(keys).take(pa.array(gone, pa.int64()))
+
+    return boxes.join(pairs.mapInArrow(lose, schema), keys, "left_anti")
 
 
 # ---- band and nearest-neighbour joins (J12, J13) ---------------------------------------------
