@@ -7,7 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from revdiff import rules
 
@@ -202,38 +202,66 @@ def about(c: Column) -> Column:
         F.concat(F.when(first.isin(*rules.VOWELS), F.lit("об ")).otherwise(F.lit("о ")), c))
 
 
-# ---- Python-side helpers (F1, F17) ----------------------------------------------------------
+# ---- wrong encodings (F1) -------------------------------------------------------------------
 
-def _repair(text: str | None) -> str | None:
-    """Reading of the text, among wrong-encoding and reversed ones, that looks most Cyrillic."""
-    import re
+def _page(name: str) -> dict[str, int]:
+    """Characters of a one-byte code page and their bytes."""
+    return {c: b for b in range(256) if (c := bytes([b]).decode(name, "ignore"))}
 
-    if not text:
-        return text
-    base = text.translate({0xFFF3: "-", 0x2013: "-", 0x2014: "-", 0xAB: '"', 0xBB: '"', 0xA0: " ", 0x200B: None})
-    readings = []
-    for source in (base, base[::-1]):
-        readings.append(source)
-        for wrong in ("latin1", "cp1252"):
-            for right in ("utf-8", "cp1251"):
-                other = source.encode(wrong, "ignore").decode(right, "ignore")
-                if other:
-                    readings.append(other)
-    readings += [r[::-1] for r in readings]
 
-    def rank(reading: str):
-        low = reading.lower()
-        return (sum(h in low for h in rules.ENCODING_HINTS),
-                len(re.findall("[А-Яа-яЁё]", reading)), len(re.findall("[A-Za-zА-Яа-яЁё0-9]", reading)))
+def _as_latin(c: Column, page: dict[str, int]) -> Column:
+    """The bytes of a text in a code page, each as the character of that number; what the page lacks is left out."""
+    moved = {ch: chr(b) for ch, b in page.items() if ord(ch) != b}
+    known = F.regexp_replace(c, "[^" + "".join(f"\\x{{{ord(ch):X}}}" for ch in page) + "]", "")
+    return F.translate(known, "".join(moved), "".join(moved.values())) if moved else known
 
-    best = max(readings, key=rank)
-    return re.sub(r" ?\n ?", "\n", re.sub(r"[ \t]+", " ", best)).strip()
 
+def _cyrillic(latin: Column) -> Column:
+    """Bytes, given as characters, in the Cyrillic one-byte page."""
+    upper = {chr(b): bytes([b]).decode("cp1251", "ignore") for b in range(128, 256)}
+    gone = "".join(k for k, v in upper.items() if not v)
+    return F.translate(latin, "".join(k for k, v in upper.items() if v) + gone, "".join(upper.values()))
 
-@F.pandas_udf(StringType())
-def repair_encoding(texts: pd.Series) -> pd.Series:
-    return texts.map(_repair)
 
+def _unicode(latin: Column) -> Column:
+    """Bytes, given as characters, as UTF-8; bytes that are none are left out."""
+    return F.translate(F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string")), "\uFFFD", "")
+
+
+def repair_encoding(c: Column | str) -> Column:
+    """The reading of a text that looks most Cyrillic: as it is, from a wrong code page, or backwards.
+
+    A code page is a map of characters, so it does not matter whether a text is turned round before or after; UTF-8 takes several bytes for a character, and
+    there both orders are tried. Readings are ranked by the hint words that they hold, then by Cyrillic characters, then by letters and digits; the
+    first of equals is taken, which for a text of ASCII characters is the text itself.
+    """
+    text = F.translate(typographic(F.col(c) if isinstance(c, str) else c), "\u00A0", " ")
+
+    def readings(t: Column) -> list[Column]:
+        back = F.reverse(t)
+        out = [t]
+        mapped, decoded = [], []
+        for name in ("latin1", "cp1252"):
+            page = _page(name)
+            out += [_unicode(_as_latin(t, page)), _cyrillic(_as_latin(t, page))]
+            mapped.append(out[-1])
+            decoded.append(_unicode(_as_latin(back, page)))
+        return [*out, back, *decoded, *map(F.reverse, mapped), *[F.reverse(out[1]), F.reverse(out[3])], *map(F.reverse, decoded)]
+
+    def ranked(t: Column) -> Column:
+        def rank(reading: Column, place: Column) -> Column:
+            low = F.lower(reading)
+            hints = F.size(F.filter(F.array(*map(F.lit, rules.ENCODING_HINTS)), lambda h: F.contains(low, h)))
+            return F.struct(hints.alias("hints"), F.regexp_count(reading, F.lit("[А-Яа-яЁё]")).alias("cyrillic"),
+                            F.regexp_count(reading, F.lit("[A-Za-zА-Яа-яЁё0-9]")).alias("plain"), (-place).alias("place"), reading.alias("reading"))
+
+        return F.array_max(F.transform(F.array(*readings(t)), rank))["reading"]
+
+    best = F.when(text.rlike(r"[^\x00-\x7F]"), let(text, ranked)).otherwise(text)
+    return strip(F.regexp_replace(F.regexp_replace(best, "[ \t]+", " "), " ?\n ?", "\n"))
+
+
+# ---- Python-side helper (F17) ---------------------------------------------------------------
 
 def _ratios(old: pd.Series, new: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity; order matters, so (old, new). Null where a side is null."""

@@ -148,3 +148,46 @@ def test_counted_cancellation(spark):
     d = spark.createDataFrame(rows, "ord int, status string, subject string").withColumns({"doc_id": F.lit(1), "table_key": F.lit("t")})
     left = table_facts.cancel_both_sides(d, ["ord"], by_position("ord", 2)).collect()
     assert sorted(r["ord"] for r in left) == [1, 3, 4]
+
+
+def test_encoding_repair_takes_the_best_of_all_readings(spark):
+    """Against every path through code pages and directions, written as a product."""
+    import itertools
+    import random
+    import re
+
+    from revdiff import rules
+
+    def plain(text):
+        base = text.translate(str.maketrans({"￳": "-", "–": "-", "—": "-", "«": '"', "»": '"', "\xa0": " ", "​": None}))
+        best = (tuple([-1] * 3), base)
+        for before, page, after, last in itertools.product((1, -1), (None, "latin1", "cp1252"), ("utf-8", "cp1251"), (1, -1)):
+            reading = base[::before]
+            if page:
+                reading = reading.encode(page, "ignore").decode(after, "ignore")
+            reading = reading[::last]
+            points = (sum(h in reading.lower() for h in rules.ENCODING_HINTS), len(re.findall("[А-Яа-яЁё]", reading)), len(re.findall("[A-Za-zА-Яа-яЁё0-9]", reading)))
+            best = max(best, (points, reading), key=lambda b: b[0])
+        return best[0]
+
+    rng = random.Random(4)
+    good = ["Формат листа", "масса и дата", "лист 3", "Привет", "кабель\n жгут", "abc", "Größe", "1,5 кг"]
+    texts = []
+    for _ in range(150):
+        t = rng.choice(good) + rng.choice(["", " – ", "«x»", "​", "\t\t"]) + rng.choice(good)
+        wrong = rng.choice([None, ("utf-8", "latin1"), ("cp1251", "latin1"), ("utf-8", "cp1252"), ("cp1251", "cp1252")])
+        t = t.encode(wrong[0], "ignore").decode(wrong[1], "ignore") if wrong else t
+        texts.append(t[::rng.choice([1, 1, -1])])
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None, "plain ascii  text \n x"])], "i int, t string").select("i", "t", T.repair_encoding("t").alias("r")).collect()
+
+    def points(reading):
+        return (sum(h in reading.lower() for h in rules.ENCODING_HINTS), len(re.findall("[А-Яа-яЁё]", reading)), len(re.findall("[A-Za-zА-Яа-яЁё0-9]", reading)))
+
+    for r in rows:
+        if r.t is None:
+            assert r.r is None
+        elif r.t.isascii():
+            assert r.r == re.sub(" ?\n ?", "\n", re.sub("[ \t]+", " ", r.t)).strip()
+        else:
+            assert points(r.r) == plain(r.t), (r.t, r.r)
+    assert [r.r for r in rows][-1] == "plain ascii text\nx"
