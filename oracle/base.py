@@ -125,8 +125,8 @@ CTES = {
     "raw": (("dlines",), """SELECT doc_id, number AS ord, CAST(1 + number // 20 AS INT) AS page_num,
       CASE WHEN (doc_id + number) % 10 = 0 THEN 'Section ' || number
            WHEN (doc_id + number) % 4 = 0 THEN number || ' ' || text ELSE text END AS line FROM dlines"""),
-    "rawsplit": (("dlines",), """SELECT doc_id, CAST(2 * number AS INT) AS ord, text AS line FROM dlines
-      WHERE (doc_id + number) % 10 <> 0 UNION ALL
+    "rawsplit": (("dlines",), """SELECT doc_id, CAST(2 * number AS INT) AS ord, CASE WHEN (doc_id + number) % 10 = 0 THEN 'Дата' ELSE text END AS line FROM dlines
+      UNION ALL
       SELECT doc_id, CAST(2 * number + 1 AS INT), CAST(number % 90 AS VARCHAR) FROM dlines
       WHERE (doc_id + number) % 10 <> 0 AND (doc_id + number) % 4 = 0"""),
     "words": ((), """SELECT doc_id, CAST(i AS INT) AS i, CAST(1 + i // 200 AS INT) AS page_num, CAST(line AS INT) AS line,

@@ -26,15 +26,15 @@ def diff_sql(attrs, fields, keys="doc_id, position", a="u1", b="u2", where="stat
 FIELDS = ["designation", "name", "quantity", "note"]
 
 SQL["s01_version_pairs"] = with_(["part1", "part2"], """
-  , snaps AS (SELECT * FROM (SELECT key % 50 AS doc_id, 1 AS version FROM part1 UNION ALL SELECT key % 50, 2 FROM part2
-      UNION ALL SELECT key % 50, 3 FROM part2 WHERE key % 7 = 0) WHERE version <= 1 + doc_id % 3),
+  , snaps AS (SELECT * FROM (SELECT key % 50 AS doc_id, 1 AS version, key, name, size FROM part1 UNION ALL SELECT key % 50, 2, key, name, size FROM part2
+      UNION ALL SELECT key % 50, 3, key, name, size FROM part2 WHERE key % 7 = 0) WHERE version <= 1 + doc_id % 3),
   v AS (SELECT doc_id, version, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) AS rn
         FROM (SELECT DISTINCT doc_id, version FROM snaps))
-  SELECT doc_id, version, CASE rn WHEN 1 THEN 'new' ELSE 'old' END AS side, count(*) AS n_rows
-  FROM snaps JOIN v USING (doc_id, version) WHERE rn <= 2 GROUP BY ALL""")
+  SELECT doc_id, version, CASE rn WHEN 1 THEN 'new' ELSE 'old' END AS side, key, name, size
+  FROM snaps JOIN v USING (doc_id, version) WHERE rn <= 2""")
 
-SQL["p01_drop_unchanged"] = with_(["part1", "part2"], "SELECT status, count(*) AS n FROM ("
-                                  + diff_sql([], ["name", "size"], "key", "part1", "part2") + ") GROUP BY status")
+SQL["p01_drop_unchanged"] = with_(["part1", "part2"], "SELECT key, status, changes FROM ("
+                                  + diff_sql([], ["name", "size"], "key", "part1", "part2") + ")")
 SQL["j01_keyed_diff"] = with_(["u1", "u2"], diff_sql(["section", "designation", "name"], FIELDS))
 SQL["j02_element_diff"] = with_(["u1", "u2"], diff_sql(["name"], FIELDS, where="true"))
 SQL["u01_key_union"] = with_(["bom1", "bom2"], "SELECT doc_id, position FROM bom1 UNION SELECT doc_id, position FROM bom2")

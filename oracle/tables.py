@@ -239,3 +239,15 @@ SQL["j03_table_diff"] = with_(["tbl1", "tbl2", "dtab"], f""", v1 AS (SELECT p.*,
   WHERE c1 IS NULL OR c2 IS NULL OR {ck('v1_val')} <> {ck('v2_val')}""",
                                [*PAIRED, ("d1", data(1)), ("f1", filled(1)), ("d2", data(2)), ("f2", filled(2)), ("h1", heads(1)), ("h2", heads(2)), ("n1", beside(1)), ("n2", beside(2))]
                                ).replace("WITH", "WITH RECURSIVE", 1)
+
+
+SQL["a03_merged_rows"] = with_(["dtab", "tbl1"], f""", m AS (SELECT *, nullif(regexp_extract(name, '\\d+'), '') AS num,
+    row_number() OVER (PARTITION BY doc_id, nullif(regexp_extract(name, '\\d+'), '') ORDER BY page_num, y0, x0, table_id) AS rk FROM dtab),
+  h AS (SELECT doc_id, num, min_by(table_id, rk) AS table_id, min(page_num) AS page_num, min(x0) AS x0, min_by(y0, page_num) AS y0, max(x1) AS x1,
+    min_by(y1, page_num) AS y1, coalesce(min_by(name, rk) FILTER (WHERE NOT starts_with(name, 'Прод')), 'Таблица ' || num) AS name,
+    max(len(names)) AS width, count(*) AS pieces FROM m WHERE num IS NOT NULL GROUP BY doc_id, num
+    UNION ALL SELECT doc_id, num, table_id, page_num, x0, y0, x1, y1, name, len(names), 1 FROM m WHERE num IS NULL),
+  r AS (SELECT coalesce(b.table_id, m.table_id) AS tid, t.row_index, t.cells, m.num, m.rk FROM tbl1 t JOIN m ON t.table_id = m.table_id
+    LEFT JOIN (SELECT doc_id, num, table_id FROM m WHERE rk = 1 AND num IS NOT NULL) b ON b.doc_id = m.doc_id AND b.num = m.num
+    WHERE m.num IS NULL OR m.rk = 1 OR (t.row_index > 1 AND t.cells <> {COLS}))
+  SELECT tid AS table_id, CAST(CASE WHEN num IS NULL THEN row_index ELSE row_number() OVER (PARTITION BY tid ORDER BY rk, row_index) END AS INT) AS row_index, array_to_string(cells, '|') AS cells FROM r""")

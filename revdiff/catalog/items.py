@@ -31,13 +31,13 @@ def s01(spark, path):
     for v, frame in ((1, S.parts(spark, path, 1)), (2, S.parts(spark, path, 2)), (3, S.parts(spark, path, 2).filter("key % 7 = 0"))):
         frame = frame.withColumn("doc_id", F.col("key") % 50).filter(F.lit(v) <= 1 + F.col("doc_id") % 3).withColumn("version", F.lit(v))
         snaps = frame if snaps is None else snaps.unionByName(frame)
-    return versions.version_pairs(snaps).groupBy("doc_id", "version", "side").agg(F.count("*").alias("n_rows"))
+    return versions.version_pairs(snaps).select("doc_id", "version", "side", "key", "name", "size")
 
 
 @query("p01_drop_unchanged")
 def p01(spark, path):
     d = diff.keyed_diff(S.parts(spark, path, 1), S.parts(spark, path, 2), ["key"], ["name", "size"], keep_unchanged=True)
-    return diff.drop_unchanged(d).groupBy("status").agg(F.count("*").alias("n"))
+    return diff.drop_unchanged(d).select("key", "status", diff.changes_text().alias("changes"))
 
 
 @query("j01_keyed_diff")

@@ -182,6 +182,12 @@ def a03(spark, path):
                                                 F.size("names").alias("width"), "pieces", "n_rows", "last_row")
 
 
+@query("a03_merged_rows")
+def a03_rows(spark, path):
+    _, r = tables.merge_continued(S.document_tables(spark, path), S.table_rows(spark, path, 1).select("table_id", "row_index", "cells"))
+    return r.select("table_id", "row_index", F.array_join("cells", "|").alias("cells"))
+
+
 def ordered_tables(spark, path, version):
     return S.document_tables(spark, path, version).withColumn("ord", F.col("table_id") % 8)
 

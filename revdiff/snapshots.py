@@ -169,8 +169,9 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
 def raw_lines_split(spark: SparkSession, path: str) -> DataFrame:
     """As raw_lines, with every item number on a line of its own before its text's second half."""
     d, n = F.col("doc_id"), F.col("number")
-    start = (d + n) % 4 == 0
-    lines = document_lines(spark, path).filter((d + n) % 10 != 0)
+    service = (d + n) % 10 == 0
+    start = ((d + n) % 4 == 0) & ~service
+    lines = document_lines(spark, path).withColumn("text", F.when(service, F.lit("Дата")).otherwise(F.col("text")))
     return lines.select(
         "doc_id", F.posexplode(F.when(start, F.array(F.col("text"), (n % 90).cast("string"))).otherwise(F.array("text")))
         .alias("part", "line"), "number").select(
