@@ -251,3 +251,10 @@ SQL["a03_merged_rows"] = with_(["dtab", "tbl1"], f""", m AS (SELECT *, nullif(re
     LEFT JOIN (SELECT doc_id, num, table_id FROM m WHERE rk = 1 AND num IS NOT NULL) b ON b.doc_id = m.doc_id AND b.num = m.num
     WHERE m.num IS NULL OR m.rk = 1 OR (t.row_index > 1 AND t.cells <> {COLS}))
   SELECT tid AS table_id, CAST(CASE WHEN num IS NULL THEN row_index ELSE row_number() OVER (PARTITION BY tid ORDER BY rk, row_index) END AS INT) AS row_index, array_to_string(cells, '|') AS cells FROM r""")
+
+
+SQL["a04_fact_values"] = with_(["tdiff"], J14 + j15("keep") + rollup("clean") + """,
+  v AS (SELECT doc_id, table_key, col_name AS "column", CASE WHEN status LIKE 'row%' THEN status ELSE 'changed' END AS group_status, ord,
+      unnest([{'l': 'row_keys', 'v': nullif(subject, '')}, {'l': 'old_values', 'v': v1_val}, {'l': 'new_values', 'v': v2_val}]) AS e FROM clean ANTI JOIN we USING (doc_id, table_key))
+  SELECT doc_id, table_key, "column", group_status, e.l AS list, row_number() OVER (PARTITION BY doc_id, table_key, "column", group_status, e.l ORDER BY ord) AS n, e.v AS value FROM v WHERE e.v IS NOT NULL
+  UNION ALL SELECT doc_id, table_key, 'Провод', 'row_added', unnest(['row_keys', 'new_values']), row_number() OVER (PARTITION BY doc_id, table_key ORDER BY o), subject FROM wf""")

@@ -154,6 +154,12 @@ def a04(spark, path):
     return table_facts.column_facts(table_facts.column_groups(d, *by_ord()), table_facts.wire_rollup(d, *by_ord()))
 
 
+@query("a04_fact_values")
+def a04_values(spark, path):
+    d = stage(cleaned(spark, path))
+    return table_facts.fact_values(d, *by_ord(), table_facts.introduced_wires(d, ["ord"]))
+
+
 @query("a07_marking_tables")
 def a07(spark, path):
     return table_facts.marking_lines(stage(S.table_differences(spark, path)), *by_ord())
