@@ -146,3 +146,12 @@ SQL["u02_action_text"] = with_(["sheets", "gfx2"], CHANGED + f""",
     ELSE coalesce(nullif(concat_ws(', ', {phrase('fin', 'Лист', 'Листы', 'заменить', 'заменить')},
       {phrase('intro', 'лист', 'листы', 'вводится вновь', 'вводятся вновь')},
       {phrase('ann', 'лист', 'листы', 'аннулировать', 'аннулировать')}), ''), 'Заменить') END AS action FROM f""")
+
+
+SQL["f08_f09_document_fields"] = with_(["meta1"], """, k AS (SELECT doc_id AS k, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(doc_id % 97 AS VARCHAR), 2, '0') || '.01.02.' ||
+    lpad(CAST(doc_id % 999 AS VARCHAR), 3, '0') AS n FROM meta1)
+  SELECT k AS doc_id, CASE k % 4 WHEN 0 THEN CASE WHEN k % 3 = 0 THEN 'АБВГ.' ELSE '' END || n || CASE WHEN k % 7 = 0 THEN ' СБ' ELSE '' END
+      WHEN 1 THEN n || CASE WHEN k % 7 = 1 THEN ' Э4' ELSE '' END WHEN 2 THEN n || ' ПЭ4' END AS number,
+    CAST(CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS INT) AS number_part, CAST(CASE k % 4 WHEN 0 THEN CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END WHEN 1 THEN 3 WHEN 2 THEN 1 END AS INT) AS number_tier,
+    CASE WHEN k % 5 = 0 THEN (k % 50) + 0.5::DOUBLE WHEN k % 13 = 0 THEN 3.5::DOUBLE WHEN k % 6 = 0 AND k % 11 <> 0 THEN 12.25::DOUBLE END AS mass_kg,
+    CASE WHEN k % 5 = 0 THEN '1:2' WHEN k % 3 = 1 THEN '1:4' WHEN k % 6 = 0 THEN '1:10' END AS scale FROM k""")

@@ -6,7 +6,7 @@ from revdiff import snapshots as S
 from revdiff.catalog.base import query
 from revdiff.functions import fields as X
 from revdiff.functions import text as T
-from revdiff.operators import diff, sheets
+from revdiff.operators import diff, sheets, stamp
 from revdiff.sources import sinks, versions
 
 
@@ -98,6 +98,29 @@ def f09(spark, path):
     return d.select("doc_id", X.scale_of(stamp).alias("scale"), X.mass_of(stamp).alias("mass_kg"))
 
 
+def stamp_lines(spark, path):
+    """Lines of three parts around a stamp; which of them say what depends on the document."""
+    d = S.headers(spark, path, 1)
+    k = F.col("doc_id")
+    number = F.concat(F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("."), F.lpad((k % 97).cast("string"), 2, "0"), F.lit(".01.02."), F.lpad((k % 999).cast("string"), 3, "0"))
+    named, bare = F.concat(F.lit("АБВГ."), number), number
+
+    def line(part, ord_, text):
+        return F.struct(F.lit(part).alias("part"), F.lit(1).alias("page_num"), F.lit(ord_).alias("ord"), text.alias("line"))
+
+    rows = [line(0, 1, F.when(k % 4 == 0, F.concat(F.lit("x "), bare)).otherwise("Лист Листов")), line(0, 2, F.when(k % 4 == 0, F.when(k % 3 == 0, named).otherwise("Подп."))),
+            line(0, 3, F.when(k % 5 == 0, F.concat(F.lit("масса "), (k % 50).cast("string"), F.lit(",5 1:2")))), line(0, 4, F.when(k % 7 == 0, F.lit("чертеж СБ"))),
+            line(1, 1, F.when(k % 4 == 1, F.concat(F.lit("инв"), bare, F.lit("x")))), line(1, 2, F.when(k % 3 == 1, F.lit("см. табл 7,5 1 : 4"))), line(1, 3, F.when(k % 7 == 1, F.lit("лист Э4"))),
+            line(2, 1, F.when(k % 4 == 2, F.concat(bare, F.lit(" ПЭ4")))), line(2, 2, F.when(k % 6 == 0, F.lit("12.25 1:10"))), line(2, 3, F.when(k % 11 == 0, F.lit("См. ТТ")))]
+    return d.select("doc_id", F.explode(F.array(*rows)).alias("r")).select("doc_id", "r.*").withColumn("line", F.coalesce("line", F.lit("")))
+
+
+@query("f08_f09_document_fields")
+def f08_f09(spark, path):
+    words = S.headers(spark, path, 1).select("doc_id", F.when(F.col("doc_id") % 13 == 0, F.lit(3.5)).alias("mass_kg"))
+    return stamp.document_fields(stamp_lines(spark, path), words)
+
+
 @query("f10_sheet_marks")
 def f10(spark, path):
     s = S.sheets(spark, path).distinct()
