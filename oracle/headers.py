@@ -155,3 +155,8 @@ SQL["f08_f09_document_fields"] = with_(["meta1"], """, k AS (SELECT doc_id AS k,
     CAST(CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS INT) AS number_part, CAST(CASE k % 4 WHEN 0 THEN CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END WHEN 1 THEN 3 WHEN 2 THEN 1 END AS INT) AS number_tier,
     CASE WHEN k % 5 = 0 THEN (k % 50) + 0.5::DOUBLE WHEN k % 13 = 0 THEN 3.5::DOUBLE WHEN k % 6 = 0 AND k % 11 <> 0 THEN 12.25::DOUBLE END AS mass_kg,
     CASE WHEN k % 5 = 0 THEN '1:2' WHEN k % 3 = 1 THEN '1:4' WHEN k % 6 = 0 THEN '1:10' END AS scale FROM k""")
+
+SQL["o02_stamp_titles"] = with_(["meta1"], """, k AS (SELECT doc_id AS k, CASE WHEN doc_id % 4 = 1 THEN 1 WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 3 = 2 AND doc_id % 2 = 1 THEN 3
+    WHEN doc_id % 5 = 0 THEN 4 WHEN doc_id % 4 = 2 THEN 5 ELSE 6 END AS w FROM meta1)
+  SELECT k AS doc_id, ['Кабель связи', 'Корпус прибора', 'Сборочный чертеж прибора', 'Стойка левая', 'Блок', 'Переходник'][w] AS title,
+    CAST(CASE w WHEN 6 THEN 1 ELSE 0 END AS INT) AS part, CAST(CASE WHEN w IN (1, 6) THEN 3 WHEN w IN (2, 3) THEN 2 ELSE 1 END AS INT) AS tier FROM k""")

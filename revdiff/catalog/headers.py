@@ -121,6 +121,19 @@ def f08_f09(spark, path):
     return stamp.document_fields(stamp_lines(spark, path), words)
 
 
+@query("o02_stamp_titles")
+def o02_titles(spark, path):
+    d = S.headers(spark, path, 1)
+    k = F.col("doc_id")
+    a = F.when(k % 4 == 0, F.concat(F.lit("Жгут питания "), "decimal_number")).when(k % 4 == 1, "Кабель  связи").when(k % 4 == 2, "Блок формат А4").otherwise("")
+    b = F.when(k % 3 == 0, "Изм. Лист № докум. Подп. Дата Корпус прибора").when(k % 3 == 1, "Дата 1:2 корпус").otherwise("Подп. Дата Сборочный чертеж прибора")
+    c = F.when(k % 5 == 2, "АБВГ.123").when(k % 5 < 2, "Стойка левая 1:4")
+    rows = [F.struct(F.lit(part).alias("part"), F.lit(i).alias("ord"), x0.alias("x0"), line.alias("line")) for part, i, x0, line in (
+        (0, 1, F.lit(600.0), a), (0, 2, F.lit(600.0), b), (0, 3, F.when(k % 5 == 1, 10.0).otherwise(600.0), c), (1, 1, F.lit(10.0), F.lit("Переходник О")))]
+    docs = d.select("doc_id", F.col("decimal_number").alias("number"), F.when(k % 2 == 0, "Сборочный чертеж").otherwise("Не определён").alias("doc_type"), F.lit(S.PAGE_W).alias("page_width"))
+    return stamp.titles(d.select("doc_id", F.explode(F.array(*rows)).alias("r")).select("doc_id", "r.*"), docs)
+
+
 @query("f10_sheet_marks")
 def f10(spark, path):
     s = S.sheets(spark, path).distinct()

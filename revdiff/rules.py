@@ -213,3 +213,12 @@ REQUIREMENT_NOTE_STARTS = (
     "изменены тт", "изменены технические требования", "- изменен пункт", "- введен пункт", "- аннулирован пункт", "изменен пункт", "введен пункт", "аннулирован пункт",
 )
 BAD_REQUIREMENT_FRAGMENTS = ("...", "…", " о неуказанные ", " об экранирование ", " о бирки ", " о маркировать ", " выполнить пле")
+
+# ---- titles in a stamp: fixed values ---------------------------------------------------------
+STAMP_SERVICE_WORDS = (
+    "разраб", "пров", "н. контр", "т. контр", "утв", "лист", "листов", "масса", "масштаб", "лит", "формат", "подп", "дата", "изм", "инв", "зам", "перв",
+    "справ", "копировал", "стадия", "докум", "см.", "см",
+)
+STAMP_MASS = r"(?iu)(?:масса|mass)\s*[:.]?\s*(\d+(?:[.,]\d+)?)"
+STAMP_TAILS = (r"(?iu)(^|[^A-Za-zА-Яа-яЁё0-9_])(?:АО|ООО|ПАО|ЗАО)(?:$|[^A-Za-zА-Яа-яЁё0-9_]).*",
+               r"(?iu)(^|[^A-Za-zА-Яа-яЁё0-9_])(?:Лист|Листов|Формат|См|Изм)(?:$|[^A-Za-zА-Яа-яЁё0-9_]).*")
