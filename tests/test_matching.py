@@ -27,8 +27,10 @@ def test_greedy_assignment(spark):
     pairs = [(d, rng.choice([0.5, 0.6, 0.7, 0.8]), lft, r) for d in range(5) for lft in range(9) for r in range(9) if rng.random() < 0.5]
     df = spark.createDataFrame(pairs, "doc_id int, rank double, l_ord int, r_ord int")
     want = sorted((d, *p) for d in range(5) for p in greedy([x[1:] for x in pairs if x[0] == d]))
-    for per_round in (200_000, 7):
-        got = sorted((r["doc_id"], r["l_ord"], r["r_ord"]) for r in R.assign_greedy(df, per_round).collect())
+    for rows in (10_000, 7):  # documents over several batches change nothing
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        got = sorted((r["doc_id"], r["l_ord"], r["r_ord"]) for r in R.assign_greedy(df).collect())
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert got == want
 
 
@@ -44,17 +46,17 @@ def test_numbers_above_99_and_repeated_numbers(spark):
 
 
 def test_pairs_and_choice_over_several_blocks(spark, monkeypatch):
-    """Blocks of old items and rounds of pairs change nothing."""
+    """Blocks of old items change nothing."""
     old = [(1, n, f"common wording of the line {n % 7} part {n}") for n in range(300)]
     new = [(1, n + 150, f"common wording of the line {n % 5} part {n} more") for n in range(40)]
     frames = [R.in_order(spark.createDataFrame(x, REQ)) for x in (old, new)]
 
-    def chosen(per_round):
-        return sorted((r.l_ord, r.r_ord) for r in R.assign_greedy(R.fuzzy_pairs(*frames, use_ratio=False), per_round).collect())
+    def chosen():
+        return sorted((r.l_ord, r.r_ord) for r in R.assign_greedy(R.fuzzy_pairs(*frames, use_ratio=False)).collect())
 
-    one = chosen(200_000)
+    one = chosen()
     monkeypatch.setattr(R, "BLOCK", 16)
-    assert len(one) == 40 and chosen(5000) == one
+    assert len(one) == 40 and chosen() == one
 
 
 def test_requirement_diff(spark):

@@ -16,7 +16,9 @@ SF = Path(os.environ.get("REVDIFF_SF", "/root/testdata/sf0.001"))
 SAMPLE = ("s01_version_pairs", "p05_noise_tables", "p15_mask_secrets", "j01_keyed_diff", "j03_cell_diff", "j06_exact_text_match", "j07_fuzzy_pairs_tokens",
           "j11_near_duplicates", "j12_band_join", "j13_nearest_neighbour", "j15_two_sided_cancellation", "j19_upsert_blocks", "a01_merge_texts",
           "a03_merge_continued", "a04_column_facts", "a09_section_rollup", "a12_collapse_table_notes", "a18_notice_assembly", "w02_gap_segments",
-          "w08_items_from_lines", "w09_requirement_stitching", "w12_range_compression", "o07_top_with_rest", "u02_action_text", "f04_compare_key")
+          "w08_items_from_lines", "w09_requirement_stitching", "w12_range_compression", "o07_top_with_rest", "u02_action_text", "f04_compare_key", "j03_table_diff", "j04_schematic_diff", "j09_table_pairing_tokens", "j11_near_duplicates_exact",
+          "j12_conductors", "j13_nearest_connector", "j13_code_letter", "j17_note_coverage", "w07_items_from_tables", "a04_fact_values", "a17_best_blocks", "f08_f09_document_fields",
+          "o02_stamp_titles", "s03_full_diff_json", "change_notice")
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("REVDIFF_ALL") else SAMPLE
 
 
