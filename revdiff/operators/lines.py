@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,29 @@ def keyword_hits(rows: DataFrame, keys: list[str], text: Column, markers) -> Dat
     return flags.select(*keys, total.alias("hits"))
 
 
+def document_presets(rows: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """Which groups of lines read like an element list or a connection diagram, with what speaks against it.
+
+    keys, header_hits, looks_like_elements, looks_like_wiring. An element list names itself and has four of its five head words, and is neither a drawing that only mentions
+    one nor a bill of materials; a diagram names itself, or has its code with markings and designations. A phrase stands within one line.
+    """
+    low = F.lower(T.norm_cell(F.col(line)))
+
+    def says(*markers: str) -> Column:
+        return F.coalesce(F.bool_or(reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in markers])), F.lit(False))
+
+    def code(c: str) -> Column:
+        return F.coalesce(F.bool_or(low.rlike(f"(?:^|[^{T.WORD}]){c}(?:$|[^{T.WORD}])")), F.lit(False))
+
+    flags = {"drawing": says("сборочный чертеж"), "listed": says("перечень элементов"), "papers": says("документация"), "others": says("прочие изделия"), "pe4": code("пэ4"),
+             "named": says("схема электрическая соединений"), "e4": code("э4"), "marks": says("маркировк"), "des": says("обознач")}
+    hits = reduce(lambda a, b: a + b, [says(m).cast("int") for m in rules.ELEMENT_HEADER_WORDS])
+    told = rows.groupBy(*keys).agg(hits.alias("header_hits"), *[c.alias(f"__{n}") for n, c in flags.items()])
+    f = {n: F.col(f"__{n}") for n in flags}
+    elements = ~(f["drawing"] & ~f["listed"]) & ~(f["papers"] & f["others"]) & (f["listed"] | f["pe4"]) & (F.col("header_hits") >= 4)
+    return told.select(*keys, "header_hits", elements.alias("looks_like_elements"), (f["named"] | (f["e4"] & f["marks"] & f["des"])).alias("looks_like_wiring"))
+
+
 def document_class(rows: DataFrame, keys: list[str], line: str, head=rules.BOM_HEADER_WORDS, head_min: int = 5, sections=rules.BOM_SECTIONS,
                    section_min: int = 1) -> DataFrame:
     """Groups with enough head words and section names."""
