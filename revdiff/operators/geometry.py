@@ -192,7 +192,8 @@ def near_pairs(boxes: DataFrame, limit: float = 0.85) -> DataFrame:
 
 def drop_near_duplicates(boxes: DataFrame, limit: float = 0.85) -> DataFrame:
     """Native variant of J11: a box goes if any earlier box of its page covers it."""
-    firsts = first_copies(boxes)
+    # read three times below
+    firsts = stage(first_copies(boxes))
     gone = near_pairs(firsts, limit).select("doc_id", "page_num", "ord").distinct()
     return firsts.join(gone, ["doc_id", "page_num", "ord"], "left_anti")
 
