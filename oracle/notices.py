@@ -157,3 +157,5 @@ SQL["s03_full_diff_json"] = f"""WITH mf AS ({HEADERS["j05_metadata_facts"]}), rq
     UNION ALL SELECT doc_id, no, 0, 0, CASE WHEN no = 0 THEN '{{"doc_id":' || doc_id ELSE '' END || part FROM (SELECT DISTINCT doc_id FROM e), (VALUES {OPEN}) AS o(no, part)
     UNION ALL SELECT DISTINCT doc_id, 5, 0, 0, ']}}' FROM e)
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no, k, ord) AS n, line FROM x"""
+SQL["s03_document_json"] = with_(["bom1"], """SELECT doc_id, 0 AS part, '{"doc_id":' || doc_id || ',"elements":[' || string_agg(
+    to_json({'ord': ord, 'section': section, 'position': position, 'name': name, 'quantity': quantity})::VARCHAR, ',' ORDER BY ord) || ']}' AS json FROM bom1 GROUP BY doc_id""")
