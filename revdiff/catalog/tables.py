@@ -19,8 +19,8 @@ def by_ord():
     return ["ord"], by_position("ord")
 
 
-def compare_rows(spark, path, version):
-    rows = tables.data_rows(S.table_rows(spark, path, version), "table_id", S.TABLE_COLUMNS)
+def compare_rows(spark, path, version, base=None):
+    rows = tables.data_rows(S.table_rows(spark, path, version, base), "table_id", S.TABLE_COLUMNS)
     return tables.fill_down(rows, "table_id", S.TABLE_COLUMNS, 5, FILL)
 
 
@@ -114,7 +114,8 @@ def w04(spark, path):
 
 @query("j03_cell_diff")
 def j03(spark, path):
-    a, b = stage(compare_rows(spark, path, 1)), stage(compare_rows(spark, path, 2))
+    base = stage(S.items(spark, path, 1))
+    a, b = (compare_rows(spark, path, v, base) for v in (1, 2))
     d = tables.cell_diff(a, b, "table_id", S.TABLE_COLUMNS, ["table_name", "page_num"])
     return tables.with_table_sizes(d, a, b, "table_id").drop("base_key")
 
