@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from revdiff import rules
 from revdiff.functions import text as T
 from revdiff.functions.boxes import Box, box, iou, overlap_share
-from revdiff.operators.scan import ordered_scan
+from revdiff.operators.scan import chunk_if_large, ordered_scan
 from revdiff.staging import stage
 
 BAND = 64.0
@@ -59,17 +59,18 @@ def number_lines_exact(words: DataFrame, tol: float = 3.0, order: tuple = ("y0",
                 lines.append(line)
             yield pdf.assign(sub_line=lines)
 
-    spread = banded.repartition("doc_id", "page_num", "band").sortWithinPartitions("doc_id", "page_num", "band", *order)
+    spread = banded if chunk is None else banded.repartition("doc_id", "page_num", "band")
+    spread = spread.sortWithinPartitions("doc_id", "page_num", "band", *order)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in banded.schema) + ", sub_line long"
     return spread.mapInPandas(follow, ddl).select(*cols, "sub_line")
 
 
 def segment(words: DataFrame, line_keys: list[str], gap: float = 80.0, order: tuple = ("x0", "i")) -> DataFrame:
     """Cut lines where the gap to the word before exceeds `gap`; one row per segment."""
-    chunk = F.floor(F.col(order[0]) / 4096)
-    linked = stage(ordered_scan(words, line_keys, list(order), chunk, previous={"__x": F.col("x1")}))
+    chunk = chunk_if_large(words, line_keys, F.floor(F.col(order[0]) / 4096))
+    linked = ordered_scan(words, line_keys, list(order), chunk, previous={"__x": F.col("x1")})
     starts = F.when(F.col("x0") - F.col("__x") > gap, 1).otherwise(0)
-    cut = ordered_scan(linked, line_keys, list(order), chunk, running={"segment": starts})
+    cut = ordered_scan(linked if chunk is None else stage(linked), line_keys, list(order), chunk, running={"segment": starts})
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda w: w["text"]), " ")
     return (cut.groupBy(*line_keys, "segment")
             .agg(text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from revdiff.operators import pairing, scan, tables
+from revdiff.operators import geometry, lines, pairing, scan, tables
 from revdiff.operators.scan import by_position, chunk_if_large, number_rows, ordered_scan
 
 
@@ -67,3 +67,38 @@ def test_heads_are_read_once_for_each_distinct_one(spark):
     paired = pairing.pair_tables(df, new, pairing.token_share).collect()
     assert sorted(r.old_id for r in paired if r.old_id is not None) == list(range(24))
     assert sorted(r.new_id for r in paired if r.new_id is not None) == [i for i in range(24) if i % 5]
+
+
+def page_words(spark):
+    rng = random.Random(4)
+    rows = [(d, p, i, i // 6, rng.randrange(0, 600) * 1.0, (i // 6) * 14 + rng.randrange(0, 5) * 1.0, f"w{i}") for d in (1, 2) for p in (1, 2) for i in range(40)]
+    return spark.createDataFrame(rows, "doc_id int, page_num int, i int, line int, x0 double, y0 double, text string").withColumns(
+        {"x1": F.col("x0") + 20, "y1": F.col("y0") + 10})
+
+
+@pytest.mark.parametrize("what", ["segment", "lines", "exact"])
+def test_words_of_small_pages_are_shuffled_once(spark, monkeypatch, what):
+    def run():
+        w = page_words(spark)
+        if what == "segment":
+            return geometry.segment(w, ["doc_id", "page_num", "line"], 45.0)
+        return geometry.number_lines(w) if what == "lines" else geometry.number_lines_exact(w)
+
+    whole = run()
+    assert len(exchanges(whole)) == 1
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 3)
+    chunked = run()
+    assert len(exchanges(chunked)) > 1
+    assert sorted(map(str, whole.collect())) == sorted(map(str, chunked.select(*whole.columns).collect()))
+
+
+def test_items_are_the_same_by_chunks_and_read_once_for_each_merge(spark, monkeypatch):
+    rows = [(d, o, 1, "Section" if o % 9 == 0 else None, o % 11 == 0, str(o) if o % 3 == 1 else None, f"d{o % 4}", f"name {o % 5}", "1", "n") for d in (1, 2) for o in range(1, 30)]
+    df = spark.createDataFrame(rows, "doc_id int, ord int, page_num int, section_here string, is_service boolean, position string, designation string, name string, quantity string, note string")
+    staged = []
+    real = lines.stage
+    monkeypatch.setattr(lines, "stage", lambda f: staged.append(1) or real(f))
+    whole = lines.items_from_rows(df)
+    assert len(staged) == 2
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 3)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, lines.items_from_rows(df).collect()))
