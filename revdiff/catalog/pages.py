@@ -59,7 +59,9 @@ def w01(spark, path):
 
 @query("w01_word_lines_exact")
 def w01_exact(spark, path):
-    return G.number_lines_exact(S.words(spark, path)).select("doc_id", "i", "band", "sub_line")
+    # rows pass through Python whole: only what orders them goes there
+    w = S.words(spark, path).select("doc_id", "page_num", "i", "x0", "y0")
+    return G.number_lines_exact(w).select("doc_id", "i", "band", "sub_line")
 
 
 @query("w02_gap_segments")

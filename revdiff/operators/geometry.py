@@ -30,19 +30,25 @@ def by_band(y: str = "y0", height: float = BAND) -> Column:
 
 def number_lines(words: DataFrame, tol: float = 3.0, order: tuple = ("y0", "x0", "i"), out: str = "line_id") -> DataFrame:
     """Native variant of W1: a new line where y is more than `tol` below the word before."""
+    return _number_lines(words, tol, order, out, chunk_if_large(words, ["doc_id", "page_num"], by_band()))
+
+
+def _number_lines(words: DataFrame, tol: float, order: tuple, out: str, chunk: Column | None) -> DataFrame:
     page = ["doc_id", "page_num"]
-    linked = stage(ordered_scan(words, page, list(order), by_band(), previous={"__y": F.col("y0")}))
+    linked = ordered_scan(words, page, list(order), chunk, previous={"__y": F.col("y0")})
     starts = F.when(F.col("y0") - F.col("__y") <= tol, 0).otherwise(1)
-    return ordered_scan(linked, page, list(order), by_band(), running={out: starts}).drop("__y")
+    return ordered_scan(linked if chunk is None else stage(linked), page, list(order), chunk, running={out: starts}).drop("__y")
 
 
 def number_lines_exact(words: DataFrame, tol: float = 3.0, order: tuple = ("y0", "x0", "i")) -> DataFrame:
     """W1 as defined: y is compared with a running mean of the line's last mean and y.
 
     A gap above `tol` always starts a line, whatever the mean, so gaps cut pages into bands first.
-    Bands are spread over tasks and read in order with one number of state; no band is ever held.
+    Bands are spread over tasks and read in order with one number of state; no band is ever held. Pages that one window
+    numbers lie together already and are read where they are.
     """
-    banded = number_lines(words, tol, order, out="band")
+    chunk = chunk_if_large(words, ["doc_id", "page_num"], by_band())
+    banded = _number_lines(words, tol, order, "band", chunk)
     cols = [c for c in banded.columns]
 
     def follow(batches):
