@@ -107,7 +107,7 @@ def w08(spark, path):
 
 @query("w07_items_from_rows")
 def w07(spark, path):
-    d = S.items(spark, path, 1)
+    d = stage(S.items(spark, path, 1))
     rows = d.select("doc_id", "ord", "page_num", F.when(F.col("ord") % 7 == 0, F.initcap("section")).alias("section_here"), (F.col("ord") % 11 == 0).alias("is_service"),
                     F.when(F.col("ord") % 3 == 1, F.col("position").cast("string")).alias("position"), "designation", "name", "quantity", "note")
     return lines.items_from_rows(rows).select("doc_id", "key", "section", "position", "designation", "name", "quantity", "note", "page_num")

@@ -11,7 +11,7 @@ from revdiff import rules
 from revdiff.functions import fields as X
 from revdiff.functions import text as T
 from revdiff.operators.dedupe import keep_richest, merge_texts
-from revdiff.operators.scan import CHUNK_ROWS, by_position, ordered_scan
+from revdiff.operators.scan import CHUNK_ROWS, by_position, chunk_if_large, ordered_scan
 from revdiff.staging import stage
 
 
@@ -158,16 +158,18 @@ def items_from_rows(rows: DataFrame) -> DataFrame:
     documentation section any row does), as does the first row after a close; others go on with it.
     """
     close = F.col("section_here").isNotNull() | F.col("is_service")
-    sectioned = stage(ordered_scan(rows, ["doc_id"], ["ord"], by_position("ord"), carry={"section": F.col("section_here")},
-                                   previous={"after_close": close}))
+    chunk = chunk_if_large(rows, ["doc_id"], by_position("ord"))
+    sectioned = ordered_scan(rows, ["doc_id"], ["ord"], chunk, carry={"section": F.col("section_here")}, previous={"after_close": close})
+    sectioned = sectioned if chunk is None else stage(sectioned)
     opens = (F.coalesce("position", F.lit("")) != "") | (F.lower(F.coalesce("section", F.lit(""))) == "документация") | F.coalesce("after_close", F.lit(True))
-    runs = ordered_scan(sectioned, ["doc_id"], ["ord"], by_position("ord"), running={"run": (close | opens).cast("int")}).filter(~close)
+    runs = ordered_scan(sectioned, ["doc_id"], ["ord"], chunk, running={"run": (close | opens).cast("int")}).filter(~close)
     cols = ["doc_id", "run", "ord", "page_num", "section", "position", *ITEM_TEXTS]
-    merged = merge_texts(runs.select(*cols), ["doc_id", "run"], ITEM_TEXTS)
+    # merging reads its rows twice
+    merged = merge_texts(stage(runs.select(*cols)), ["doc_id", "run"], ITEM_TEXTS)
     des, name = X.rejoin_designation(F.col("designation"), F.col("name"))
     fixed = merged.withColumns({"designation": des, "name": name}).withColumns({c: X.clean_field(F.col(c)) for c in ITEM_TEXTS})
     keyed = fixed.withColumn("key", X.item_key(F.col("section"), F.col("position"), F.col("designation"), F.col("name"))).filter("key <> ''")
-    return merge_texts(keyed, ["doc_id", "key"], ITEM_TEXTS, "run")
+    return merge_texts(stage(keyed), ["doc_id", "key"], ITEM_TEXTS, "run")
 
 
 def section_row(cells: Column, names=rules.BOM_SECTIONS) -> Column:
