@@ -115,7 +115,7 @@ def w07(spark, path):
 
 @query("w07_items_from_tables")
 def w07_tables(spark, path):
-    found = lines.items_from_tables(*S.item_tables(spark, path))
+    found = lines.items_from_tables(*S.item_tables(spark, path, stage(S.items(spark, path, 1))))
     return found.select("doc_id", "key", "section", "page_num", "format", "position", "designation", "name", "quantity", "note")
 
 

@@ -190,18 +190,20 @@ def items_from_tables(tables: DataFrame, rows: DataFrame) -> DataFrame:
     table's start close the open item. A row with a position opens one, in the documentation section one with a format, designation or name; after a close
     any row does. Others add to it what it does not hold yet. Items of one key are one.
     """
-    norm = rows.select("table_id", "row_index", F.transform("cells", T.norm_cell).alias("cells"))
+    norm = stage(rows.select("table_id", "row_index", F.transform("cells", T.norm_cell).alias("cells")))
     low = F.lower(F.array_join(F.filter("cells", lambda c: c != ""), " "))
 
     def says(*markers: str) -> Column:
         return F.bool_or(T.contains_any(F.col("low"), markers))
 
-    top = F.when(F.col("row_index") <= 6, header_map(F.col("cells")))
+    # staged: each field read from a map would otherwise work the whole map out again
+    tops = stage(norm.filter("row_index <= 6").select("table_id", "row_index", header_map(F.col("cells")).alias("map")))
     is_head = F.map_contains_key("map", F.lit("designation")) & F.map_contains_key("map", F.lit("name"))
-    heads = norm.withColumns({"low": low, "map": top}).groupBy("table_id").agg(
-        says("обознач").alias("a"), says("наимен").alias("b"), says("кол").alias("c"), says("документац", "материал", "прочие изделия").alias("d"),
-        F.min_by(F.struct("row_index", *[F.element_at("map", F.lit(f)).alias(f) for f, _ in rules.ITEM_COLUMNS]), F.when(is_head, F.col("row_index"))).alias("head"))
-    heads = heads.filter("a AND b AND c AND d AND head IS NOT NULL").select("table_id", "head")
+    told = norm.withColumn("low", low).groupBy("table_id").agg(
+        says("обознач").alias("a"), says("наимен").alias("b"), says("кол").alias("c"), says("документац", "материал", "прочие изделия").alias("d"))
+    head = tops.filter(is_head).groupBy("table_id").agg(
+        F.min_by(F.struct("row_index", *[F.element_at("map", F.lit(f)).alias(f) for f, _ in rules.ITEM_COLUMNS]), "row_index").alias("head"))
+    heads = stage(head.join(told.filter("a AND b AND c AND d").select("table_id"), "table_id"))
     place = ["page_num", "y0", "x0", "table_id"]
     body = norm.join(heads, "table_id").filter(F.col("row_index") > F.col("head.row_index")).join(tables.select("doc_id", *place), "table_id")
     fields = [f for f, _ in rules.ITEM_COLUMNS]
@@ -213,13 +215,15 @@ def items_from_tables(tables: DataFrame, rows: DataFrame) -> DataFrame:
     close = F.col("section_here").isNotNull() | F.col("is_service")
     kept = stage(kept.select("doc_id", *place, "row_index", "section_here", close.alias("close"), *fields))
     order = [*place, "row_index"]
-    sectioned = ordered_scan(kept, ["doc_id"], order, F.struct(*place, F.floor(F.col("row_index") / CHUNK_ROWS)), carry={"section": F.col("section_here")}, running={"ord": F.lit(1)},
+    chunk = chunk_if_large(kept, ["doc_id"], F.struct(*place, F.floor(F.col("row_index") / CHUNK_ROWS)))
+    sectioned = ordered_scan(kept, ["doc_id"], order, chunk, carry={"section": F.col("section_here")}, running={"ord": F.lit(1)},
                              previous={"before": F.struct("close", "table_id")})
     in_documents = F.lower(F.coalesce("section", F.lit(""))) == "документация"
     opens = F.when(in_documents, F.concat("format", "designation", "name") != "").otherwise(F.col("position") != "")
     fresh = F.coalesce(F.col("before.close") | (F.col("before.table_id") != F.col("table_id")), F.lit(True))
-    sectioned = stage(sectioned.withColumn("opens", F.col("close") | opens | fresh).drop("before"))
-    runs = ordered_scan(sectioned, ["doc_id"], ["ord"], by_position("ord"), running={"run": F.col("opens").cast("int")}).filter(~F.col("close"))
+    sectioned = sectioned.withColumn("opens", F.col("close") | opens | fresh).drop("before")
+    runs = ordered_scan(sectioned if chunk is None else stage(sectioned), ["doc_id"], ["ord"], None if chunk is None else by_position("ord"),
+                        running={"run": F.col("opens").cast("int")}).filter(~F.col("close"))
     # what goes on with an item is cleaned before it is added
     pieces = stage(runs.select("doc_id", "run", "ord", "page_num", "section", *[F.nullif(c, F.lit("")).alias(c) for c in ("format", "zone", "position")],
                                *[F.when(F.col("opens"), F.col(c)).otherwise(X.clean_field(F.col(c))).alias(c) for c in ITEM_TEXTS]))

@@ -102,3 +102,15 @@ def test_items_are_the_same_by_chunks_and_read_once_for_each_merge(spark, monkey
     assert len(staged) == 2
     monkeypatch.setattr(scan, "CHUNK_ROWS", 3)
     assert sorted(map(str, whole.collect())) == sorted(map(str, lines.items_from_rows(df).collect()))
+
+
+def test_item_table_heads_are_mapped_once(spark, monkeypatch):
+    head = ["Поз.", "Обозначение", "Наименование", "Кол."]
+    rows = [(t, r, head if r == 2 else ["", "Материалы", "", ""] if r == 3 else [str(r), f"d{r}", f"n{r}", "1"]) for t in (1, 2) for r in range(2, 9)]
+    df = spark.createDataFrame(rows, "table_id int, row_index int, cells array<string>")
+    boxes = spark.createDataFrame([(7, t, 1, 0.0, 10.0 * t) for t in (1, 2)], "doc_id int, table_id int, page_num int, x0 double, y0 double")
+    columns, real = [], lines.stage
+    monkeypatch.setattr(lines, "stage", lambda f: columns.append(f.columns) or real(f))
+    found = {(r.position, r.designation, r.name) for r in lines.items_from_tables(boxes, df).collect()}
+    assert found == {(str(r), f"d{r}", f"n{r}") for r in range(4, 9)}
+    assert ["table_id", "row_index", "map"] in columns
