@@ -95,13 +95,14 @@ def connection_diff(old: DataFrame, new: DataFrame, doc: str = "doc_id") -> Data
 
     Conductors differ by signal, by the number of pins on a side, or by a housing mark on a side.
     """
-    names = ["signal", "left_pins", "right_pins", "left_housing", "right_housing", "bbox"]
-    a = old.select(doc, "key", F.struct(*names).alias("a"))
-    b = new.select(doc, "key", F.struct(*names).alias("b"))
+    # of pins only their number is compared, so only that is shuffled
+    pins = [F.size(c).alias(c) for c in ("left_pins", "right_pins")]
+    told = F.struct("signal", *pins, "left_housing", "right_housing", "bbox")
+    a, b = old.select(doc, "key", told.alias("a")), new.select(doc, "key", told.alias("b"))
     joined = a.join(b, [doc, "key"], "full_outer")
     differs = reduce(lambda x, y: x | y, [
         F.coalesce("a.signal", F.lit("")) != F.coalesce("b.signal", F.lit("")),
-        F.size("a.left_pins") != F.size("b.left_pins"), F.size("a.right_pins") != F.size("b.right_pins"),
+        F.col("a.left_pins") != F.col("b.left_pins"), F.col("a.right_pins") != F.col("b.right_pins"),
         F.col("a.left_housing") != F.col("b.left_housing"), F.col("a.right_housing") != F.col("b.right_housing")])
     changed = F.col("a").isNull() | F.col("b").isNull() | differs
     box = F.coalesce("b.bbox", "a.bbox")

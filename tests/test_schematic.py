@@ -2,6 +2,7 @@
 
 import random
 
+from revdiff.operators import scan
 from revdiff.operators import schematic as C
 
 WORDS = "doc_id int, page_num int, i int, x0 double, y0 double, x1 double, y1 double, text string"
@@ -37,3 +38,20 @@ def test_code_letters(spark):
     rows = [(1, 1, 0, 0, 0.0, 0.0, 9.0, 9.0, "Лит."), (1, 1, 0, 1, 5.0, 60.0, 9.0, 69.0, "А"), (1, 1, 0, 2, 5.0, 30.0, 9.0, 39.0, "ЗАМ"), (1, 1, 0, 3, 80.0, 20.0, 9.0, 29.0, "о.1"), (1, 1, 0, 4, 80.0, 40.0, 9.0, 29.0, "О"),
             (2, 1, 0, 0, 0.0, 0.0, 9.0, 9.0, "Лит."), (2, 1, 0, 1, 500.0, 0.0, 9.0, 9.0, "б"), (3, 1, 1, 0, 0.0, 0.0, 9.0, 9.0, "литера: В"), (4, 1, 0, 0, 0.0, 0.0, 9.0, 9.0, None)]
     assert {r.doc_id: (r.letter, r.tier) for r in C.code_letters(spark.createDataFrame(rows, schema)).collect()} == {1: ("О", 1), 2: ("Б", 2), 3: ("В", 3)}
+
+
+def test_conductors_by_pages_and_by_zones_agree_without_shuffled_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    toks = ["ХS1", "XP2", "007", "12", "Ж", "Корпус", "GND", "б/н", "№", "-", "OUT", " ", None]
+    rows = [(d, p, i, x, y, x + 20.0, y + 10.0, rng.choice(toks)) for d in (1, 2) for p in (1, 2) for i in range(150)
+            for x, y in [(rng.choice([60.0, 60.0, 61.5, 200.0, 300.0, 340.0, 500.0]), float(rng.randrange(0, 320)))]]
+    words = spark.createDataFrame(rows, WORDS)
+    whole = C.conductors(words, 700.0, 320.0)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(C, "ZONE", 2)
+    by_zones = C.conductors(words, 700.0, 320.0)
+    assert "zone" in by_zones._jdf.queryExecution().toString()
+    got = [sorted(map(repr, df.collect())) for df in (whole, by_zones)]
+    assert got[0] == got[1] and len(got[0]) > 20
