@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from revdiff.functions import text as T
 from revdiff.operators import geometry as G
 from revdiff.operators import requirements as R
+from revdiff.operators import scan
+from revdiff.staging import stage
 
 REQ = "doc_id long, number int, text string"
 
@@ -250,3 +252,22 @@ def test_expected_lines_stand_within_a_note(spark):
     got = {(r.doc_id, r.n, r.line) for r in R.missing_lines(spark.createDataFrame(lines, "doc_id int, n int, line string"), spark.createDataFrame(notes, "doc_id int, note string")).collect()}
     want = {(d, n, t) for d, n, t in lines if plain(t) and not any(e == d and u and plain(t) in plain(u) for e, u in notes)}
     assert got == want and 0 < len(want) < len(lines)
+
+
+def test_leftovers_by_documents_and_by_chunks_agree_with_one_shuffle(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["x", " X ", "y", "z - 1", "z-1", "", None]
+    old, new = (spark.createDataFrame([(d, rng.randrange(40), rng.choice(texts)) for d in range(4) for _ in range(30)], REQ).distinct().localCheckpoint() for _ in range(2))
+    plans = []
+    monkeypatch.setattr(R, "stage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df))
+
+    def left():
+        return [sorted(map(repr, side.select("doc_id", "number", "text").collect())) for side in R.exact_leftovers(old, new)]
+
+    whole = left()
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) == 1
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 8)
+    assert left() == whole and all(whole)
+    placed = [sorted(tuple(r) for r in side.select("doc_id", "ord", "number").collect()) for side in R.exact_leftovers(old, new, place=True)]
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 1000)
+    assert [sorted(tuple(r) for r in side.select("doc_id", "ord", "number").collect()) for side in R.exact_leftovers(old, new, place=True)] == placed
