@@ -1,5 +1,7 @@
 """Comparison, header facts, masking and wording on small hand-worked cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,15 @@ def test_encoding_repair_takes_the_best_of_all_readings(spark):
         else:
             assert points(r.r) == plain(r.t), (r.t, r.r)
     assert [r.r for r in rows][-1] == "plain ascii text\nx"
+
+
+def test_cancellation_by_documents_and_by_chunks_agree(spark):
+    rng = random.Random(4)
+    rows = [(d, i, f"table:{rng.randrange(2)}", rng.choice(["1", "12", "007", "A", "a", "", None]), rng.choice(["row_added", "row_removed", "modified"]), rng.random() < 0.2, rng.random() < 0.4)
+            for d in range(3) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id int, ord int, table_key string, subject string, status string, a boolean, c boolean").localCheckpoint()
+    for make in (lambda chunk: table_facts.cancel_both_sides(df, ["ord"], chunk),
+                 lambda chunk: table_facts.drop_counted(df, ["doc_id", "table_key"], ["ord"], chunk, F.col("a"), F.col("c"))):
+        whole, by_chunks = (sorted(map(repr, make(chunk).collect())) for chunk in (None, F.floor(F.col("ord") / 16)))
+        assert whole == by_chunks and 0 < len(whole) < len(rows)
+        assert "Join" not in make(None)._jdf.queryExecution().executedPlan().toString()
