@@ -43,10 +43,12 @@ def p03(spark, path):
 @query("p05_noise_tables")
 def p05(spark, path):
     w = S.words(spark, path)
-    joined = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " "))
+    # a word carries its place as a prefix of one width, so a list of plain texts sorts like (i, text); no count of distinct values, which would shuffle the lists twice
+    placed = F.concat(F.lpad(F.conv(F.col("i").cast("string"), 10, 36), 6, "0"), "text")
+    joined = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(placed)), lambda x: F.substr(x, F.lit(7))), " "))
     t = w.groupBy(*PAGE, "block_no").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), joined.alias("flat"),
-        F.countDistinct("line").alias("n_rows"), F.count("*").alias("n_cells"))
+        F.size(F.collect_set("line")).alias("n_rows"), F.count("*").alias("n_cells"))
     name = F.when(F.col("doc_id") % 4 == 0, (F.col("page_num") % 30).cast("string")).otherwise("x")
     return t.select(*PAGE, "block_no", G.is_title_block(B.box(), *page(), F.col("flat"), F.col("n_rows"), F.col("n_cells")).alias("title_block"),
                     G.is_noise(B.box(), *page(), name, F.col("flat"), F.col("flat"), F.col("n_rows")).alias("noise"))

@@ -38,3 +38,10 @@ def test_code_of_an_added_name_is_read_once(spark):
 def test_item_names_are_tidied(spark):
     df = spark.createDataFrame([("Болт- М4 / 5",), (" (  a ) , b.",), ("Болт  М4",), (None,), ("a - b",)], "t string")
     assert [r[0] for r in df.select(X.clean_item_name(F.col("t"))).collect()] == ["Болт-М4/5", "(a), b", "Болт М4", "", "a - b"]
+
+
+def test_words_of_a_block_are_shuffled_once(spark):
+    from revdiff.catalog.pages import p05
+
+    physical = p05(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange ", physical)) == 1
