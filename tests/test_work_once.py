@@ -45,3 +45,20 @@ def test_words_of_a_block_are_shuffled_once(spark):
 
     physical = p05(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bExchange ", physical)) == 1
+
+
+def test_heads_of_tables_are_read_once_per_distinct_head(spark, monkeypatch):
+    from revdiff.operators import tables
+
+    names = ["Код", "Имя"]
+    t = spark.createDataFrame([(1, i, 1 + i, 0.0, 0.0, 9.0, 9.0, n, names, 1) for i, n in enumerate(["Таблица 1", "Продолжение таблицы 1", "Прочее", "Таблица 1"])],
+                              "doc_id long, table_id long, page_num int, x0 double, y0 double, x1 double, y1 double, name string, names array<string>, header_rows int")
+    r = spark.createDataFrame([(i, k, names if k == 1 else [f"a{i}", str(k)]) for i in range(4) for k in (1, 2, 3)] + [(1, 4, ["код", "ИМЯ"])],
+                              "table_id long, row_index int, cells array<string>")
+    staged = []
+    monkeypatch.setattr(tables, "stage", lambda df: staged.append(df) or df)
+    heads, rows = tables.merge_continued(t, r)
+    assert sorted(map(tuple, heads.select("table_id", "name", "pieces").collect())) == [(0, "Таблица 1", 3), (2, "Прочее", 1)]
+    want = [(0, n + 1, c) for n, c in enumerate([names, ["a0", "2"], ["a0", "3"], ["a1", "2"], ["a1", "3"], ["a3", "2"], ["a3", "3"]])]
+    assert sorted(map(tuple, rows.collect())) == want + [(2, 1, names), (2, 2, ["a2", "2"]), (2, 3, ["a2", "3"])]
+    assert staged[0].count() == 3
