@@ -62,3 +62,18 @@ def test_heads_of_tables_are_read_once_per_distinct_head(spark, monkeypatch):
     want = [(0, n + 1, c) for n, c in enumerate([names, ["a0", "2"], ["a0", "3"], ["a1", "2"], ["a1", "3"], ["a3", "2"], ["a3", "3"]])]
     assert sorted(map(tuple, rows.collect())) == want + [(2, 1, names), (2, 2, ["a2", "2"]), (2, 3, ["a2", "3"])]
     assert staged[0].count() == 3
+
+
+def test_small_blocks_are_scanned_whole_and_stitched_one_way(spark, monkeypatch):
+    from revdiff.operators import requirements as R
+    from revdiff.operators import scan
+
+    rows = [(1, i, t) for i, t in enumerate(["первая строка", "1", "длинный текст", "2", "ещё один текст"])] + [(2, i, t) for i, t in enumerate(["1. первый пункт", "и дальше", "2. второй пункт"])]
+    df = spark.createDataFrame(rows, "page int, ord int, line string")
+    chunks = []
+    monkeypatch.setattr(R, "ordered_scan", lambda d, k, o, chunk, **a: chunks.append(chunk) or scan.ordered_scan(d, k, o, chunk, **a))
+    whole = sorted(map(tuple, R.parse_blocks(df, ["page"]).collect()))
+    assert chunks == [None, None]
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 2)
+    assert whole == sorted(map(tuple, R.parse_blocks(df, ["page"]).collect())) and {r[0] for r in whole} == {1, 2}
+    assert all(c is not None for c in chunks[2:])
