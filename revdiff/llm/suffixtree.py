@@ -42,6 +42,8 @@ PENALTY = 4.0
 DEPTH = 2
 #: Occurrences of a context to each part of its followers that is counted in one group; the test is over all parts.
 PART = 2**20
+#: Places of a block's texts that are looked up, or asked about, at a time: what a task holds besides the block itself.
+PLACES = 2**17
 #: Words, and rows of requests, merged at a time.
 CHUNK, MERGE = 20_000, 2_000
 #: States told to blocks that are packed at a time.
@@ -178,79 +180,110 @@ class _Block:
         self.codes = _unpack(row["codes"], np.int32)
         self.lens = _unpack(row["lens"], np.int64)
         self.learn = _unpack(row["learn"], np.uint8)
-        c = _unpack(row["c"], np.int64)
-        self.c, self.known = c, c[self.codes] > 0
+        self.c, self.n, self.v = _unpack(row["c"], np.int64), n, v
         ids = _unpack(row["ids"], np.int64)
-        self.symbol = ids[self.codes]
         self.symbols = np.unique(ids)  # -1, too rare, is one of them if any is
-        self.symbol_at = np.searchsorted(self.symbols, ids)[self.codes]
-        self.root = ((c + ADD) / (n + ADD * (v + 1)))[self.codes] if n or v else np.ones(len(self.codes))
-        self.p = self.root
+        self.symbol_at = np.searchsorted(self.symbols, ids).astype(np.int32)[self.codes]
+        self.p = self.root()
         first = np.zeros(len(self.codes), bool)
         first[self.lens.cumsum() - self.lens] = True
         self.first = first
         self.context = np.full(len(self.codes), -1, np.int64)  # id of the candidate context, -1: none
         self.total = np.zeros(len(self.codes), np.int64)       # its occurrences
-        self.context[1:] = np.where(first[1:], -1, self.symbol[:-1])
-        self.total[1:] = np.where(first[1:], 0, c[self.codes[:-1]])
-        self.kept = np.zeros(len(self.codes), np.int64)
+        for lo, hi in self._pieces(1):
+            behind = ~first[lo:hi]
+            self.context[lo:hi][behind] = ids[self.codes[lo - 1:hi - 1][behind]]
+            self.total[lo:hi][behind] = self.c[self.codes[lo - 1:hi - 1][behind]]
+        self.kept = None  # occurrences of every place's symbol behind its context, once states are applied
+
+    def _pieces(self, start: int = 0) -> list[tuple[int, int]]:
+        return [(lo, min(lo + PLACES, len(self.codes))) for lo in range(start, len(self.codes), PLACES)]
+
+    def root(self) -> np.ndarray:
+        return ((self.c + ADD) / (self.n + ADD * (self.v + 1)))[self.codes] if self.n or self.v else np.ones(len(self.codes))
+
+    def known(self) -> np.ndarray:
+        return (self.c > 0)[self.codes]
 
     def apply(self, states: dict[str, np.ndarray]) -> None:
         """Move to the retained states of this level; states: ctx, succ (-1 - kept followers for a state itself), n, all sorted by ctx, succ."""
         ctx, succ, n = states["ctx"], states["succ"], states["n"]
         own = succ < 0
         sc, st, sm = ctx[own], -1 - succ[own], n[own]
-        at = np.minimum(np.searchsorted(sc, self.context), max(0, len(sc) - 1))
-        inside = (sc[at] == self.context) & (self.context != -1) if len(sc) else np.zeros(len(self.codes), bool)
         self.kept = np.zeros(len(self.codes), np.int64)
-        if inside.any():
-            # a follower is looked up by the places of its context and of its symbol in the block
-            where = inside.nonzero()[0]
-            pc, ps, pn = ctx[~own], succ[~own], n[~own]
-            if len(pc):
-                have = np.searchsorted(sc, pc) * len(self.symbols) + np.searchsorted(self.symbols, ps)
-                want = at[where] * len(self.symbols) + self.symbol_at[where]
+        if not len(sc):
+            return
+        # a follower is looked up by the places of its context and of its symbol in the block
+        have = np.searchsorted(sc, ctx[~own]) * len(self.symbols) + np.searchsorted(self.symbols, succ[~own])
+        pn = n[~own]
+        for lo, hi in self._pieces():
+            context = self.context[lo:hi]
+            at = np.minimum(np.searchsorted(sc, context), len(sc) - 1)
+            where = ((sc[at] == context) & (context != -1)).nonzero()[0]
+            at, where = at[where], where + lo
+            if len(have):
+                want = at * len(self.symbols) + self.symbol_at[where]
                 hit = np.minimum(np.searchsorted(have, want), len(have) - 1)
                 self.kept[where] = np.where(have[hit] == want, pn[hit], 0)
             total = self.total[where].astype(float)
-            kinds, mass = st[at[where]], sm[at[where]]
+            kinds, mass = st[at], sm[at]
             back = (total - mass + DISCOUNT * kinds) / total
-            p = self.p.copy()
-            p[where] = np.maximum(self.kept[where] - DISCOUNT, 0) / total + back * self.p[where]
-            self.p = p
+            self.p[where] = np.maximum(self.kept[where] - DISCOUNT, 0) / total + back * self.p[where]
 
     def deepen(self) -> None:
         """Candidates of the next level: the symbol before, in front of a context that kept the context's last word often enough."""
-        grown = (self.context != -1) & (self.kept >= LEAST) & (self.symbol != -1)
         context = np.full(len(self.codes), -1, np.int64)
         total = np.zeros(len(self.codes), np.int64)
-        ok = grown[:-1] & ~self.first[1:]
-        context[1:][ok], total[1:][ok] = _mix(self.context[:-1][ok], self.symbol[:-1][ok]), self.kept[:-1][ok]
+        for lo, hi in self._pieces(1):
+            before, symbol = self.context[lo - 1:hi - 1], self.symbols[self.symbol_at[lo - 1:hi - 1]]
+            ok = (before != -1) & (self.kept[lo - 1:hi - 1] >= LEAST) & (symbol != -1) & ~self.first[lo:hi]
+            context[lo:hi][ok], total[lo:hi][ok] = _mix(before[ok], symbol[ok]), self.kept[lo - 1:hi - 1][ok]
         self.context, self.total = context, total
 
-    def requests(self, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def requests(self, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Slots of the distinct (context, part, follower) of the block in order, and for each: context, part, the context's total, follower, its
-        count in texts learned from, its quantised surprise. Then the contexts whose state no single request brings back: all their
-        followers are too rare to ask about, or they are counted in parts."""
-        at = ((self.context != -1) & (self.symbol != -1)).nonzero()[0]
-        ctx, place = np.unique(self.context[at], return_inverse=True)
-        big = self.total > PART
-        few = np.unique(self.context[big | ((self.context != -1) & (self.symbol == -1))])
-        lists = few[~np.isin(few, ctx) | np.isin(few, self.context[big])]
-        order = (place * len(self.symbols) + self.symbol_at[at]).argsort()
-        at, place = at[order], place[order]
-        local = self.symbol_at[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (place[1:] != place[:-1]) | (local[1:] != local[:-1])
-        start = new.nonzero()[0]
-        n = np.add.reduceat(np.repeat(self.learn, self.lens)[at].astype(np.int64), start) if len(start) else start
-        at = at[start]
-        ctx, sym, total = ctx[place[start]], self.symbol[at], self.total[at]  # ids that all blocks share
-        q = np.clip(np.rint(-8 * np.log(self.p[at])), 0, 255).astype(np.int64)
-        part = sym % -(-np.maximum(total, 1) // PART)
-        slot = (_mix(ctx, part) >> 1) % slots
-        order = slot.argsort(kind="stable")
-        return slot[order], np.stack([ctx, part, total, sym, n, q])[:, order], lists
+        count in texts learned from, its quantised surprise. They come in ranges of slots, each about as many places as are read at a time."""
+        slot = np.full(len(self.codes), -1, np.int64)
+        asking = 0
+        for lo, hi in self._pieces():
+            symbol = self.symbols[self.symbol_at[lo:hi]]
+            at = ((self.context[lo:hi] != -1) & (symbol != -1)).nonzero()[0]
+            slot[lo:hi][at] = (_mix(self.context[lo:hi][at], self._part(symbol[at], self.total[lo:hi][at])) >> 1) % slots
+            asking += len(at)
+        turns = -(-asking // PLACES)
+        learned = np.repeat(self.learn, self.lens)
+        for turn in range(turns):
+            at = ((slot >= slots * turn // turns) & (slot < slots * (turn + 1) // turns)).nonzero()[0]
+            # followers of one context are told apart by their place among the symbols, which keeps their order
+            at = at[np.lexsort((self.symbol_at[at], self.context[at], slot[at]))]
+            if not len(at):
+                continue
+            ctx, local = self.context[at], self.symbol_at[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (ctx[1:] != ctx[:-1]) | (local[1:] != local[:-1]) | (slot[at[1:]] != slot[at[:-1]])
+            start = new.nonzero()[0]
+            n = np.add.reduceat(learned[at].astype(np.int64), start)
+            at = at[start]
+            sym, total = self.symbols[self.symbol_at[at]], self.total[at]  # ids that all blocks share
+            q = np.clip(np.rint(-8 * np.log(self.p[at])), 0, 255).astype(np.int64)
+            yield slot[at], np.stack([self.context[at], self._part(sym, total), total, sym, n, q])
+
+    def lists(self) -> np.ndarray:
+        """The contexts whose state no single request brings back: all their followers are too rare to ask about, or they are counted in parts."""
+        rare = len(self.symbols) > 0 and self.symbols[0] == -1
+        few, asked, large = [], [], []
+        for lo, hi in self._pieces():
+            context, big = self.context[lo:hi], self.total[lo:hi] > PART
+            seldom = (self.symbol_at[lo:hi] == 0) & rare
+            few.append(np.unique(context[big | ((context != -1) & seldom)]))
+            asked.append(np.unique(context[(context != -1) & ~seldom]))
+            large.append(np.unique(context[big]))
+        few, asked, large = (np.unique(np.concatenate([np.zeros(0, np.int64), *x])) for x in (few, asked, large))
+        return few[~np.isin(few, asked) | np.isin(few, large)]
+
+    @staticmethod
+    def _part(symbol: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return symbol % -(-np.maximum(total, 1) // PART)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -278,14 +311,17 @@ _REQUEST = "slot long, block long, packed binary"
 SLOT_CONTEXTS = 64
 
 
-def _send(block: int, b: _Block, slots: int) -> pa.RecordBatch:
+def _send(block: int, b: _Block, slots: int) -> Iterator[pa.RecordBatch]:
     """Requests of a block, and rows with a slot below 0 that list contexts whose state it needs besides."""
-    slot, table, lists = b.requests(slots)
-    start = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
-    rows = [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(start, np.append(start[1:], len(slot)), strict=False)]
-    rows += [_pack(lists[at:at + LISTED]) for at in range(0, len(lists), LISTED)]
-    to = np.append(slot[start], np.full(len(rows) - len(start), -1 - block))
-    return pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(rows), block)), pa.array(rows, pa.binary())], ["slot", "block", "packed"])
+    def rows(to: np.ndarray, packed: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(packed), block)), pa.array(packed, pa.binary())], ["slot", "block", "packed"])
+
+    for slot, table in b.requests(slots):
+        start = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        yield rows(slot[start], [_pack(table[:, lo:hi].ravel()) for lo, hi in zip(start, np.append(start[1:], len(slot)), strict=True)])
+    lists = b.lists()
+    packed = [_pack(lists[at:at + LISTED]) for at in range(0, len(lists), LISTED)]
+    yield rows(np.full(len(packed), -1 - block), packed)
 
 
 def _test(t: pa.Table) -> pa.RecordBatch | None:
@@ -444,7 +480,7 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                yield _send(r["block"], _Block(r, n, v), slots)
+                yield from _send(r["block"], _Block(r, n, v), slots)
 
     found = _level(packed.select(*columns).mapInArrow(first, _REQUEST))
     release(spark)
@@ -461,7 +497,7 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
             for states in _states(right)[: int(r["level"]) - 1]:
                 b.apply(states)
                 b.deepen()
-            out.append(_send(r["block"], b, slots))
+            out.extend(_send(r["block"], b, slots))
         return pa.Table.from_batches(out) if out else no_request
 
     for level in range(2, DEPTH + 1):
@@ -483,8 +519,8 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
             start = b.lens.cumsum() - b.lens
             add = lambda x: np.add.reduceat(x, start)
             out.append(pa.Table.from_arrays(
-                [keys.flatten(), pa.array(b.lens), pa.array(add(b.known.astype(np.int64))), pa.array(np.full(len(start), n, np.int64)),
-                 pa.array(add(np.log10(b.root))), pa.array(add(np.log10(b.p)))], ["k", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+                [keys.flatten(), pa.array(b.lens), pa.array(add(b.known().astype(np.int64))), pa.array(np.full(len(start), n, np.int64)),
+                 pa.array(add(np.log10(b.root()))), pa.array(add(np.log10(b.p)))], ["k", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(out) if out else no_result
 
     result = f"k {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
