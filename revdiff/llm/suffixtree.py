@@ -45,7 +45,7 @@ PART = 2**20
 #: Places of a block's texts that are looked up, or asked about, at a time: what a task holds besides the block itself.
 PLACES = 2**17
 #: Words, and rows of requests, merged at a time.
-CHUNK, MERGE = 20_000, 2_000
+CHUNK, MERGE = 20_000, 400
 #: States told to blocks that are packed at a time.
 PACK_ROWS = 300_000
 #: Contexts in one row of a list.
@@ -255,15 +255,18 @@ class _Block:
         for turn in range(turns):
             at = ((slot >= slots * turn // turns) & (slot < slots * (turn + 1) // turns)).nonzero()[0]
             # followers of one context are told apart by their place among the symbols, which keeps their order
-            at = at[np.lexsort((self.symbol_at[at], self.context[at], slot[at]))]
             if not len(at):
                 continue
-            ctx, local = self.context[at], self.symbol_at[at]
+            ctx, place = np.unique(self.context[at], return_inverse=True)
+            key = place * len(self.symbols) + self.symbol_at[at]
+            order = key.argsort()
+            at, key = at[order], key[order]
             new = np.ones(len(at), bool)
-            new[1:] = (ctx[1:] != ctx[:-1]) | (local[1:] != local[:-1]) | (slot[at[1:]] != slot[at[:-1]])
+            new[1:] = key[1:] != key[:-1]
             start = new.nonzero()[0]
             n = np.add.reduceat(learned[at].astype(np.int64), start)
-            at = at[start]
+            order = slot[at[start]].argsort(kind="stable")
+            at, n = at[start][order], n[order]
             sym, total = self.symbols[self.symbol_at[at]], self.total[at]  # ids that all blocks share
             q = np.clip(np.rint(-8 * np.log(self.p[at])), 0, 255).astype(np.int64)
             yield slot[at], np.stack([self.context[at], self._part(sym, total), total, sym, n, q])
@@ -308,7 +311,7 @@ def _states(right: pa.Table) -> list[dict[str, np.ndarray]]:
 
 #: Requests travel by slots: contexts of like hash share a row, their numbers packed.
 _REQUEST = "slot long, block long, packed binary"
-SLOT_CONTEXTS = 64
+SLOT_CONTEXTS = 256
 
 
 def _send(block: int, b: _Block, slots: int) -> Iterator[pa.RecordBatch]:
@@ -482,10 +485,22 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
                 r = b.slice(i, 1).to_pylist()[0]
                 yield from _send(r["block"], _Block(r, n, v), slots)
 
-    found = _level(packed.select(*columns).mapInArrow(first, _REQUEST))
-    release(spark)
-    answers = _answers(found, 1)
-    release(spark)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def told(requests: DataFrame, level: int) -> DataFrame:
+        """What a level says to every block; what it found goes. The first level's is read alone and kept by block, as the blocks are.
+
+        Later ones are not: a union of tables in buckets has more partitions than the blocks that it is to meet.
+        """
+        found = _level(requests)
+        release(spark)
+        out = _answers(found, level)
+        out = stage_by(out.repartition(buckets, "block"), "block") if level == 1 else stage(out)
+        drop_stage(found)
+        release(spark)
+        return out
+
+    answers = told(packed.select(*columns).mapInArrow(first, _REQUEST), 1)
 
     no_request = _nothing(_REQUEST)
 
@@ -502,10 +517,7 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
 
     for level in range(2, DEPTH + 1):
         ready = packed.select(*columns, F.lit(level).alias("level"))
-        found = _level(ready.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(deeper, _REQUEST))
-        release(spark)
-        answers = answers.unionByName(_answers(found, level))
-        release(spark)
+        answers = answers.unionByName(told(ready.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(deeper, _REQUEST), level))
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []

@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -110,3 +112,34 @@ def test_parts_of_a_context_are_tested_as_one(spark, monkeypatch, part):
     want, _, c = plain(texts, learn)
     assert c[b"the"] > 2 * part
     assert [got[i].score for i in range(len(texts))] == pytest.approx([score for _, score in want])
+
+
+def test_requests_of_a_block_are_made_in_pieces():
+    """Beside a block's own arrays a task holds a small part of its requests; every distinct follower is asked about once."""
+    rng = np.random.default_rng(1)
+    size, words = 1_000_000, 50_000
+    codes = np.minimum(rng.zipf(1.3, size), words).astype(np.int32) - 1
+    c = np.bincount(codes, minlength=words).astype(np.int64)
+    ids = np.where(c < S.LEAST, -1, np.arange(words))
+    row = {"codes": S._pack(codes), "lens": S._pack(np.full(size // 500, 500)), "learn": S._pack(np.ones(size // 500, np.uint8)), "c": S._pack(c), "ids": S._pack(ids)}
+    tracemalloc.start()
+    block = S._Block(row, size, words)
+    asked, times = [], 0
+    try:
+        for b in S._send(0, block, words // S.SLOT_CONTEXTS):
+            for slot, packed in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if slot >= 0:
+                    ctx, _, _, follower, n, _ = S._unpack(packed, np.int64).reshape(6, -1)
+                    asked.append((ctx * words + follower).astype(np.int64))
+                    times += int(n.sum())
+        kept = sum(x.nbytes for x in asked)
+        held = (tracemalloc.get_traced_memory()[1] - kept) / size
+    finally:
+        tracemalloc.stop()
+    inner = np.arange(size) % 500 > 0
+    a, b = ids[codes[np.arange(size) - 1]], ids[codes]
+    ok = inner & (a >= 0) & (b >= 0)
+    got = np.concatenate(asked)
+    assert len(got) == len(np.unique(got)) and times == ok.sum()
+    assert np.array_equal(np.sort(got), np.unique(a[ok] * words + b[ok]))
+    assert held < 80  # bytes for each place
