@@ -146,7 +146,7 @@ def header_map(cells: Column) -> Column:
             out = F.when(hit, F.lit(name)).otherwise(out)
         return out
 
-    entries = F.transform(cells, lambda c, i: F.struct(field(X.canon_header(c)).alias("key"), i.alias("value")))
+    entries = F.transform(F.transform(cells, X.canon_header), lambda c, i: F.struct(field(c).alias("key"), i.alias("value")))
     return F.aggregate(F.filter(entries, lambda e: e["key"].isNotNull()), F.create_map().cast("map<string,int>"), lambda acc, e: F.map_concat(
         F.map_filter(acc, lambda k, v: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
 
@@ -164,20 +164,29 @@ def items_from_rows(rows: DataFrame) -> DataFrame:
     opens = (F.coalesce("position", F.lit("")) != "") | (F.lower(F.coalesce("section", F.lit(""))) == "документация") | F.coalesce("after_close", F.lit(True))
     runs = ordered_scan(sectioned, ["doc_id"], ["ord"], chunk, running={"run": (close | opens).cast("int")}).filter(~close)
     cols = ["doc_id", "run", "ord", "page_num", "section", "position", *ITEM_TEXTS]
-    # merging reads its rows twice
-    merged = merge_texts(stage(runs.select(*cols)), ["doc_id", "run"], ITEM_TEXTS)
+    # where documents are scanned whole their rows lie by document, and merging reads them once
+    whole = chunk is None
+    merged = merge_texts(runs.select(*cols) if whole else stage(runs.select(*cols)), ["doc_id", "run"], ITEM_TEXTS, whole=whole)
     des, name = X.rejoin_designation(F.col("designation"), F.col("name"))
     fixed = merged.withColumns({"designation": des, "name": name}).withColumns({c: X.clean_field(F.col(c)) for c in ITEM_TEXTS})
-    keyed = fixed.withColumn("key", X.item_key(F.col("section"), F.col("position"), F.col("designation"), F.col("name"))).filter("key <> ''")
-    return merge_texts(stage(keyed), ["doc_id", "key"], ITEM_TEXTS, "run")
+    keyed = with_keys(fixed)
+    return merge_texts(keyed if whole else stage(keyed), ["doc_id", "key"], ITEM_TEXTS, "run", whole=whole)
+
+
+def with_keys(items: DataFrame) -> DataFrame:
+    """Items with their key; those without one are left out, by a generator: a filter would be pushed below and have all texts worked out again."""
+    key = X.item_key(F.col("section"), F.col("position"), F.col("designation"), F.col("name"))
+    return items.withColumn("key", F.explode(F.filter(F.array(key), lambda k: k != "")))
 
 
 def section_row(cells: Column, names=rules.BOM_SECTIONS) -> Column:
     """The section that a table row of normalised cells stands for: its whole text, or a section's name in a row of one or two cells."""
     def judge(filled: Column) -> Column:
-        joined = F.lower(T.squeeze(F.array_join(filled, " ")))
-        named = F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(joined, n)), F.lit(0))
-        return F.when(joined.isin(*names), F.initcap(joined)).when(F.size(filled) <= 2, F.initcap(named))
+        def named(joined: Column) -> Column:
+            first = F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(joined, n)), F.lit(0))
+            return F.when(joined.isin(*names), F.initcap(joined)).when(F.size(filled) <= 2, F.initcap(first))
+
+        return T.let(F.lower(T.squeeze(F.array_join(filled, " "))), named)
 
     return T.let(F.filter(cells, lambda c: c != ""), judge)
 
@@ -207,13 +216,15 @@ def items_from_tables(tables: DataFrame, rows: DataFrame) -> DataFrame:
     place = ["page_num", "y0", "x0", "table_id"]
     body = norm.join(heads, "table_id").filter(F.col("row_index") > F.col("head.row_index")).join(tables.select("doc_id", *place), "table_id")
     fields = [f for f, _ in rules.ITEM_COLUMNS]
-    read = body.withColumns({**{f: F.coalesce(F.get("cells", F.col(f"head.{f}")), F.lit("")) for f in fields}, "section_here": section_row(F.col("cells")),
-                             "is_format": F.exists("cells", lambda c: F.contains(X.canon_header(c), F.lit("формат"))),
-                             "is_service": T.contains_any(F.lower(F.array_join("cells", " ")), rules.TABLE_ROW_SERVICE)})
+    read = body.withColumns({f: F.coalesce(F.get("cells", F.col(f"head.{f}")), F.lit("")) for f in fields})
     some = F.concat(*fields) != ""
-    kept = read.filter(F.col("section_here").isNotNull() | (~F.col("is_format") & some))
-    close = F.col("section_here").isNotNull() | F.col("is_service")
-    kept = stage(kept.select("doc_id", *place, "row_index", "section_here", close.alias("close"), *fields))
+    # a word of one cell, with hyphens and points left out as in a head; line ends keep the cells apart
+    is_format = F.contains(F.translate(F.lower(F.array_join("cells", "\n")), "-.", ""), F.lit("формат"))
+    is_service = T.let(F.lower(F.array_join("cells", " ")), lambda low: T.contains_any(low, rules.TABLE_ROW_SERVICE))
+    # by a generator: a filter would be pushed below and have every row read twice
+    told = T.let(section_row(F.col("cells")), lambda s: F.when(s.isNotNull() | (some & ~is_format), F.struct(s.alias("section_here"), (s.isNotNull() | is_service).alias("close"))))
+    kept = read.withColumn("told", F.explode(F.filter(F.array(told), lambda t: t.isNotNull())))
+    kept = stage(kept.select("doc_id", *place, "row_index", "told.section_here", "told.close", *fields))
     order = [*place, "row_index"]
     chunk = chunk_if_large(kept, ["doc_id"], F.struct(*place, F.floor(F.col("row_index") / CHUNK_ROWS)))
     sectioned = ordered_scan(kept, ["doc_id"], order, chunk, carry={"section": F.col("section_here")}, running={"ord": F.lit(1)},
@@ -225,15 +236,14 @@ def items_from_tables(tables: DataFrame, rows: DataFrame) -> DataFrame:
     runs = ordered_scan(sectioned if chunk is None else stage(sectioned), ["doc_id"], ["ord"], None if chunk is None else by_position("ord"),
                         running={"run": F.col("opens").cast("int")}).filter(~F.col("close"))
     # what goes on with an item is cleaned before it is added
-    pieces = stage(runs.select("doc_id", "run", "ord", "page_num", "section", *[F.nullif(c, F.lit("")).alias(c) for c in ("format", "zone", "position")],
-                               *[F.when(F.col("opens"), F.col(c)).otherwise(X.clean_field(F.col(c))).alias(c) for c in ITEM_TEXTS]))
-    firsts = pieces.groupBy("doc_id", "run").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in ("format", "zone")])
-    merged = merge_texts(pieces.drop("format", "zone"), ["doc_id", "run"], ITEM_TEXTS).join(firsts, ["doc_id", "run"])
+    pieces = runs.select("doc_id", "run", "ord", "page_num", "section", *[F.nullif(c, F.lit("")).alias(c) for c in ("format", "zone", "position")],
+                         *[F.when(F.col("opens"), F.col(c)).otherwise(X.clean_field(F.col(c))).alias(c) for c in ITEM_TEXTS]).filter("doc_id IS NOT NULL")
+    whole = chunk is None
+    merged = merge_texts(pieces if whole else stage(pieces), ["doc_id", "run"], ITEM_TEXTS, firsts=["format", "zone"], whole=whole)
     cleaned = merged.withColumns({c: X.clean_field(F.col(c)) for c in ITEM_TEXTS})
     des, name = X.rejoin_designation(F.col("designation"), F.col("name"))
-    keyed = cleaned.withColumns({"designation": des, "name": name})
-    keyed = keyed.withColumn("key", X.item_key(F.col("section"), F.col("position"), F.col("designation"), F.col("name"))).filter("key <> ''")
-    return merge_texts(stage(keyed.drop("ord")), ["doc_id", "key"], ITEM_TEXTS, "run").drop("run")
+    keyed = with_keys(cleaned.withColumns({"designation": des, "name": name})).drop("ord")
+    return merge_texts(keyed if whole else stage(keyed), ["doc_id", "key"], ITEM_TEXTS, "run", whole=whole).drop("run")
 
 
 # ---- elements (W11) --------------------------------------------------------------------------
