@@ -164,13 +164,12 @@ def items_from_rows(rows: DataFrame) -> DataFrame:
     opens = (F.coalesce("position", F.lit("")) != "") | (F.lower(F.coalesce("section", F.lit(""))) == "документация") | F.coalesce("after_close", F.lit(True))
     runs = ordered_scan(sectioned, ["doc_id"], ["ord"], chunk, running={"run": (close | opens).cast("int")}).filter(~close)
     cols = ["doc_id", "run", "ord", "page_num", "section", "position", *ITEM_TEXTS]
-    # where documents are scanned whole their rows lie by document, and merging reads them once
-    whole = chunk is None
-    merged = merge_texts(runs.select(*cols) if whole else stage(runs.select(*cols)), ["doc_id", "run"], ITEM_TEXTS, whole=whole)
+    # what the scans and the cleaning made is worked out once; no item has more rows than its document
+    whole = True if chunk is None else None
+    merged = merge_texts(stage(runs.select(*cols)), ["doc_id", "run"], ITEM_TEXTS, whole=whole)
     des, name = X.rejoin_designation(F.col("designation"), F.col("name"))
     fixed = merged.withColumns({"designation": des, "name": name}).withColumns({c: X.clean_field(F.col(c)) for c in ITEM_TEXTS})
-    keyed = with_keys(fixed)
-    return merge_texts(keyed if whole else stage(keyed), ["doc_id", "key"], ITEM_TEXTS, "run", whole=whole)
+    return merge_texts(stage(with_keys(fixed)), ["doc_id", "key"], ITEM_TEXTS, "run", whole=whole)
 
 
 def with_keys(items: DataFrame) -> DataFrame:
